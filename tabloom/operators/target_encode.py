@@ -182,13 +182,13 @@ def auto_smoothed_oof_table(train: DataFrame, keys: list[str], label: str, fold:
     return joined.select(*keys, fold, (weight * F.col("_m") + (1 - weight) * F.col("_g.m")).alias(out))
 
 
-def rate_logits(
-    frame: DataFrame, key: str, key_sets: dict[str, list[Column]], label: str, fold: str, smoothing: float, eps: float = 1e-4
+def oof_rates(
+    frame: DataFrame, keep: list[str], key_sets: dict[str, list[Column]], label: str, fold: str, smoothing: float
 ) -> DataFrame:
-    """Out-of-fold rate logits for many key sets as ``(key, key_set, logit)``.
+    """Out-of-fold rates for many key sets as ``(keep, label, fold, key_set, rate)``.
 
-    All key sets are unpivoted to (key_set, key_value) so that a single
-    aggregation fits them all.
+    All key sets are unpivoted to (key_set, key_value), null being a value of its
+    own, so that a single aggregation fits them all.
     """
     pairs = F.array(
         *[
@@ -199,11 +199,17 @@ def rate_logits(
             for name, columns in key_sets.items()
         ]
     )
-    long = frame.select(key, label, fold, F.explode(pairs).alias("_p")).select(key, label, fold, "_p.key_set", "_p.key_value")
+    long = frame.select(*keep, label, fold, F.inline(pairs))
     table = oof_rate_table_by_set(long, frame, label, fold, smoothing)
-    return long.join(table, ["key_set", "key_value", fold]).select(
-        key, "key_set", logit("_rate", eps).alias("logit")
-    )
+    return long.join(table, ["key_set", "key_value", fold]).select(*keep, label, fold, "key_set", "rate")
+
+
+def rate_logits(
+    frame: DataFrame, key: str, key_sets: dict[str, list[Column]], label: str, fold: str, smoothing: float, eps: float = 1e-4
+) -> DataFrame:
+    """``(key, key_set, logit)``: clipped logits of the out-of-fold rates."""
+    rates = oof_rates(frame, [key], key_sets, label, fold, smoothing)
+    return rates.select(key, "key_set", logit("rate", eps).alias("logit"))
 
 
 def oof_rate_table_by_set(long: DataFrame, frame: DataFrame, label: str, fold: str, smoothing: float) -> DataFrame:
@@ -219,5 +225,5 @@ def oof_rate_table_by_set(long: DataFrame, frame: DataFrame, label: str, fold: s
         fold, ((F.sum("_fs").over(every) - F.col("_fs")) / (F.sum("_fn").over(every) - F.col("_fn"))).alias("_prior")
     )
     return others.join(priors, fold).select(
-        "key_set", "key_value", fold, _smoothed(F.col("_os"), F.col("_on"), F.col("_prior"), smoothing).alias("_rate")
+        "key_set", "key_value", fold, _smoothed(F.col("_os"), F.col("_on"), F.col("_prior"), smoothing).alias("rate")
     )
