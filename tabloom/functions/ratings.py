@@ -1,7 +1,9 @@
-"""Row aggregates over rating columns in which 0 means "not answered".
+"""Row aggregates over rating columns.
 
-They are written as sums and ``least``/``greatest`` over the columns rather than
-as array lambdas, because lambdas are interpreted and would leave generated code.
+By default 0 means "not answered" and is left out, as null is; with
+``zero_missing=False`` it is an ordinary value. The aggregates are written as sums
+and ``least``/``greatest`` over the columns rather than as array lambdas, because
+lambdas are interpreted and would leave generated code.
 """
 
 from __future__ import annotations
@@ -13,22 +15,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def answered(rating: str | Column) -> Column:
+def answered(rating: str | Column, zero_missing: bool = True) -> Column:
     """The rating, or null for the missing code 0."""
-    return F.nullif(F.col(rating) if isinstance(rating, str) else rating, F.lit(0))
+    rating = F.col(rating) if isinstance(rating, str) else rating
+    return F.nullif(rating, F.lit(0)) if zero_missing else rating
 
 
 def _total(terms: list[Column]) -> Column:
     return reduce(add, terms)
 
 
-def count_where(ratings: list[str], test) -> Column:
+def count_where(ratings: list[str], test, zero_missing: bool = True) -> Column:
     """How many answered ratings satisfy ``test``."""
-    return _total([F.coalesce(test(answered(r)), F.lit(False)).cast("int") for r in ratings])
+    return _total([F.coalesce(test(answered(r, zero_missing)), F.lit(False)).cast("int") for r in ratings])
 
 
-def answered_count(ratings: list[str]) -> Column:
-    return _total([answered(r).isNotNull().cast("int") for r in ratings])
+def answered_count(ratings: list[str], zero_missing: bool = True) -> Column:
+    return _total([answered(r, zero_missing).isNotNull().cast("int") for r in ratings])
 
 
 def _sum(ratings: list[str]) -> Column:
@@ -39,30 +42,30 @@ def _sum_of_squares(ratings: list[str]) -> Column:
     return _total([(F.coalesce(F.col(r), F.lit(0)) * F.coalesce(F.col(r), F.lit(0))).cast("bigint") for r in ratings])
 
 
-def mean_rating(ratings: list[str]) -> Column:
+def mean_rating(ratings: list[str], zero_missing: bool = True) -> Column:
     """Mean of the answered ratings; null when none was answered."""
-    return F.try_divide(_sum(ratings).cast("double"), answered_count(ratings).cast("double"))
+    return F.try_divide(_sum(ratings).cast("double"), answered_count(ratings, zero_missing).cast("double"))
 
 
-def worst_rating(ratings: list[str]) -> Column:
-    return F.least(*[answered(r) for r in ratings])
+def worst_rating(ratings: list[str], zero_missing: bool = True) -> Column:
+    return F.least(*[answered(r, zero_missing) for r in ratings])
 
 
 def best_rating(ratings: list[str]) -> Column:
-    return F.greatest(*[answered(r) for r in ratings])
+    return F.greatest(*[F.col(r) for r in ratings])
 
 
-def rating_std(ratings: list[str]) -> Column:
+def rating_std(ratings: list[str], zero_missing: bool = True) -> Column:
     """Sample standard deviation of the answered ratings; null below two answers."""
-    n = answered_count(ratings).cast("bigint")
+    n = answered_count(ratings, zero_missing).cast("bigint")
     scatter = n * _sum_of_squares(ratings) - _sum(ratings) * _sum(ratings)
     return F.when(n >= 2, F.sqrt(scatter.cast("double") / (n * (n - 1)).cast("double")))
 
 
-def median_rating(ratings: list[str]) -> Column:
+def median_rating(ratings: list[str], zero_missing: bool = True) -> Column:
     """Median of the answered ratings (mean of the middle two for an even count)."""
-    ordered = F.sort_array(F.array_compact(F.array(*[answered(r).cast("int") for r in ratings])))
-    n = answered_count(ratings)
+    ordered = F.sort_array(F.array_compact(F.array(*[answered(r, zero_missing).cast("int") for r in ratings])))
+    n = answered_count(ratings, zero_missing)
     low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
     high = F.get(ordered, F.floor(n / 2).cast("int"))
     return F.when(n > 0, (low + high).cast("double") / 2)

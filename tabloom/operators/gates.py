@@ -21,20 +21,37 @@ def _report(frame: DataFrame, check: str, subject, passed: Column, observed: Col
     )
 
 
+def _filled(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n_values) of the present columns, one pass."""
+    return frame.agg(*[F.count(c).alias(c) for c in columns]).unpivot([], columns, "_name", "n_values")
+
+
 def required_columns(frame: DataFrame, required: list[str], optional: list[str] = ()) -> DataFrame:
-    """One row per required, optional or unknown column of the schema."""
-    found = set(frame.columns)
-    rows = [(c, c in found, "required") for c in required]
-    rows += [(c, True, "optional, present" if c in found else "optional, absent") for c in optional]
-    rows += [(c, True, "extra") for c in frame.columns if c not in {*required, *optional}]
-    return frame.sparkSession.createDataFrame(rows, "subject string, passed boolean, detail string")
+    """One row per required, optional or unknown column, with its non-null values.
+
+    A required column fails when it is absent or holds no value at all.
+    """
+    rows = [(c, "required") for c in required] + [(c, "optional") for c in optional]
+    rows += [(c, "extra") for c in frame.columns if c not in {*required, *optional}]
+    wanted = frame.sparkSession.createDataFrame(rows, "subject string, detail string")
+    return (
+        wanted.join(_filled(frame, frame.columns), F.col("subject") == F.col("_name"), "left")
+        .withColumn("n_values", F.coalesce("n_values", F.lit(0)))
+        .withColumn("passed", (F.col("detail") != "required") | (F.col("n_values") > 0))
+        .drop("_name")
+    )
 
 
 def compare_columns(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Columns present in only one of two tables."""
-    only_left = [(c, "left only") for c in left.columns if c not in right.columns]
-    only_right = [(c, "right only") for c in right.columns if c not in left.columns]
-    return left.sparkSession.createDataFrame(only_left + only_right, "column_name string, side string")
+    """Columns present in only one of two tables, with their non-null values."""
+    parts = []
+    for frame, other, side in ((left, right, "left only"), (right, left, "right only")):
+        only = [c for c in frame.columns if c not in other.columns]
+        if only:
+            parts.append(_filled(frame, only).select(F.col("_name").alias("column_name"), F.lit(side).alias("side"), "n_values"))
+    if not parts:
+        return left.sparkSession.createDataFrame([], "column_name string, side string, n_values bigint")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def value_range(frame: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tabloom.plans.registry import ENTRIES, Entry
 
-MODULES = ["flagship", "scans", "quality"]
+MODULES = ["flagship", "scans", "quality", "profiles"]
 
 
 def all_entries() -> dict[str, Entry]:

@@ -15,25 +15,24 @@ from tabloom.sources.survey import RAW_FEATURES, is_train, survey, survey_split
 from tabloom.sources.tables import read_table
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    body = ", ".join("(" + ", ".join(str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
-    return f"select * from (values {body}) t({names})"
+def _filled_sql(table: str, column: str) -> str:
+    return f"(select count({column}) from {table})"
 
 
 @query(
     "required_columns_gate", "B1",
-    sql=_values(
-        [(c, True, "required") for c in ["o_orderkey", "o_custkey", "o_totalprice"]]
-        + [("o_label", False, "required"), ("o_comment", True, "optional, absent"), ("o_orderdate", True, "optional, present")]
-        + [(c, True, "extra") for c in ["o_orderstatus", "o_orderpriority"]],
-        "subject, passed, detail",
-    ),
+    sql=plain_sql("select subject, detail, coalesce(n_values, 0) as n_values, detail <> 'required' or coalesce(n_values, 0) > 0 as passed from x", x=" union all ".join(
+        f"select '{c}' as subject, '{kind}' as detail, {_filled_sql('orders', c) if c not in ('o_label', 'o_comment') else 'null'} as n_values"
+        for c, kind in [(c, "required") for c in ["o_orderkey", "o_custkey", "o_totalprice", "o_label"]] + [("o_comment", "optional"), ("o_orderdate", "optional"), ("o_orderstatus", "extra"), ("o_orderpriority", "extra")])),
 )
 def required_columns_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.required_columns(read_table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_label"], ["o_comment", "o_orderdate"])
 
 
-@query("columns_in_one_table", "B1", sql=_values([("text", "left only"), ("lang", "left only"), ("source", "left only"), ("n_chars", "left only"), ("quality", "right only"), ("toxic", "right only")], "column_name, side"))
+@query(
+    "columns_in_one_table", "B1",
+    sql=" union all ".join(f"select '{c}' as column_name, '{side}' as side, {_filled_sql(t, c)} as n_values" for t, side, cs in [("documents", "left only", ["text", "lang", "source", "n_chars"]), ("labels", "right only", ["quality", "toxic"])] for c in cs),
+)
 def columns_in_one_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.compare_columns(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
