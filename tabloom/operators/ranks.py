@@ -8,7 +8,8 @@ correlation, Mann-Whitney) is computed from the same two-level scheme:
 2. distinct values are cut into buckets at approximate quantiles of the distinct
    values; the cut points only decide which task does the work, never the result;
 3. bucket totals (a few thousand small rows) are accumulated, and a window inside
-   each bucket adds the running total of the values below.
+   each bucket adds the running total of the values below. The join that brings the
+   totals back and the window share one partitioning by (group, bucket).
 """
 
 from __future__ import annotations
@@ -39,16 +40,10 @@ def running_totals(
     """
     side = max(2, math.ceil(math.sqrt(buckets or shuffle_partitions(counts.sparkSession))))
     fractions = [i / side**2 for i in range(1, side**2)]
-    cuts = F.percentile_approx(value, F.lit(fractions), F.lit(max(1000, 4 * side**2)))
-    if by:
-        # one row per group: features, members, folds
-        limits = counts.groupBy(*by).agg(cuts.alias("_cuts"))
-        placed = counts.join(limits, by).withColumn("_bucket", _bucket_of(F.col(value), F.col("_cuts"), side))
-    else:
-        limits = counts.agg(cuts.alias("_cuts"))
-        placed = counts.withColumn("_cuts", limits.scalar()).withColumn(
-            "_bucket", _bucket_of(F.col(value), F.col("_cuts"), side)
-        )
+    # Cut at quantiles of the distinct values of all groups together: every bucket then
+    # holds its share of all rows, so no (group, bucket) cell can hold more than that.
+    cuts = counts.agg(F.percentile_approx(value, F.lit(fractions), F.lit(max(1000, 4 * side**2)))).scalar()
+    placed = counts.withColumn("_cuts", cuts).withColumn("_bucket", _bucket_of(F.col(value), F.col("_cuts"), side))
     return totals_over_buckets(placed.drop("_cuts"), by, [F.col(value)], measures)
 
 

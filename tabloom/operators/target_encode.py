@@ -12,22 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tabloom.functions.scalars import logit
+from tabloom.operators.lookup import join_fitted
 
 
 def _smoothed(total: Column, count: Column, prior: Column, smoothing: float) -> Column:
     return (total + prior * F.lit(float(smoothing))) / (count + F.lit(float(smoothing)))
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join in which null equals null, keeping the left key columns."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    condition = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        condition = same if condition is None else condition & same
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def fit_target_table(
     train: DataFrame, keys: list[str], label: str, smoothing: float, out: str = "te"
 ) -> DataFrame:
@@ -40,7 +31,7 @@ def fit_target_table(
 def apply_target_table(frame: DataFrame, table: DataFrame, train: DataFrame, keys: list[str], label: str, out: str = "te") -> DataFrame:
     """Left join of the full map; unseen keys get the train rate."""
     prior = train.agg(F.avg(F.col(label).cast("double"))).scalar()
-    return _join_null_safe(frame, table, keys).withColumn(out, F.coalesce(out, prior))
+    return join_fitted(frame, table, keys).withColumn(out, F.coalesce(out, prior))
 
 
 def oof_target_table(
@@ -76,7 +67,7 @@ def oof_target_encode(
     train: DataFrame, keys: list[str], label: str, fold: str, smoothing: float, prior: str = "fold", out: str = "te"
 ) -> DataFrame:
     """Train rows with their out-of-fold encoding."""
-    return _join_null_safe(train, oof_target_table(train, keys, label, fold, smoothing, prior, out), [*keys, fold])
+    return join_fitted(train, oof_target_table(train, keys, label, fold, smoothing, prior, out), [*keys, fold])
 
 
 def encode_key_sets(
@@ -93,7 +84,7 @@ def encode_key_sets(
     for out, keys in key_sets.items():
         oof = oof_target_table(train, keys, label, fold, smoothing, prior, out).withColumnRenamed(fold, "_fold")
         full = fit_target_table(train, keys, label, smoothing, out).withColumn("_fold", F.lit(None).cast("int"))
-        result = _join_null_safe(result, oof.unionByName(full), [*keys, "_fold"]).withColumn(
+        result = join_fitted(result, oof.unionByName(full), [*keys, "_fold"]).withColumn(
             out, F.coalesce(out, rate)
         )
     return result.drop("_fold")
@@ -138,8 +129,8 @@ def nested_target_encode(
         .withColumn("role", role)
         .withColumn("_cell", F.when(F.col("role") == "fit", F.col(inner)))
     )
-    rows = _join_null_safe(rows, priors.withColumnRenamed(inner, "_cell"), ["context", "_cell"])
-    rows = _join_null_safe(rows, sums.withColumnRenamed(inner, "_cell"), [*keys, "context", "_cell"])
+    rows = join_fitted(rows, priors.withColumnRenamed(inner, "_cell"), ["context", "_cell"])
+    rows = join_fitted(rows, sums.withColumnRenamed(inner, "_cell"), [*keys, "context", "_cell"])
     value = _smoothed(F.coalesce("_s", F.lit(0.0)), F.coalesce("_n", F.lit(0)), F.col("_prior"), smoothing)
     return rows.withColumn(out, value).drop("_s", "_n", "_prior", "_cell")
 
@@ -201,7 +192,7 @@ def oof_rates(
     )
     long = frame.select(*keep, label, fold, F.inline(pairs))
     table = oof_rate_table_by_set(long, frame, label, fold, smoothing)
-    return long.join(table, ["key_set", "key_value", fold]).select(*keep, label, fold, "key_set", "rate")
+    return join_fitted(long, table, ["key_set", "key_value", fold]).select(*keep, label, fold, "key_set", "rate")
 
 
 def rate_logits(
@@ -212,6 +203,13 @@ def rate_logits(
     return rates.select(key, "key_set", logit("rate", eps).alias("logit"))
 
 
+def rate_logit_columns(
+    frame: DataFrame, key: str, key_sets: dict[str, list[Column]], label: str, fold: str, smoothing: float, eps: float = 1e-4
+) -> DataFrame:
+    """The same as one column per key set."""
+    return rate_logits(frame, key, key_sets, label, fold, smoothing, eps).groupBy(key).pivot("key_set", list(key_sets)).agg(F.first("logit"))
+
+
 def oof_rate_table_by_set(long: DataFrame, frame: DataFrame, label: str, fold: str, smoothing: float) -> DataFrame:
     y = F.col(label).cast("double")
     stats = long.groupBy("key_set", "key_value", fold).agg(F.sum(y).alias("_s"), F.count(label).alias("_n"))
