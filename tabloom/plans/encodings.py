@@ -9,6 +9,7 @@ from tabloom.functions.scalars import code_of
 from tabloom.operators import derive as D
 from tabloom.operators import encode as E
 from tabloom.operators import group_stats as G
+from tabloom.operators.lookup import fitted
 from tabloom.plans.common import CATEGORICAL, CONTINUOUS, FOLDED, NUMERIC, RATINGS, SMOOTHING, TRAIN, hash_hex_sql, r, rd
 from tabloom.plans.member_data import folded_train
 from tabloom.plans.registry import plain_sql, query, survey_sql
@@ -260,5 +261,5 @@ def _expect_sql(t: str, keys: list[str]) -> str:
     ),
 )
 def conditional_frequency_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = G.expectation_columns(folded_train(spark, sf_dir), EXPECT, "fold")
+    out = G.expectation_columns(fitted(folded_train(spark, sf_dir), "folds"), EXPECT, "fold")
     return out.select("id", *[r(f"aux_{k}_{t}").alias(f"aux_{k}_{t}") for t in EXPECT for k in ("p", "ev")], r("aux_sum_logp").alias("aux_sum_logp"))

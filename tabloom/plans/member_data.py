@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators.folds import stratified_folds
+from tabloom.operators.lookup import fitted
 from tabloom.operators.target_encode import oof_rates
 from tabloom.plans.common import FOLDED, FOLDS, SEED, SMOOTHING, r
 from tabloom.sources.survey import is_train, survey
@@ -25,11 +26,14 @@ def folded_train(spark: SparkSession, sf_dir: str, columns: list[str] | None = N
 
 
 def member_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, label, fold, member, p), p rounded to 9 digits so that ties are the same everywhere."""
+    """Stored prediction table (id, label, fold, member, p).
+
+    p is rounded to 9 digits so that ties are the same everywhere.
+    """
     train = folded_train(spark, sf_dir, sorted({c for keys in MEMBERS.values() for c in keys}))
     key_sets = {m: [F.col(k) for k in keys] for m, keys in MEMBERS.items()}
     rates = oof_rates(train, ["id"], key_sets, "label", "fold", SMOOTHING)
-    return rates.select("id", "label", "fold", F.col("key_set").alias("member"), r("rate", 9).alias("p"))
+    return fitted(rates.select("id", "label", "fold", F.col("key_set").alias("member"), r("rate", 9).alias("p")), "members")
 
 
 MEMBER_SQL = {

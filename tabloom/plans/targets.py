@@ -81,7 +81,7 @@ def _key_sets_sql(prior: str) -> str:
 
 
 def _key_sets(spark: SparkSession, sf_dir: str, prior: str) -> DataFrame:
-    train = folded_train(spark, sf_dir, ["distance", "age", "class", "travel_type", "customer_type"])
+    train = fitted(folded_train(spark, sf_dir, ["distance", "age", "class", "travel_type", "customer_type"]), "folds")
     out = T.encode_key_sets(train, KEY_SETS, "label", "fold", F.lit(True), SMOOTHING, prior)
     return out.select("id", *[r(n, 9).alias(n) for n in KEY_SETS])
 
