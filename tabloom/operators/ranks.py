@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tabloom.operators.lookup import fitted
 from tabloom.session import shuffle_partitions
 
 
@@ -36,8 +37,11 @@ def running_totals(
 ) -> DataFrame:
     """Add ``below_<m>`` (sum over smaller values) and ``all_<m>`` (sum over the group).
 
-    ``counts`` holds one row per (by, value) with a non-null numeric value.
+    ``counts`` holds one row per (by, value) with a non-null numeric value. It is
+    stored first because it is read three times (cut points, bucket totals, running
+    sums) and would otherwise be derived from the rows each time.
     """
+    counts = fitted(counts, "values")
     side = max(2, math.ceil(math.sqrt(buckets or shuffle_partitions(counts.sparkSession))))
     fractions = [i / side**2 for i in range(1, side**2)]
     # Cut at quantiles of the distinct values of all groups together: every bucket then
