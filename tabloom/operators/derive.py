@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +36,12 @@ def registry(boarding: str = "r6") -> dict[str, Builder]:
     dep, arr = F.col("dep_delay"), _zero_if_null("arr_delay")
     age, distance = F.col("age"), F.col("distance")
     return {
-        "mean_service_rating": lambda o: R.mean_rating(o.ratings),
+        "mean_service_rating": lambda o: R.mean_of_moments(),
         "worst_service_rating": lambda o: R.worst_rating(o.ratings).cast("double"),
-        "count_of_ratings_at_or_below_2": lambda o: R.count_where(o.ratings, lambda x: x <= 2),
-        "count_of_5s": lambda o: R.count_where(o.ratings, lambda x: x == 5),
-        "count_of_1s": lambda o: R.count_where(o.ratings, lambda x: x == 1),
-        "rating_std": lambda o: R.rating_std(o.ratings),
+        "count_of_ratings_at_or_below_2": lambda o: R.count_where(o.ratings, "<= 2"),
+        "count_of_5s": lambda o: R.count_where(o.ratings, "= 5"),
+        "count_of_1s": lambda o: R.count_where(o.ratings, "= 1"),
+        "rating_std": lambda o: R.std_of_moments(),
         "boarding_x_class": lambda o: F.col(boarding) * 10 + S.code_of("class", CLASS_CODES),
         "boarding_x_travel_type": lambda o: F.col(boarding) * 10 + S.code_of("travel_type", TRAVEL_CODES),
         "class_x_customer_type": lambda o: S.code_of("class", CLASS_CODES) * 10 + S.code_of("customer_type", CUSTOMER_CODES),
@@ -58,12 +59,20 @@ def registry(boarding: str = "r6") -> dict[str, Builder]:
 
 
 def add_derived(frame: DataFrame, names: list[str], roles: Roles | None = None, builders: dict[str, Builder] | None = None) -> DataFrame:
-    """All named derived columns in one projection; an unknown name is an error."""
+    """All named derived columns; an unknown name is an error.
+
+    The ratings are freed of nulls and their count, sum and sum of squares taken
+    first, so that the generated code of each projection stays small enough to be
+    compiled.
+    """
     roles, builders = roles or Roles(), builders or registry()
     unknown = [n for n in names if n not in builders]
     if unknown:
         raise ValueError(f"unknown derived features {unknown}; known: {sorted(builders)}")
-    return frame.withColumns({n: builders[n](roles) for n in names})
+    filled = R.fill(roles.ratings)
+    inner = replace(roles, ratings=list(filled))
+    prepared = frame.withColumns(filled).withColumns(R.moments(inner.ratings))
+    return prepared.withColumns({n: builders[n](inner) for n in names}).drop(*filled, "_n", "_s", "_ss")
 
 
 def recode_missing(frame: DataFrame, ratings: list[str], delay: str, mean_fill: float, mean_name: str = "mean_service_rating") -> DataFrame:
@@ -137,20 +146,22 @@ def rating_shape(ratings: list[str]) -> dict[str, Column]:
     raw = {"zero_missing": False}
     return {
         "max_rating": R.best_rating(ratings),
-        "median_rating": R.median_rating(ratings, **raw),
-        "count_at_4_or_5": R.count_where(ratings, lambda x: x >= 4, **raw),
-        "count_at_3": R.count_where(ratings, lambda x: x == 3, **raw),
+        "median_rating": R.median_rating(ratings),
+        "count_at_4_or_5": R.count_where(ratings, ">= 4", **raw),
+        "count_at_3": R.count_where(ratings, "= 3", **raw),
     }
 
 
-def rating_extras(ratings: list[str], top_class: str = "Business") -> dict[str, Column]:
+def add_rating_extras(frame: DataFrame, ratings: list[str], top_class: str = "Business") -> DataFrame:
     raw = {"zero_missing": False}
-    return {
-        "count_at_5": R.count_where(ratings, lambda x: x == 5, **raw),
-        "spread": R.rating_std(ratings, **raw),
-        "count_at_0": R.count_where(ratings, lambda x: x == 0, **raw),
-        "mean_x_class": R.mean_rating(ratings, **raw) * S.flag(F.col("class") == top_class),
-    }
+    return frame.withColumns(R.moments(ratings, **raw)).withColumns(
+        {
+            "count_at_5": R.count_where(ratings, "= 5", **raw),
+            "spread": R.std_of_moments(),
+            "count_at_0": R.count_where(ratings, "= 0", **raw),
+            "mean_x_class": R.mean_of_moments() * S.flag(F.col("class") == top_class),
+        }
+    ).drop("_n", "_s", "_ss")
 
 
 def add_zero_indicators(frame: DataFrame, ratings: list[str]) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabloom.operators.ranks import _bucket_of, melt, running_totals
-from tabloom.session import shuffle_partitions
+from tabloom.operators.ranks import melt, range_buckets, running_totals
 
 REPORT = ["check_name", "subject", "passed", "observed"]
 
@@ -102,9 +101,8 @@ def order_breaks(frame: DataFrame, position: str, key: str) -> DataFrame:
     Neighbours are compared inside range buckets of the position, and the last key
     of a bucket with the first key of the next one.
     """
-    side = max(2, int(shuffle_partitions(frame.sparkSession) ** 0.5) + 1)
-    cuts = frame.agg(F.percentile_approx(position, F.lit([i / side**2 for i in range(1, side**2)]), F.lit(1000))).scalar()
-    placed = frame.select(position, key).withColumn("_cuts", cuts).withColumn("_bucket", _bucket_of(F.col(position), F.col("_cuts"), side))
+    rows = frame.select(position, key)
+    placed = range_buckets(rows, position, rows)
     inside = placed.withColumn("_prev", F.lag(key).over(W.partitionBy("_bucket").orderBy(position)))
     ends = placed.groupBy("_bucket").agg(F.min_by(key, position).alias("_first"), F.max_by(key, position).alias("_last"))
     seams = ends.withColumn("_prev", F.lag("_last").over(W.orderBy("_bucket")))

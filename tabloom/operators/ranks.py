@@ -24,12 +24,21 @@ from tabloom.operators.lookup import fitted
 from tabloom.session import shuffle_partitions
 
 
-def _bucket_of(value: Column, cuts: Column, side: int) -> Column:
-    """Bucket of ``value`` among ``side**2 - 1`` sorted cut points, searched in two steps."""
-    coarse = F.filter(cuts, lambda c, i: ((i + 1) % side == 0) & (c <= value))
-    block = F.size(coarse) * side
-    fine = F.filter(F.slice(cuts, block + 1, F.lit(side - 1)), lambda c: c <= value)
-    return (block + F.size(fine)).cast("int")
+def range_buckets(frame: DataFrame, value: str, cuts_from: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Add ``_bucket``: the range of ``value`` among approximate quantiles of ``cuts_from``.
+
+    The cut points are a one-row subquery. They are searched by halving, one
+    projection per step, which stays in generated code for thousands of buckets.
+    """
+    steps = max(2, math.ceil(math.log2(buckets or shuffle_partitions(frame.sparkSession))))
+    n = 2**steps
+    fractions = F.lit([i / n for i in range(1, n)])
+    cuts = cuts_from.agg(F.percentile_approx(value, fractions, F.lit(max(1000, 4 * n)))).scalar()
+    placed = frame.withColumns({"_cuts": cuts, "_bucket": F.lit(0)})
+    for k in reversed(range(steps)):
+        half = 2**k
+        placed = placed.withColumn("_bucket", F.expr(f"_bucket + if(get(_cuts, _bucket + {half - 1}) <= {value}, {half}, 0)"))
+    return placed.drop("_cuts")
 
 
 def running_totals(
@@ -42,13 +51,10 @@ def running_totals(
     sums) and would otherwise be derived from the rows each time.
     """
     counts = fitted(counts, "values")
-    side = max(2, math.ceil(math.sqrt(buckets or shuffle_partitions(counts.sparkSession))))
-    fractions = [i / side**2 for i in range(1, side**2)]
     # Cut at quantiles of the distinct values of all groups together: every bucket then
     # holds its share of all rows, so no (group, bucket) cell can hold more than that.
-    cuts = counts.agg(F.percentile_approx(value, F.lit(fractions), F.lit(max(1000, 4 * side**2)))).scalar()
-    placed = counts.withColumn("_cuts", cuts).withColumn("_bucket", _bucket_of(F.col(value), F.col("_cuts"), side))
-    return totals_over_buckets(placed.drop("_cuts"), by, [F.col(value)], measures)
+    placed = range_buckets(counts, value, counts, buckets)
+    return totals_over_buckets(placed, by, [F.col(value)], measures)
 
 
 def totals_over_buckets(

@@ -187,7 +187,8 @@ RAW_STD = f"sqrt((13 * ({SQUARES}) - ({ANSWERED_SUM}) * ({ANSWERED_SUM})) / 156.
 )
 def rating_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = {"spread", "mean_x_class"}
-    return survey(spark, sf_dir).select("id", *[(r(c) if n in rounded else c).alias(n) for n, c in D.rating_extras(RATINGS).items()])
+    extras = D.add_rating_extras(survey(spark, sf_dir), RATINGS)
+    return extras.select("id", *[(r(n) if n in rounded else F.col(n)).alias(n) for n in ("count_at_5", "spread", "count_at_0", "mean_x_class")])
 
 
 @query("zero_indicators", "D31", sql=survey_sql("select id, " + ", ".join(f"case when {c} = 0 then 1 else 0 end as {c}_was_zero" for c in RATINGS if c != "r11") + " from survey"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.operators.folds import stratified_folds
+from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc
 from tabloom.operators.target_encode import oof_target_encode
 from tabloom.plans.common import FOLDED, FOLDS, SEED, SMOOTHING, auc_sql, r, rd
@@ -33,7 +34,7 @@ OOF_SQL = {
 )
 def oof_encoding_auc_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = survey(spark, sf_dir).where(is_train()).select("id", "distance", "r6", "label")
-    folded = stratified_folds(train, "id", "label", FOLDS, SEED)
+    folded = fitted(stratified_folds(train, "id", "label", FOLDS, SEED), "folds")
     encoded = oof_target_encode(folded, ["distance", "r6"], "label", "fold", SMOOTHING)
     scored = encoded.withColumn("te", r("te", 9))
     return auc(scored, "te", "label", by=["fold"]).select("fold", "n_pos", "n_neg", r("auc").alias("auc"))

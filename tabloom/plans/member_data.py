@@ -30,7 +30,7 @@ def member_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p is rounded to 9 digits so that ties are the same everywhere.
     """
-    train = folded_train(spark, sf_dir, sorted({c for keys in MEMBERS.values() for c in keys}))
+    train = fitted(folded_train(spark, sf_dir, sorted({c for keys in MEMBERS.values() for c in keys})), "folds")
     key_sets = {m: [F.col(k) for k in keys] for m, keys in MEMBERS.items()}
     rates = oof_rates(train, ["id"], key_sets, "label", "fold", SMOOTHING)
     return fitted(rates.select("id", "label", "fold", F.col("key_set").alias("member"), r("rate", 9).alias("p")), "members")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.session import tune
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 SURVEY_SQL = """
@@ -59,7 +62,13 @@ def query(name: str, *ops: str, sql: str | None = None, note: str = ""):
     def register(fn: QueryFn) -> QueryFn:
         if name in ENTRIES:
             raise ValueError(f"query {name} registered twice")
-        ENTRIES[name] = Entry(name, ops, fn, sql, note)
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return fn(spark, sf_dir)
+
+        ENTRIES[name] = Entry(name, ops, run, sql, note)
         return fn
 
     return register

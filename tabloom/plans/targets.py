@@ -150,7 +150,7 @@ PAIR_SETS = {f"te2_{a}_{b}": [a, b] for a, b in PAIRS}
                    tr=FOLDED, **PRIOR, **{k: v for n, ks in PAIR_SETS.items() for k, v in _oof_ctes(n, ks).items()}),
 )
 def pair_target_encodings_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = folded_train(spark, sf_dir, sorted({c for p in PAIRS for c in p}))
+    train = fitted(folded_train(spark, sf_dir, sorted({c for p in PAIRS for c in p})), "folds")
     sets = {n: [F.col(k) for k in ks] for n, ks in PAIR_SETS.items()}
     rates = T.oof_rates(train, ["id"], sets, "label", "fold", SMOOTHING)
     return rates.groupBy("id").pivot("key_set", list(sets)).agg(F.first(r("rate", 9)))
@@ -218,7 +218,7 @@ def _kv(columns: list[str]) -> str:
     ),
 )
 def rate_logits_at_many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = folded_train(spark, sf_dir, RAW_FEATURES)
+    train = fitted(folded_train(spark, sf_dir, RAW_FEATURES), "folds")
     coarse = modular_keys()
     sets = {n: [coarse[c] if c in COARSE_SQL else F.col(c) for c in ks] for n, ks in LOGIT_KEYS.items()}
     wide = T.rate_logit_columns(train, "id", sets, "label", "fold", SMOOTHING)

@@ -52,5 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the library relies on for speed, never for results.
+
+    HotSpot does not compile methods above 8000 bytes; beyond that Spark should use
+    its split per-expression code instead of one interpreted whole-stage method.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -48,41 +48,28 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
     customers = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     nations = read_table(spark, sf_dir, "nation", ["n_nationkey"])
-    order, cust = F.col("o_orderkey"), F.col("o_custkey")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(
         nations, F.col("c_nationkey") == F.col("n_nationkey")
     )
-    wave = (order * 13) % 97
     ratings = [
-        (F.floor((order * a + cust * b) / d).cast("bigint") % m + off).alias(name)
+        f"cast(floor((o_orderkey * {a} + o_custkey * {b}) / {d}) as bigint) % {m} + {off} as {name}"
         for name, (a, b, d, m, off) in zip(RATINGS, RATING_RULE)
     ]
-    base = joined.select(
-        order.alias("id"),
-        cust.alias("o_custkey"),
-        (7 + (cust * 7) % 79).alias("age"),
-        (67 + 123 * (cust % 40)).alias("distance"),
-        F.greatest(F.lit(0), wave - 80).alias("dep_delay"),
-        F.when(order % 211 == 0, F.lit(None).cast("double"))
-        .otherwise(F.greatest(F.lit(0), wave - 82).cast("double"))
-        .alias("arr_delay"),
-        F.when(F.col("n_nationkey") % 2 == 0, "Female").otherwise("Male").alias("gender"),
-        F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD", "FURNITURE"), "Loyal Customer")
-        .otherwise("disloyal Customer")
-        .alias("customer_type"),
-        F.when(F.col("o_orderstatus") == "F", "Personal Travel").otherwise("Business travel").alias("travel_type"),
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Business")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "Eco Plus")
-        .otherwise("Eco")
-        .alias("class"),
+    base = joined.selectExpr(
+        "o_orderkey as id",
+        "o_custkey",
+        "7 + (o_custkey * 7) % 79 as age",
+        "67 + 123 * (o_custkey % 40) as distance",
+        "greatest(0, (o_orderkey * 13) % 97 - 80) as dep_delay",
+        "if(o_orderkey % 211 = 0, null, cast(greatest(0, (o_orderkey * 13) % 97 - 82) as double)) as arr_delay",
+        "if(n_nationkey % 2 = 0, 'Female', 'Male') as gender",
+        "if(c_mktsegment in ('BUILDING', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE'), 'Loyal Customer', 'disloyal Customer') as customer_type",
+        "if(o_orderstatus = 'F', 'Personal Travel', 'Business travel') as travel_type",
+        "case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'Business' when o_orderpriority = '3-MEDIUM' then 'Eco Plus' else 'Eco' end as class",
         *ratings,
     )
-    points = (
-        3 * F.col("r6") + F.col("r1") + F.col("r7") + F.col("r8")
-        + F.when(F.col("class") == "Business", 6).otherwise(0)
-        + (F.col("id") * 17) % 11
-    )
-    return base.select("*", F.when(points >= 26, 1).otherwise(0).alias("label"))
+    points = "3 * r6 + r1 + r7 + r8 + if(class = 'Business', 6, 0) + (id * 17) % 11"
+    return base.selectExpr("*", f"if({points} >= 26, 1, 0) as label")
 
 
 def is_train():
