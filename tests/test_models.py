@@ -52,7 +52,7 @@ def test_stack_beats_its_best_member_and_noise_gets_little(spark, logits):
     assert abs(weights[2]) < 0.2 < weights[1] < weights[0]
 
 
-def test_identical_members_are_refused(spark, logits):
+def test_identical_members_share_the_weight(spark, logits):
     twice = logits.withColumn("copy", F.col("strong"))
     fit = S.newton_fits(twice, ["strong", "copy"], "label", "fold", {"all": (None, ["strong", "copy"])}, C=1.0)["all"]
     assert fit.weights[0] == pytest.approx(fit.weights[1], abs=1e-6)  # the penalty shares the weight
