@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import hash_hex, hash_number
 from tabloom.operators.ranks import totals_over_buckets
+from tabloom.session import shuffle_partitions
 
 
 def hash_order_position(
-    frame: DataFrame, key: str, seed: int | str, within: list[str] = (), out: str = "position", digits: int = 3
+    frame: DataFrame, key: str, seed: int | str, within: list[str] = (), out: str = "position", digits: int | None = None
 ) -> DataFrame:
     """0-based position of each row in the hash order inside ``within``, exact at any size.
 
     Ordering by the hex digest is ordering by its prefix first, so the prefix is
-    the bucket: each task orders one of ``16**digits`` evenly filled buckets and
-    the counts of the buckets before it are added. Also adds ``<out>_of``, the
-    number of rows in the group.
+    the bucket: each task orders evenly filled buckets and the counts of the buckets
+    before them are added. The prefix gives at least eight buckets per shuffle
+    partition. Also adds ``<out>_of``, the number of rows in the group.
     """
     within = list(within)
+    digits = digits or max(2, math.ceil(math.log(8 * shuffle_partitions(frame.sparkSession), 16)))
     placed = (
         frame.withColumn("_hash", hash_hex(key, seed))
         .withColumn("_bucket", F.substring("_hash", 1, digits))

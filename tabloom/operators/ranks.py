@@ -100,7 +100,7 @@ def mid_ranks(rows: DataFrame, by: list[str], value: str, extra: dict[str, Colum
 def rank_transform(rows: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
     """Rows with ``out`` = average rank / n within ``by`` (ties averaged)."""
     ranks = mid_ranks(rows, by, value).select(*by, value, (F.col("mid_rank") / F.col("all_n")).alias(out))
-    return rows.join(ranks, [*by, value], "left")
+    return rows.join(fitted(ranks, "ranks"), [*by, value], "left")
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
@@ -186,7 +186,7 @@ def spearman_with_label(rows: DataFrame, columns: list[str], label: str) -> Data
 def ranked_columns(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Wide table (key, one mid-rank column per feature)."""
     long = melt(rows, [key], columns)
-    ranks = mid_ranks(long, ["feature"], "value").select("feature", "value", "mid_rank")
+    ranks = fitted(mid_ranks(long, ["feature"], "value").select("feature", "value", "mid_rank"), "ranks")
     return (
         long.join(ranks, ["feature", "value"], "left")
         .groupBy(key)

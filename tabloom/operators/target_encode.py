@@ -71,22 +71,27 @@ def oof_target_encode(
 
 
 def encode_key_sets(
-    frame: DataFrame, key_sets: dict[str, list[str]], label: str, fold: str, is_train: Column, smoothing: float, prior: str = "fold"
+    frame: DataFrame, key_sets: dict[str, list[str]], label: str, fold: str, smoothing: float, is_train: Column | None = None, prior: str = "fold"
 ) -> DataFrame:
     """Several encodings at once: out of fold on train rows, full map on the others.
 
-    Train rows look up (keys, fold); other rows look up the same keys under a null
-    fold, so one join per key set serves both.
+    Without ``is_train`` every row is a train row. Otherwise train rows look up
+    (keys, fold) and other rows the same keys under a null fold, so one join per key
+    set serves both.
     """
+    if is_train is None:
+        result = frame
+        for out, keys in key_sets.items():
+            table = oof_target_table(frame, keys, label, fold, smoothing, prior, out)
+            result = join_fitted(result, table, [*keys, fold])
+        return result
     train = frame.where(is_train)
     result = frame.withColumn("_fold", F.when(is_train, F.col(fold)))
     rate = train.agg(F.avg(F.col(label).cast("double"))).scalar()
     for out, keys in key_sets.items():
         oof = oof_target_table(train, keys, label, fold, smoothing, prior, out).withColumnRenamed(fold, "_fold")
         full = fit_target_table(train, keys, label, smoothing, out).withColumn("_fold", F.lit(None).cast("int"))
-        result = join_fitted(result, oof.unionByName(full), [*keys, "_fold"]).withColumn(
-            out, F.coalesce(out, rate)
-        )
+        result = join_fitted(result, oof.unionByName(full), [*keys, "_fold"]).withColumn(out, F.coalesce(out, rate))
     return result.drop("_fold")
 
 

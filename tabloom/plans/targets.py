@@ -82,7 +82,7 @@ def _key_sets_sql(prior: str) -> str:
 
 def _key_sets(spark: SparkSession, sf_dir: str, prior: str) -> DataFrame:
     train = fitted(folded_train(spark, sf_dir, ["distance", "age", "class", "travel_type", "customer_type"]), "folds")
-    out = T.encode_key_sets(train, KEY_SETS, "label", "fold", F.lit(True), SMOOTHING, prior)
+    out = T.encode_key_sets(train, KEY_SETS, "label", "fold", SMOOTHING, prior=prior)
     return out.select("id", *[r(n, 9).alias(n) for n in KEY_SETS])
 
 
@@ -91,6 +91,23 @@ def key_set_encoding_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _key_sets(spark, sf_dir, "fold")
 
 
+@query(
+    "key_set_encoding_all_rows", "G2", "G3",
+    sql=survey_sql(
+        "select s.id, " + ", ".join(f"{rd(f'coalesce({n}.te, f_{n}.te, (select avg(label) from tr))', 9)} as {n}" for n in ("te_distance", "te_distance_age"))
+        + " from survey s left join tr t on t.id = s.id "
+        + " ".join(f"left join {n} on {_on(n, KEY_SETS[n], 't')} left join f_{n} on s.id % 10 >= 7 and {_on('f_' + n, KEY_SETS[n], 's', False)}" for n in ("te_distance", "te_distance_age")),
+        tr=FOLDED, **PRIOR, **{k: v for n in ("te_distance", "te_distance_age") for k, v in {**_oof_ctes(n, KEY_SETS[n]), f"f_{n}": _full_cte(KEY_SETS[n])}.items()},
+    ),
+)
+def key_set_encoding_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = survey(spark, sf_dir).select("id", "label", "distance", "age")
+    frame = fitted(rows.join(folded_train(spark, sf_dir, []).select("id", "fold"), "id", "left"), "folds")
+    sets = {n: KEY_SETS[n] for n in ("te_distance", "te_distance_age")}
+    out = T.encode_key_sets(frame, sets, "label", "fold", SMOOTHING, is_train=is_train())
+    return out.select("id", *[r(n, 9).alias(n) for n in sets])
+
+
 @query("key_set_encoding_oof_global_prior", "G3", sql=_key_sets_sql("global"))
 def key_set_encoding_oof_global_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _key_sets(spark, sf_dir, "global")

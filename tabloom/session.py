@@ -35,15 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder: on a cluster that
     folder would be lost together with its executor.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
+    context = spark.sparkContext
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     )
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the whole cluster")
         configured = _local_fallback()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 

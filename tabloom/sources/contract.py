@@ -9,11 +9,12 @@ CONTRACT_SCHEMA = "feature string, position int, kind string, levels array<strin
 
 
 def build_contract(
-    train: DataFrame, features: list[str], categorical: list[str], dropped: dict[str, str] | None = None
+    train: DataFrame, features: list[str], categorical: list[str], dropped: dict[str, str] | None = None, max_levels: int = 10_000
 ) -> DataFrame:
     """One row per feature; ``levels`` are the sorted train values of short categoricals.
 
-    Dropped columns stay in the table with position -1 and the reason.
+    Dropped columns stay in the table with position -1 and the reason. A categorical
+    with more than ``max_levels`` values does not belong into a level list and is an error.
     """
     spark = train.sparkSession
     plain = spark.createDataFrame(
@@ -24,14 +25,16 @@ def build_contract(
     listed = [c for c in categorical if c in features]
     if not listed:
         return plain.select("feature", "position", "kind", F.lit(None).cast("array<string>").alias("levels"), "reason")
-    levels = (
+    values = (
         train.select(*[F.col(c).cast("string").alias(c) for c in listed])
         .unpivot([], listed, "feature", "level")
         .where(F.col("level").isNotNull())
         .distinct()
-        .groupBy("feature")
-        .agg(F.array_sort(F.collect_set("level")).alias("levels"))
     )
+    long = values.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > max_levels).limit(20).collect()
+    if long:
+        raise ValueError("too many levels: " + ", ".join(f"{row.feature} ({row.n})" for row in long))
+    levels = values.groupBy("feature").agg(F.array_sort(F.collect_set("level")).alias("levels"))
     return plain.join(levels, "feature", "left").select("feature", "position", "kind", "levels", "reason")
 
 
