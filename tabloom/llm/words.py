@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WINDOW_BASES = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -41,7 +41,7 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, i < n."""
     have = _POWERS.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
+        size = max(n, 1 << n.bit_length())
         out = []
         for b in (base, np.uint64(pow(int(base), -1, 1 << 64))):
             p = np.full(size, b, np.uint64)
