@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near-duplicates, benchmark passages, secrets, source mix."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark passages, secrets, source mix.
+
+Every stage takes (spark, docs, sf_dir), docs with the columns of ``documents``, and returns a DataFrame that is written as
+Parquet and read again as the next stage's docs. Empty input gives empty output; nulls are handled as the operators state.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontaminate as decontamination
+from tabloom.llm import decontaminate, minhash, mixing, quality, secrets
 from tabloom.llm.common import fitted, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the likelihood ratio."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return minhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
-    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked."""
+    return secrets.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the target mix, with their whole passes and, for the open epoch, the tokens of their prefix."""
+    return mixing.mix_documents(docs).where("whole_epochs > 0 or tail_tokens > 0")
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("decontaminate", decontaminate),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_redaction", secret_redaction),
+    ("source_mix", source_mix),
 ]
 
 #: SQL can express neither the likelihood ratio nor the weighted sampling; tests/llm holds a brute-force version.
@@ -26,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stored before the next reads it."""
+    """All stages over ``documents``."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = fitted(stage(spark, docs, sf_dir), name)

@@ -188,7 +188,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size (rows in the class).
 
-    Equal texts are one class whatever they hold; null texts and null ids stay alone (a null id is its own class of null).
+    Equal texts are one class whatever they hold, and so are the texts of one doc_id; null texts and null ids stay alone (a null id is its own class of null).
     Texts without words have no shingles and are linked by equality only. Repeated rows fall into one class.
 
     Candidates of a band bucket are not expanded into pairs. In every round a bucket compares a few representatives with its
@@ -269,3 +269,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = signed.select("rid", "h1", "h2").join(classes, ["h1", "h2"])
     alone = docs.where(~usable).select("doc_id", F.col("doc_id").cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return found.select(F.col("rid").cast(id_type).alias("doc_id"), "class_id", "class_size").unionByName(alone)
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each class, the one with the smallest id; a repeated id stays once.
+
+    Rows with a null id or null text all stay.
+    """
+    first = near_duplicates(docs, threshold).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    alone = F.col("doc_id").isNull() | F.col("text").isNull()
+    return docs.where(~alone).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(alone))

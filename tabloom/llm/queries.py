@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, minhash, quality, substrings
+from tabloom.llm import decontaminate, language, minhash, mixing, pii, quality, secrets, substrings
 from tabloom.llm.common import hex_sha, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,12 +19,34 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes and prefix tokens that every document contributes to the mix."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return mixing.mix_documents(docs).drop("text")
+
+
+SQL["op1_source_mix"] = mixing.SQL
+
+
 @query
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, fixed forms and random strings."""
+    return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, fixed forms and identifiers found by their context."""
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated 35-word passages, removed from every document."""
@@ -38,6 +60,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which benchmark windows occur."""
