@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, language, minhash, mixing, pii, quality, secrets, substrings
+from tabloom.llm import decontaminate, language, minhash, mixing, pii, quality, secrets, separators, substrings, transcripts
 from tabloom.llm.common import hex_sha, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
+@query
+def op5_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all conversations with recovered roles, in canonical form."""
+    return transcripts.parse(read(spark, sf_dir, "conversations"))
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated 35-word passages, removed from every document."""
@@ -71,3 +77,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which benchmark windows occur."""
     found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.withColumn("items_sha256", hex_sha(F.array_join("items", ","))).drop("items")
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted by separators in flat token files."""
+    return separators.count_document_tokens(read(spark, sf_dir, "documents"))
