@@ -73,7 +73,7 @@ class Benchmark:
     """One block of benchmark items, as word ids over its own vocabulary."""
 
     def __init__(self, item_ids: list, texts: list[str], window: int = WINDOW):
-        part = next(slices(pa.array(texts, pa.large_string()), 1 << 62))
+        part = next(slices(pa.array(texts or [""], pa.large_string()), 1 << 62))
         words = folded_words(part)
         self.item_ids = item_ids
         self.vocabulary = np.unique(words.hash)

@@ -3,11 +3,15 @@
 A document is a weighted set of word shingles (``SHINGLE`` folded words, or all its words if it has fewer). The weight of
 a shingle is its count times the mean inverse document frequency of its words, hashed to ``FEATURES`` features and counted
 over all documents. The frequency is taken from words, not from whole shingles, because a shingle's own frequency counts
-exactly what copies share: in a group of thousands it would shrink the common part and with it every similarity.
-
-``BANDS * ROWS`` consistent weighted samples make ``BANDS`` band keys; two documents sharing one are candidates and are
-linked if their generalised Jaccard similarity, sum of minima over sum of maxima, is at least ``THRESHOLD``. At that
-similarity a pair shares a band with probability 1 - (1 - 0.8**4)**16 = 0.9998. Classes are the connected components.
+exactly what copies share: in a group of thousands it would shrink the common part and with it every similarity. For the same
+reason it only adds up to ``IDF`` to a word's weight of 1, and a pair also counts if it reaches the threshold on plain counts:
+an edit that brings in rare words must not part a copy from its original.
+
+``BANDS * ROWS`` consistent weighted samples make ``BANDS`` band keys; two documents sharing one are candidates, unless fewer
+than ``LEAST_EQUAL`` of all samples agree, and are linked if their generalised Jaccard similarity, sum of minima over sum of
+maxima, is at least ``THRESHOLD``. A pair at that similarity shares a band with probability 1 - (1 - 0.8**5)**16 = 0.998 and
+agrees in 64 of 80 samples with a standard deviation of 3.6, so the second condition costs it less than 0.001. Classes are
+the connected components.
 """
 
 from __future__ import annotations
@@ -19,16 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import fitted, shuffle_partitions
+from tabloom.llm.common import fitted
 from tabloom.llm.components import components
 from tabloom.llm.words import Words, folded_words, mix, slices, window_hash
 
 SHINGLE = 5
 THRESHOLD = 0.8
 FEATURES = 1 << 18
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 16, 5
+LEAST_EQUAL = 53
+SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 16)]  # 4 bits of every sample
 TABLE = 1 << 16
 SEED = 20240917
+IDF = 0.5
+BLOCK = 512
 
 
 def _feature(hashes: np.ndarray) -> np.ndarray:
@@ -56,16 +64,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequencies(df: np.ndarray, n_docs: int) -> np.ndarray:
-    return (np.log((n_docs + 1) / (df + 1)) + 1).astype(np.float64)
+    """Weights of word features, from 1 (in every document) to 1 + IDF (in none)."""
+    return 1 + IDF * np.log((n_docs + 1) / (df + 1)) / np.log(n_docs + 2)
 
 
-def weighted_shingles(words: Words, idf: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles: document (ascending), fingerprint, weight."""
+def counted_shingles(words: Words, idf: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, ...]:
+    """Distinct shingles: document (ascending), fingerprint, weight, count."""
     counts = words.counts
     n = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     doc = np.repeat(np.arange(len(counts)), n)
     if not len(doc):
-        return doc, np.zeros(0, np.uint64), np.zeros(0)
+        return doc, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
     start = np.repeat(words.first[:-1], n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     size = np.minimum(width, counts)[doc]
     total = np.concatenate([[0.0], np.cumsum(idf[_feature(words.hash)])])
@@ -77,7 +86,11 @@ def weighted_shingles(words: Words, idf: np.ndarray, width: int = SHINGLE) -> tu
     new[1:] = (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(doc)))
-    return doc[at], shingle[at], mean[at] * times
+    return doc[at], shingle[at], mean[at] * times, times
+
+
+def weighted_shingles(words: Words, idf: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return counted_shingles(words, idf, width)[:3]
 
 
 _VARIATES: list = []
@@ -126,22 +139,42 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return keys
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Generalised Jaccard of two weighted sets (sorted fingerprints, weights)."""
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = np.minimum(a[1][i], b[1][j]).sum()
-    high = a[1].sum() + b[1].sum() - low
-    return float(low / high) if high > 0 else 0.0
+def sketch_words(found: np.ndarray) -> np.ndarray:
+    """The last 4 bits of every sample, 16 samples in a 64-bit number."""
+    low = (found & np.uint32(15)).astype(np.uint64).reshape(len(found), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(low, axis=2)
+
+
+def _equal_samples(a: str, b: str) -> str:
+    """SQL for the number of samples that agree in their 4 bits."""
+    ones = "1229782938247303441L"  # 0x1111111111111111
+    each = []
+    for s in SKETCH:
+        x = f"({a}.{s} ^ {b}.{s})"
+        each.append(f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {ones})")
+    return f"{BANDS * ROWS} - ({' + '.join(each)})"
+
+
+def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
+    """Generalised Jaccard of two weighted sets (sorted fingerprints, weights, counts): the larger of weights and counts."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    best = 0.0
+    for x, y in zip(a[1:], b[1:]):
+        low = np.minimum(x[i], y[j]).sum()
+        high = x.sum() + y.sum() - low
+        best = max(best, float(low / high) if high > 0 else 0.0)
+    return best
 
 
 def _signatures(docs: DataFrame, idf) -> DataFrame:
-    """rid, a 128-bit digest of the text, band keys (null for texts without words)."""
+    """rid, a 128-bit digest of the text, band keys (null for texts without words), 4 bits of every sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
                 words = folded_words(part)
-                keys = band_keys(samples(*weighted_shingles(words, idf.value), len(part))).view(np.int64)
+                found = samples(*weighted_shingles(words, idf.value), len(part))
+                keys, low = band_keys(found).view(np.int64), sketch_words(found).view(np.int64)
                 has = words.counts > 0
                 yield pa.record_batch(
                     {
@@ -149,10 +182,31 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
                         "h1": batch.column("h1").slice(part.lo, len(part)),
                         "h2": batch.column("h2").slice(part.lo, len(part)),
                         "bands": pa.array([k.tolist() if h else None for k, h in zip(keys, has)], pa.list_(pa.int64())),
+                        **{name: pa.array(np.ascontiguousarray(low[:, i])) for i, name in enumerate(SKETCH)},
                     }
                 )
 
-    return docs.select("rid", "h1", "h2", "text").mapInArrow(run, "rid bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    sketch = "".join(f", {name} bigint" for name in SKETCH)
+    return docs.select("rid", "h1", "h2", "text").mapInArrow(run, f"rid bigint, h1 bigint, h2 bigint, bands array<bigint>{sketch}")
+
+
+def _only(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """``docs`` (rid, text) whose rid is in ``ids``. A bitmap of fixed size, broadcast, keeps most other texts out of the shuffle;
+    once it is full it lets all through and the join alone decides."""
+    place = f"cast(pmod(xxhash64(rid), {bits}) as int)"
+    words = ids.selectExpr(f"{place} as p").groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("mask"))
+    table = np.zeros(bits // 64, np.int64)
+    for word, mask in words.toLocalIterator():  # at most bits / 64 rows
+        table[word] = mask
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.asarray(batch.column("p"))
+            keep = (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+            yield batch.filter(pa.array(keep)).select(["rid", "text"])
+
+    return docs.selectExpr("rid", "text", f"{place} as p").mapInArrow(run, "rid bigint, text string").join(ids, "rid")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
@@ -164,12 +218,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
         .select("a", "b", "text_a", "text_b")
     )
 
-    def shingle_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def shingle_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
         for part in slices(column):
-            doc, shingle, weight = weighted_shingles(folded_words(part), idf.value)
+            doc, *rest = counted_shingles(folded_words(part), idf.value)
             cut = np.searchsorted(doc, np.arange(len(part) + 1))
             for d in range(len(part)):
-                yield shingle[cut[d] : cut[d + 1]], weight[cut[d] : cut[d + 1]]
+                yield tuple(x[cut[d] : cut[d + 1]] for x in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int | None, tuple] = (None, ())
@@ -185,20 +239,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def _matched_blocks(rows: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components.
+
+    A bucket is cut into blocks of about ``BLOCK`` members; every pair of blocks (i, j) is a group of its own, so a task never
+    holds more than two blocks however large the bucket is. Inside, samples are compared first, then exact similarities; a
+    pair is looked at only in the first band that it shares.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            links = _links(group)
+            if links:
+                a, b = zip(*links)
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def _links(group: pa.Table) -> list[tuple[int, int]]:
+        if group.num_rows < 2:
+            return []
+        rid, component = (np.asarray(group.column(c)) for c in ("rid", "component"))
+        block, i, j = (np.asarray(group.column(c)) for c in ("block", "i", "j"))
+        bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(len(rid), BANDS)
+        sketch = np.stack([np.asarray(group.column(c)).view(np.uint64) for c in SKETCH], axis=1)
+        band = int(np.flatnonzero(bands[0] == group.column("bucket")[0].as_py())[0])
+        sets: dict[int, tuple] = {}
+        root = {int(c): int(c) for c in component}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        def shingles(k: int) -> tuple:
+            if k not in sets:
+                part = next(slices(group.column("text").slice(k, 1)))
+                sets[k] = counted_shingles(folded_words(part), idf.value)[1:]
+            return sets[k]
+
+        links = []
+        for x in range(len(rid) - 1):
+            y = np.arange(x + 1, len(rid))
+            y = y[(component[y] != component[x]) & ((block[y] != block[x]) | (i[x] == j[x]))]
+            diff = sketch[y] ^ sketch[x]
+            diff |= diff >> np.uint64(1)
+            diff |= diff >> np.uint64(2)
+            unequal = np.bitwise_count(diff & np.uint64(0x1111111111111111)).sum(axis=1)
+            y = y[BANDS * ROWS - unequal >= LEAST_EQUAL]
+            for k in y[(bands[y] == bands[x]).argmax(axis=1) == band].tolist():
+                a, b = find(int(component[x])), find(int(component[k]))
+                if a != b and similarity(shingles(x), shingles(k)) >= threshold:
+                    root[max(a, b)] = min(a, b)
+                    links.append((int(min(rid[x], rid[k])), int(max(rid[x], rid[k]))))
+        return links
+
+    keys = ["bucket", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rid").mapInArrow(run, "a bigint, b bigint")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal (bucket, i, j); the input is sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "i", "j")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+            key = tuple(keys[:, lo])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size (rows in the class).
 
     Equal texts are one class whatever they hold, and so are the texts of one doc_id; null texts and null ids stay alone (a null id is its own class of null).
     Texts without words have no shingles and are linked by equality only. Repeated rows fall into one class.
 
-    Candidates of a band bucket are not expanded into pairs. In every round a bucket compares a few representatives with its
-    other members: first the member that shares most buckets with others (an original among its copies), then about twice as
-    many as in the round before. A representative leaves its bucket after it was compared with every member outside its own
-    component, and a bucket is done when its members are in one component; so no link between components is lost and the
-    number of rounds is at most logarithmic in the largest bucket.
+    Band buckets are not expanded into pairs. First each compares its most central member, the one that shares most buckets with
+    others (an original among its copies), with the rest. What is then in one component needs no further comparison; in buckets that
+    still hold several components, members of different ones are matched block by block, and only links leave the tasks.
     """
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     df, n_docs = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(inverse_frequencies(df, n_docs))
     usable = F.col("text").isNotNull() & F.col("doc_id").isNotNull()
@@ -208,60 +337,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = fitted(_signatures(keyed, idf), "signatures")
 
     # equal texts: one representative carries on
-    exact = fitted(signed.groupBy("h1", "h2").agg(F.min("rid").alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands")), "texts")
-    bands = exact.where(F.col("bands").isNotNull()).select("rep", F.explode("bands").alias("bucket")).distinct()
+    first = [F.first(c).alias(c) for c in ("bands", *SKETCH)]
+    exact = fitted(signed.groupBy("h1", "h2").agg(F.min("rid").alias("rep"), F.count("*").alias("rows"), *first), "texts")
+    bands = exact.where(F.col("bands").isNotNull()).select(F.col("rep").alias("rid"), F.explode("bands").alias("bucket"), *SKETCH)
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = fitted(bands.join(sizes, "bucket").select("bucket", F.col("rep").alias("rid"), "size"), "buckets")
+    shared = fitted(bands.join(sizes, "bucket"), "buckets")
     central = shared.groupBy("rid").agg(F.sum("size").alias("central"))
-    bucketed = fitted(shared.join(central, "rid"), "buckets")
-    candidates = bucketed.select("rid").distinct()
-    texts = fitted(keyed.select("rid", "text").join(candidates, "rid").groupBy("rid").agg(F.min("text").alias("text")), "texts")
-
-    near = None
-    seen = None
-    turn = 0
-    while True:
-        if near is not None:
-            state = components(near)
-            bucketed_now = bucketed.join(state.select(F.col("id").alias("rid"), "component"), "rid", "left").withColumn(
-                "component", F.coalesce("component", "rid")
-            )
-        else:
-            bucketed_now = bucketed.withColumn("component", F.col("rid"))
-        bucketed_now = fitted(bucketed_now, "open")
-        top = bucketed_now.groupBy("bucket").agg(
-            F.max_by("rid", F.struct("central", -F.col("rid"))).alias("top"), F.count("*").alias("left_in"),
-            F.min("component").alias("lo"), F.max("component").alias("hi"),
-        ).where("lo <> hi")
-        open_ = fitted(bucketed_now.join(top, "bucket"), "open")
-        if open_.isEmpty():
-            break
-        step = F.greatest(F.lit(1).cast("long"), F.shiftright(F.col("left_in"), turn))
-        chosen = (F.col("rid") == F.col("top")) | (
-            (F.pmod(F.xxhash64("rid", "bucket", F.lit(turn)), step) == 0) & (F.lit(turn) > 0)
-        )
-        marked = open_.withColumn("chosen", chosen)
-        reps = marked.where("chosen").select("bucket", F.col("rid").alias("r"), F.col("component").alias("rc"))
-        pairs = (
-            marked.join(reps, "bucket").where((F.col("component") != F.col("rc")))
-            .select(F.greatest("rid", "r").alias("x"), F.least("rid", "r").alias("y"), "r", "rid", "central").distinct()
-        )
-        # which end is `a` (joined as the shared side) does not matter for the result
-        pairs = pairs.groupBy("x", "y").agg(F.max("r").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-        if seen is not None:
-            pairs = pairs.withColumn("x", F.greatest("a", "b")).withColumn("y", F.least("a", "b")).join(seen, ["x", "y"], "left_anti").select("a", "b")
-        pairs = fitted(pairs, "pairs")
-        new_seen = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-        seen = new_seen if seen is None else seen.union(new_seen)
-        found = fitted(_verified(pairs, texts, idf, threshold), "verified")
-        near = found if near is None else fitted(near.union(found), "near")
-        bucketed = marked.where(~F.col("chosen")).select("rid", "bucket", "size", "central")
-        turn += 1
+    texts = fitted(_only(keyed.select("rid", "text"), central.select("rid")).groupBy("rid").agg(F.min("text").alias("text")), "texts")
+
+    tops = shared.join(central, "rid").groupBy("bucket").agg(F.max_by(F.struct("rid", *SKETCH), F.struct("central", -F.col("rid"))).alias("t"))
+    near = _verified(fitted(shared.alias("m").join(tops.selectExpr("bucket", "t.*").alias("t"), "bucket").where(
+        f"m.rid <> t.rid and {_equal_samples('m', 't')} >= {LEAST_EQUAL}"
+    ).selectExpr("t.rid as a", "m.rid as b").distinct(), "pairs"), texts, idf, threshold)
+    near = fitted(near, "near")
+    state = components(near).select(F.col("id").alias("rid"), "component")
+    now = shared.join(state, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+    open_ = (
+        now.join(mixed, "bucket").join(texts, "rid").join(exact.select(F.col("rep").alias("rid"), "bands").groupBy("rid").agg(F.first("bands").alias("bands")), "rid")
+        .withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(rid), blocks) as int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "component", "bands", *SKETCH, "text")
+    )
+    near = fitted(near.union(_matched_blocks(open_, idf, threshold)).distinct(), "near")
     classes = exact.select("h1", "h2", "rep", "rows")
-    if near is not None:
-        classes = classes.join(components(near).select(F.col("id").alias("rep"), "component"), "rep", "left")
-    else:
-        classes = classes.withColumn("component", F.col("rep"))
+    classes = classes.join(components(near).select(F.col("id").alias("rep"), "component"), "rep", "left")
     classes = classes.select("h1", "h2", "rows", F.coalesce("component", "rep").alias("class_id"))
     size = classes.groupBy("class_id").agg(F.sum("rows").alias("class_size"))
     classes = classes.join(size, "class_id").select("h1", "h2", "class_id", "class_size")

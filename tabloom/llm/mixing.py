@@ -89,9 +89,9 @@ def _key(seed: int) -> Column:
 
 
 def placed(docs: DataFrame, levels: list[Level]) -> DataFrame:
-    """``docs`` with the level columns (null nodes become empty names) and ``n_tokens``."""
-    known = {level.name: F.coalesce(level.node.cast("string"), F.lit("")) for level in levels}
-    return docs.withColumns({"n_tokens": word_tokens(F.col("text")), **known})
+    """doc_id, the level columns (null nodes become empty names), ``n_tokens`` and the whole row as ``_row``."""
+    known = [F.coalesce(level.node.cast("string"), F.lit("")).alias(level.name) for level in levels]
+    return docs.select("doc_id", *known, word_tokens(F.col("text")).alias("n_tokens"), F.struct(*docs.columns).alias("_row"))
 
 
 def mix(docs: DataFrame, levels: list[Level], budget_share: tuple[int, int] = (3, 5), epochs: int = 2, seed: int = 7) -> DataFrame:
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, levels: list[Level], budget_share: tuple[int, int] = (3
     part = F.substring("_key", 1, DIGITS)
     tail = F.when(F.col("_edge").isNull(), 0).when(part < F.col("_edge"), F.col("n_tokens")).when(part == F.col("_edge"), F.coalesce("_cut", F.lit(0))).otherwise(0)
     kept = [c for c in docs.columns if c not in (*names, "n_tokens", "whole_epochs", "tail_tokens")]
-    return out.select(*kept, *names, "n_tokens", F.col("whole_epochs").cast("long").alias("whole_epochs"), tail.cast("long").alias("tail_tokens"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], *names, "n_tokens", F.col("whole_epochs").cast("long").alias("whole_epochs"), tail.cast("long").alias("tail_tokens"))
 
 
 # The production tree over ``documents``. Weights are fixed values, stated once for the query and its SQL.

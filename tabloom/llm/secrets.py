@@ -172,15 +172,16 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Columns keep their names and order; ``n_chars``, if there, follows the new text. Null texts stay null.
     """
-    scanned = scan(docs)
-    steps = discovery_steps(scanned.select("_tested"))
-    spans = scanned.withColumn("_spans", all_spans(steps))
+    scanned = scan(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    spans = scanned.withColumn("_spans", all_spans(discovery_steps(scanned.select("_tested"))))
     cut = (
         "aggregate(_spans, struct(0 as at, '' as done), (acc, s) -> case when s.start < acc.at then struct(greatest(acc.at, s.stop) as at, acc.done as done) "
         f"else struct(s.stop as at, concat(acc.done, substring(text, acc.at + 1, s.start - acc.at), '{MASK}') as done) end, "
         "acc -> concat(acc.done, substring(text, acc.at + 1)))"
     )
-    out = spans.withColumn("text", F.expr(f"case when size(_spans) > 0 then {cut} else text end"))
+    changed = F.size("_spans") > 0
+    out = spans.withColumn("_text", F.when(changed, F.expr(cut)).otherwise(F.col("text")))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
