@@ -1,22 +1,24 @@
 """Blends and stacks over a prediction table.
 
-Fits that need several passes (Newton steps, weight searches) send k x k sums to
-the driver, never rows; all folds, member subsets and candidate weights of a pass
-share one job.
+Fits that need several passes (Newton steps, weight searches) form their sums as matrix
+products inside the tasks and send only totals to the driver, never rows; all folds, member
+subsets and candidate weights of a pass share one job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tabloom.functions.scalars import logit, sigmoid
 from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc, rank_transform
+from tabloom.session import shuffle_partitions
 
 
 def mean_logit_blend(predictions: DataFrame, keep: list[str], p: str = "p") -> DataFrame:
@@ -56,97 +58,98 @@ class StackFit:
     rows: int = 0
 
 
-def _moments(rows: DataFrame, members: list[str], label: str, fold: str, trials: list[tuple[int | None, np.ndarray]]) -> dict[int, tuple]:
-    """loss, rows, gradient and Hessian sums of every trial (fold left out, weights), one job."""
-    k = len(members) + 1
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("t"), F.lit(-1 if out is None else out).alias("o"), F.array(*[F.lit(float(x)) for x in w]).alias("w"))
-            for i, (out, w) in enumerate(trials)
-        ]
-    )
-    z = [F.col(m) for m in members] + [F.lit(1.0)]
-    spread = (
-        rows.select(F.col(label).cast("double").alias("_y"), F.col(fold).alias("_fold"), *members, F.explode(entries).alias("c"))
-        .where(F.col("_fold") != F.col("c.o"))
-        .withColumn("_eta", _dot(z, F.col("c.w")))
-        .withColumn("_p", sigmoid("_eta"))
-    )
-    residual, variance = F.col("_p") - F.col("_y"), F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-12))
-    loss = F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta"))) - F.col("_y") * F.col("_eta")
-    aggs = [F.count("*").alias("n"), F.sum(loss).alias("loss")]
-    aggs += [F.sum(residual * z[i]).alias(f"g{i}") for i in range(k)]
-    aggs += [F.sum(variance * z[i] * z[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]
-    found = {}
-    for row in spread.groupBy("c.t").agg(*aggs).collect():  # one row per trial
-        gradient = np.array([row[f"g{i}"] for i in range(k)])
-        hessian = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i + 1):
-                hessian[i, j] = hessian[j, i] = row[f"h{i}_{j}"]
-        found[row["t"]] = (row["loss"], row["n"], gradient, hessian)
-    return found
+def _matrix_pass(rows: DataFrame, members: list[str], label: str, fold: str, trials: list[tuple[int | None, np.ndarray]], work, width: int) -> np.ndarray:
+    """Sum over all rows of what ``work(z, y, own, trials)`` gives per batch: one line of ``width`` numbers per trial.
+
+    ``z`` is the batch's member matrix. Tasks keep one line per trial, lines of a trial are added up by one task, and only
+    the totals reach the driver: nothing is repeated per row.
+    """
+    k = len(members)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(trials), width))
+        for batch in batches:
+            z = np.column_stack([np.asarray(batch.column(m), np.float64) for m in members]) if k else np.zeros((batch.num_rows, 0))
+            total += work(z, np.asarray(batch.column("_y"), np.float64), np.asarray(batch.column("_fold")), trials)
+        yield pa.record_batch({"trial": pa.array(range(len(trials)), pa.int32()), "line": pa.array(list(total), pa.list_(pa.float64()))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for trial, line in zip(batch.column("trial").to_pylist(), batch.column("line")):
+                total[trial] = total.get(trial, 0.0) + np.asarray(line.values)
+        yield pa.record_batch({"trial": pa.array(list(total), pa.int32()), "line": pa.array(list(total.values()), pa.list_(pa.float64()))})
+
+    schema = "trial int, line array<double>"
+    lines = rows.select(F.col(label).cast("double").alias("_y"), F.col(fold).cast("int").alias("_fold"), *members).mapInArrow(run, schema)
+    out = np.zeros((len(trials), width))
+    for row in lines.repartition(min(len(trials), shuffle_partitions(rows.sparkSession)), "trial").mapInArrow(add, schema).collect():  # one row per trial
+        out[row.trial] = row.line
+    return out
+
+
+def _logistic_sums(z: np.ndarray, y: np.ndarray, own: np.ndarray, trials: list[tuple[int | None, np.ndarray]]) -> np.ndarray:
+    """Per trial: rows, log loss, gradient and Hessian of the logistic model with a bias."""
+    z = np.column_stack([z, np.ones(len(z))])
+    lines = []
+    for out, w in trials:
+        x, t = (z, y) if out is None else (z[own != out], y[own != out])
+        eta = x @ w
+        p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+        loss = np.logaddexp(0.0, eta).sum() - t @ eta
+        lines.append(np.concatenate([[len(t), loss], x.T @ (p - t), (x.T @ (x * (p * (1 - p))[:, None])).ravel()]))
+    return np.array(lines)
 
 
 def newton_fits(
     rows: DataFrame, members: list[str], label: str, fold: str, tasks: dict[object, tuple[int | None, list[str]]],
-    C: float = 1.0, tol: float = 1e-8, max_iter: int = 50,
+    C: float = 1.0, tol: float = 1e-8, max_iter: int = 60,
 ) -> dict[object, StackFit]:
-    """L2-penalised logistic fits on member logits with an unpenalised bias.
+    """L2-penalised logistic fits on member logits with an unpenalised bias (mean loss + |w|^2 / (2 C n)).
 
-    A task is (fold left out or None, members used). Newton steps of all tasks run
-    together; a step that does not lower the objective enough is halved. A task
-    whose largest gradient stays above ``tol`` is an error.
+    A task is (fold left out or None, members used). From zero weights every task takes damped Newton steps: the damping
+    shrinks tenfold after a step that lowers the objective and grows tenfold after one that does not, which is then taken
+    back. All tasks share one pass over the rows per step. A task still above ``tol`` after ``max_iter`` passes is an error.
     """
-    rate = rows.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    k = len(members)
-    state: dict[object, StackFit] = {}
-    used: dict[object, np.ndarray] = {}
-    for name, (_, chosen) in tasks.items():
-        mask = np.array([m in chosen for m in members] + [True])
-        w = np.where(mask[:k], 1.0 / len(chosen), 0.0)
-        state[name] = StackFit(chosen, np.append(w, np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))))
-        used[name] = mask
-    known: dict[object, tuple] = {}
-    pending = {name: fit.weights for name, fit in state.items()}
-    steps: dict[object, tuple] = {}
-    for _ in range(max_iter * 4):
-        order = list(pending)
-        answer = _moments(rows, members, label, fold, [(tasks[n][0], pending[n]) for n in order])
-        waiting = {}
-        for i, name in enumerate(order):
-            loss, n, gradient, hessian = answer[i]
-            mask, w = used[name], pending[name]
-            penalty = np.append(np.full(k, 1.0 / (C * n)), 0.0)
-            value = loss / n + 0.5 * float((penalty * w**2).sum())
-            gradient = np.where(mask, gradient / n + penalty * w, 0.0)
-            if name in steps:
-                base, direction, step, before, slope = steps[name]
-                if value > before - 1e-4 * step * slope + 1e-14:
-                    if step < 1e-8:
-                        raise ValueError(f"stack {name}: no step lowers the objective")
-                    steps[name] = (base, direction, step / 2, before, slope)
-                    waiting[name] = base - step / 2 * direction
-                    continue
-            fit = state[name]
-            fit.weights, fit.loss, fit.rows, fit.gradient = w, value, n, float(np.abs(gradient).max())
-            if fit.gradient < tol:
+    k = len(members) + 1
+    names = list(tasks)
+    free = {n: np.flatnonzero([m in tasks[n][1] for m in members] + [True]) for n in names}
+    at = {n: np.zeros(k) for n in names}
+    damping = dict.fromkeys(names, 0.0)
+    held: dict[object, tuple] = {}  # accepted point: weights, objective, gradient, Hessian, rows
+    steps = dict.fromkeys(names, 0)
+    done: dict[object, StackFit] = {}
+    for _ in range(max_iter):
+        open_ = [n for n in names if n not in done]
+        if not open_:
+            break
+        sums = _matrix_pass(rows, members, label, fold, [(tasks[n][0], at[n]) for n in open_], _logistic_sums, 2 + k + k * k)
+        for n, line in zip(open_, sums):
+            count, w = line[0], at[n]
+            if count == 0:
+                raise ValueError(f"stack {n}: no rows to fit on")
+            shrink = np.append(np.full(k - 1, 1.0 / (C * count)), 0.0)
+            value = line[1] / count + 0.5 * float(shrink @ (w * w))
+            if n in held and value > held[n][1] + 1e-15:
+                damping[n] = max(damping[n] * 10, 1e-6)
+            else:
+                gradient = line[2 : 2 + k] / count + shrink * w
+                held[n] = (w, value, gradient, line[2 + k :].reshape(k, k) / count + np.diag(shrink), int(count))
+                damping[n] = 0.0 if damping[n] < 1e-9 else damping[n] / 10
+                steps[n] += 1
+            w, value, gradient, curve, count = held[n]
+            steep = float(np.abs(gradient[free[n]]).max())
+            if steep < tol:
+                done[n] = StackFit(tasks[n][1], w, value, steep, steps[n] - 1, count)
                 continue
-            fit.iterations += 1
-            if fit.iterations > max_iter:
-                raise ValueError(f"stack {name}: gradient {fit.gradient:.3g} after {max_iter} steps")
-            where = np.ix_(mask, mask)
-            direction = np.zeros(k + 1)
-            try:
-                direction[mask] = np.linalg.solve((hessian / n + np.diag(penalty))[where], gradient[mask])
-            except np.linalg.LinAlgError as error:
-                raise ValueError(f"stack {name}: two members carry the same logits") from error
-            steps[name] = (w, direction, 1.0, value, float(gradient @ direction))
-            waiting[name] = w - direction
-        pending = waiting
-        if not pending:
-            return state
-    raise ValueError(f"stacks {list(pending)} did not converge")
+            inner = curve[np.ix_(free[n], free[n])]
+            move = np.zeros(k)
+            move[free[n]] = np.linalg.lstsq(inner + damping[n] * np.diag(np.diag(inner)), gradient[free[n]], rcond=None)[0]
+            at[n] = w - move
+    stuck = {str(n): float(np.abs(held[n][2][free[n]]).max()) for n in names if n not in done}
+    if stuck:
+        raise RuntimeError(f"stacks did not settle within {max_iter} passes, largest gradients {stuck}")
+    return done
 
 
 def logit_table(wide: DataFrame, members: list[str], keep: list[str]) -> DataFrame:
@@ -162,8 +165,11 @@ def apply_stack(rows: DataFrame, members: list[str], fit: StackFit) -> Column:
 def nested_stack_scores(
     rows: DataFrame, members: list[str], label: str, fold: str, folds: int, subsets: dict[str, list[str]], keep: list[str], C: float = 1.0
 ) -> tuple[DataFrame, dict[object, StackFit]]:
-    """(keep, label, fold, stack, p): each row scored by weights fitted on the other folds, for every member subset."""
-    tasks = {(s, f): (f, chosen) for s, chosen in subsets.items() for f in range(folds)}
+    """(keep, label, fold, stack, p): each row scored by weights fitted on the other folds, for every member subset.
+
+    The fits also hold each subset's weights over all rows, under (subset, None), for rows to score.
+    """
+    tasks = {(s, f): (f, chosen) for s, chosen in subsets.items() for f in [*range(folds), None]}
     fits = newton_fits(rows, members, label, fold, tasks, C)
     table = F.array(
         *[
@@ -213,42 +219,54 @@ def rank_members(predictions: DataFrame) -> DataFrame:
 
 
 def _binned_aucs(rows: DataFrame, members: list[str], label: str, fold: str, trials: list[tuple[int | None, np.ndarray]], bins: int) -> list[float]:
-    """AUC of every trial blend on scores cut into ``bins``; at most bins x trials cells leave the tasks."""
+    """AUC of every trial blend on scores cut into ``bins``, from two histograms per trial."""
+
+    def histograms(z: np.ndarray, y: np.ndarray, own: np.ndarray, trials: list) -> np.ndarray:
+        score = z @ np.stack([w for _, w in trials], axis=1)
+        cell = np.clip((score * bins).astype(np.int64), 0, bins - 1) + bins * (y > 0).astype(np.int64)[:, None]
+        lines = [np.bincount(cell[:, t] if out is None else cell[own != out, t], minlength=2 * bins) for t, (out, _) in enumerate(trials)]
+        return np.array(lines, np.float64)
+
+    found = []
+    for line in _matrix_pass(rows, members, label, fold, trials, histograms, 2 * bins):
+        neg, pos = line[:bins], line[bins:]
+        below = np.cumsum(neg) - neg
+        found.append(float((pos * (below + neg / 2)).sum() / (pos.sum() * neg.sum())))
+    return found
+
+
+def exact_aucs(rows: DataFrame, members: list[str], label: str, fold: str, finalists: dict[object, tuple[int | None, np.ndarray]]) -> dict[object, float]:
+    """Exact AUC of a few blends, ties averaged, on the rows outside each one's left-out fold."""
+    names = list(finalists)
     entries = F.array(
         *[
             F.struct(F.lit(i).alias("t"), F.lit(-1 if out is None else out).alias("o"), F.array(*[F.lit(float(x)) for x in w]).alias("w"))
-            for i, (out, w) in enumerate(trials)
+            for i, (out, w) in enumerate(finalists.values())
         ]
     )
-    cells = (
-        rows.select(F.col(label).cast("bigint").alias("_y"), F.col(fold).alias("_fold"), *members, F.explode(entries).alias("c"))
-        .where(F.col("_fold") != F.col("c.o"))
-        .groupBy(F.col("c.t").alias("t"), F.floor(_dot([F.col(m) for m in members], F.col("c.w")) * bins).alias("bin"))
-        .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
-    )
-    below = F.coalesce(F.sum("neg").over(W.partitionBy("t").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    table = cells.withColumn("b", below).groupBy("t").agg(
-        (F.sum(F.col("pos") * (F.col("b") + F.col("neg") / 2)) / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc")
-    )
-    found = {row.t: row.auc for row in table.collect()}  # one row per trial
-    return [found[i] for i in range(len(trials))]
+    spread = rows.select(label, F.col(fold).alias("_fold"), *members, F.explode(entries).alias("c")).where(F.col("_fold") != F.col("c.o"))
+    scored = spread.select(label, F.col("c.t").alias("t"), F.round(_dot([F.col(m) for m in members], F.col("c.w")), 12).alias("p"))
+    return {names[r.t]: r.auc for r in auc(scored, "p", label, by=["t"]).collect()}  # one row per finalist
 
 
 def coordinate_ascent(
-    rows: DataFrame, members: list[str], label: str, fold: str, tasks: dict[object, int | None], grid: int = 21, sweeps: int = 4, bins: int = 2000
+    rows: DataFrame, members: list[str], label: str, fold: str, tasks: dict[object, int | None], grid: int = 21, sweeps: int = 4, bins: int = 10_000
 ) -> dict[object, np.ndarray]:
     """Non-negative weights summing to one that maximise AUC, per task (fold left out or None).
 
-    Every member's candidate weights of all tasks are tried in one job. The search
-    compares binned AUCs; report the result with the exact ``auc``.
+    Every member's candidate weights of all tasks are tried in one pass. Inside a sweep candidates are compared on binned
+    AUCs; what a sweep ends with replaces what it began with only if its exact AUC is higher.
     """
     weights = {t: np.full(len(members), 1.0 / len(members)) for t in tasks}
     values = np.linspace(0.0, 1.0, grid)
+    settled: set = set()
     for _ in range(sweeps):
-        moved = False
+        begun = {t: w / w.sum() for t, w in weights.items()}
         for i in range(len(members)):
             trials, owners = [], []
             for t, out in tasks.items():
+                if t in settled:
+                    continue
                 for v in [weights[t][i], *values]:
                     w = weights[t].copy()
                     w[i] = v
@@ -261,9 +279,15 @@ def coordinate_ascent(
                 if t not in best or score > best[t][0] + 1e-12:
                     best[t] = (score, w)
             for t, (_, w) in best.items():
-                if not np.array_equal(w, weights[t]):
-                    weights[t], moved = w, True
-        if not moved:
+                weights[t] = w
+        ended = {t: weights[t] / weights[t].sum() for t in tasks if t not in settled}
+        finalists = {(t, which): (tasks[t], w) for t in ended for which, w in (("begun", begun[t]), ("ended", ended[t]))}
+        exact = exact_aucs(rows, members, label, fold, finalists)
+        for t in ended:
+            if exact[t, "ended"] <= exact[t, "begun"]:
+                weights[t] = begun[t]
+                settled.add(t)
+        if len(settled) == len(tasks):
             break
     return {t: w / w.sum() for t, w in weights.items()}
 
