@@ -1,18 +1,18 @@
-"""Neighbour votes against a reference set held in bounded blocks.
+"""Neighbour votes by block joins on the executors.
 
-Queries stay partitioned; each block of at most ``block_rows`` references is sent
-to the tasks and compared by one matrix product per Arrow batch. A reference set
-of any size is covered, block by block, and the partial results are merged per query.
+Queries and references are dealt into blocks of about ``block_rows`` rows; every pair of a query block and a reference block
+is one group, compared by one matrix product, and the partial results are merged per query. No block, on either side, ever
+passes through the driver, and a task holds two blocks whatever the tables' sizes.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import hash_number
@@ -32,81 +32,64 @@ def scale_vectors(frame: DataFrame, reference: DataFrame, vector: str) -> DataFr
     return frame.withColumn("_f", moments).withColumn(vector, scaled).drop("_f")
 
 
-def _blocks(reference: DataFrame, key: str, vector: str, label: str, block_rows: int) -> Iterator[tuple]:
-    """(ids, matrix, labels) of at most about ``block_rows`` references each."""
-    n = reference.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    placed = reference.select(
-        F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y"),
-        (hash_number(key, "block") % blocks).alias("b"),
-    )
-    for b in range(blocks):
-        part = placed.where(F.col("b") == b).toPandas()
-        if len(part):
-            yield part["k"].to_numpy(), np.vstack(part["v"].to_numpy()), part["y"].to_numpy()
+def _block_pairs(queries: DataFrame, reference: DataFrame, key: str, vector: str, label: str, block_rows: int, schema: str, work: Callable) -> DataFrame:
+    """``work(query ids, squared distances, reference ids, labels)`` for every pair of blocks."""
+    nq, nr = (max(1, -(-frame.count() // block_rows)) for frame in (queries, reference))
+
+    def dealt(frame: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return frame.withColumn(own, (hash_number("k", "block") % n).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
+    left = dealt(queries.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")), "qb", nq, "rb", nr)
+    right = reference.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("double").alias("y"))
+    right = dealt(right, "rb", nr, "qb", nq)
 
-def _per_block(queries: DataFrame, key: str, vector: str, blocks: Iterator[tuple], schema: str, work: Callable) -> DataFrame:
-    context = queries.sparkSession.sparkContext
-    parts = None
-    wanted = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    for block in blocks:
-        shared = context.broadcast(block)
+    def matrix(table: pa.Table) -> np.ndarray:
+        flat = np.asarray(table.column("v").combine_chunks().flatten())
+        return flat.reshape(table.num_rows, -1)
 
-        def run(batches, shared=shared):
-            ids, matrix, labels = shared.value
-            norms = (matrix * matrix).sum(axis=1)
-            for batch in batches:
-                if len(batch):
-                    x = np.vstack(batch["v"].to_numpy())
-                    d2 = np.maximum((x * x).sum(axis=1)[:, None] + norms[None, :] - 2.0 * (x @ matrix.T), 0.0)
-                    yield work(batch["q"].to_numpy(), d2, ids, labels)
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return work(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(1, np.int64), np.zeros(1))
+        x, z = matrix(a), matrix(b)
+        d2 = np.maximum((x * x).sum(axis=1)[:, None] + (z * z).sum(axis=1)[None, :] - 2.0 * (x @ z.T), 0.0)
+        return work(np.asarray(a.column("k")), d2, np.asarray(b.column("k")), np.asarray(b.column("y")))
 
-        part = wanted.mapInPandas(run, schema)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(run, schema)
 
 
 def knn_vote(queries: DataFrame, reference: DataFrame, key: str, vector: str, label: str, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, p): distance-weighted share of positives among the k nearest references.
 
-    References at distance 0, if any, decide alone.
+    References at distance 0, if any, decide alone; ties in distance go to the smaller reference key.
     """
 
-    def nearest(q, d2, ids, labels) -> pd.DataFrame:
-        take = min(k, d2.shape[1])
-        edge = np.partition(d2, take - 1, axis=1)[:, take - 1]
-        rows = []
-        for i in range(len(q)):
-            inside = np.flatnonzero(d2[i] <= edge[i])
-            order = inside[np.lexsort((ids[inside], d2[i, inside]))][:take]
-            rows.append([{"d2": float(d2[i, j]), "r": int(ids[j]), "y": float(labels[j])} for j in order])
-        return pd.DataFrame({"q": q, "near": rows})
-
-    schema = "q bigint, near array<struct<d2:double,r:bigint,y:double>>"
-    parts = _per_block(queries, key, vector, _blocks(reference, key, vector, label, block_rows), schema, nearest)
-    # one short list per block and query
-    merged = parts.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    exact = F.exists("near", lambda n: n["d2"] <= 1e-12)
-
-    def weight(n: Column) -> Column:
-        return F.when(F.col("exact"), (n["d2"] <= 1e-12).cast("double")).otherwise(1 / F.sqrt(n["d2"]))
+    def nearest(q: np.ndarray, d2: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> pa.Table:
+        by_id = np.argsort(ids, kind="stable")
+        d2, ids, labels = d2[:, by_id], ids[by_id], labels[by_id]
+        order = np.argsort(d2, axis=1, kind="stable")[:, : min(k, d2.shape[1])]
+        near = np.take_along_axis(d2, order, axis=1)
+        return pa.table({"q": np.repeat(q, order.shape[1]), "d2": near.ravel(), "r": ids[order].ravel(), "y": labels[order].ravel()})
 
-    total = F.aggregate("near", F.lit(0.0), lambda a, n: a + weight(n))
-    votes = F.aggregate("near", F.lit(0.0), lambda a, n: a + weight(n) * n["y"])
-    return merged.withColumn("exact", exact).select(F.col("q").alias(key), (votes / total).alias("p"))
+    parts = _block_pairs(queries, reference, key, vector, label, block_rows, "q bigint, d2 double, r bigint, y double", nearest)
+    best = parts.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy("d2", "r"))).where(F.col("n") <= k)
+    touch = F.col("d2") <= 1e-12
+    total = best.groupBy("q").agg(
+        F.count_if(touch).alias("exact"), F.sum(F.when(touch, F.col("y"))).alias("exact_y"),
+        F.sum(F.when(~touch, 1 / F.sqrt("d2"))).alias("w"), F.sum(F.when(~touch, F.col("y") / F.sqrt("d2"))).alias("wy"),
+    )
+    return total.select(F.col("q").alias(key), F.when(F.col("exact") > 0, F.col("exact_y") / F.col("exact")).otherwise(F.col("wy") / F.col("w")).alias("p"))
 
 
 def soft_vote(queries: DataFrame, reference: DataFrame, key: str, vector: str, label: str, tau: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, p): softmax(-d2 / tau) weighted share of positives over all references."""
 
-    def partial(q, d2, ids, labels) -> pd.DataFrame:
+    def partial(q: np.ndarray, d2: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> pa.Table:
         low = d2.min(axis=1)
         w = np.exp(-(d2 - low[:, None]) / tau)
-        return pd.DataFrame({"q": q, "low": low, "w": w.sum(axis=1), "wy": w @ labels})
+        return pa.table({"q": q, "low": low, "w": w.sum(axis=1), "wy": w @ labels})
 
-    parts = _per_block(queries, key, vector, _blocks(reference, key, vector, label, block_rows), "q bigint, low double, w double, wy double", partial)
-    least = parts.groupBy("q").agg(F.min("low").alias("least"), F.collect_list(F.struct("low", "w", "wy")).alias("parts"))
+    parts = _block_pairs(queries, reference, key, vector, label, block_rows, "q bigint, low double, w double, wy double", partial)
+    least = parts.groupBy("q").agg(F.min("low").alias("least"), F.collect_list(F.struct("low", "w", "wy")).alias("parts"))  # one per block
 
     def summed(field: str) -> Column:
         return F.aggregate("parts", F.lit(0.0), lambda a, x: a + x[field] * F.exp(-(x["low"] - F.col("least")) / tau))
