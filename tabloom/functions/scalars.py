@@ -71,3 +71,13 @@ def ratio(numerator: Column, denominator: Column, undefined: float | None = None
 def flag(condition: Column) -> Column:
     """0/1 column; null conditions count as 0."""
     return F.coalesce(condition, F.lit(False)).cast("int")
+
+
+def text_key(columns: list[str | Column], sep: str = "|") -> Column:
+    """Several values as one text that tells all combinations apart: the separator and the escape are escaped, null is ``\\N``."""
+
+    def one(c: str | Column) -> Column:
+        text = (F.col(c) if isinstance(c, str) else c).cast("string")
+        return F.coalesce(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(sep), F.lit("\\" + sep)), F.lit("\\N"))
+
+    return F.concat_ws(sep, *[one(c) for c in columns])

@@ -170,10 +170,10 @@ def add_zero_indicators(frame: DataFrame, ratings: list[str]) -> DataFrame:
     return frame.withColumns({f"{c}_was_zero": S.flag(F.col(c) == 0) for c in ratings if seen[c]})
 
 
-def pairwise_products(columns: list[str], max_pairs: int = 400) -> dict[str, Column]:
-    """Products of all column pairs; more pairs than ``max_pairs`` is an error, not a silent cut."""
+def pairwise_products(columns: list[str], max_pairs: int | None = None) -> dict[str, Column]:
+    """Products of all column pairs; with ``max_pairs``, more pairs are an error, not a silent cut."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    if len(pairs) > max_pairs:
+    if max_pairs is not None and len(pairs) > max_pairs:
         raise ValueError(f"{len(pairs)} products exceed max_pairs={max_pairs}")
     return {f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in pairs}
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tabloom.functions.scalars import text_key
 from tabloom.operators.folds import hash_order_position
 from tabloom.operators.lookup import fitted, join_fitted
 
@@ -71,15 +72,14 @@ def factorise(frame: DataFrame, columns: list[str], out: str = "code") -> DataFr
     Ids follow the hash order of the combination, which is stable and is counted
     without a global window.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns])
-    keyed = frame.withColumn("_key", text)
+    keyed = frame.withColumn("_key", text_key(columns))
     ids = hash_order_position(keyed.select("_key").distinct(), "_key", "factorise", out=out).drop(f"{out}_of")
     return join_fitted(keyed, ids, ["_key"]).drop("_key")
 
 
 def composite_key(columns: list[str], sep: str = "|") -> Column:
-    """Several columns as one text key; null forms its own key."""
-    return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns])
+    """Several columns as one text key; null forms its own key and no two combinations share one."""
+    return text_key(columns, sep)
 
 
 def pair_keys(pairs: list[tuple[str, str]]) -> dict[str, Column]:

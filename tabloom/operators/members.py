@@ -24,6 +24,7 @@ from tabloom.functions.scalars import logit, sigmoid
 from tabloom.operators.folds import hash_order_position
 from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc
+from tabloom.sources.sinks import fingerprint
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,7 @@ ESTIMATORS: dict[str, Callable[..., Estimator]] = {
     "factorization": FMClassifier,
 }
 UNSEEDED = {"logistic"}  # deterministic estimators without a seed parameter
+TREES = {"tree", "forest", "boosted"}
 SCALED = {"logistic", "perceptron", "factorization"}
 
 
@@ -109,6 +111,11 @@ def fit_member(train: DataFrame, spec: MemberSpec) -> PipelineModel:
         prepared = Pipeline(stages=preparation(spec)).fit(numeric_input(train, list(spec.numeric)))
         width = prepared.transform(numeric_input(train, list(spec.numeric)).limit(1)).select("features").first()[0].size
         params["layers"] = [width, *hidden, 2]
+    if spec.kind in TREES and spec.categorical and "maxBins" not in params:
+        # a split on a category needs a bin for each of its levels
+        levels = train.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in spec.categorical]).first()
+        most = max(levels[c] for c in spec.categorical)
+        params["maxBins"] = max(32, int(most * 1.1) + 2)
     estimator = build_model(spec.kind, params, spec.seed, spec.label, spec.weight)
     return Pipeline(stages=[*preparation(spec), estimator]).fit(numeric_input(train, list(spec.numeric)))
 
@@ -158,11 +165,12 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 def resumable_cross_validate(frame: DataFrame, spec: MemberSpec, fold: str, folds: int, root: str, key: str = "id") -> tuple[DataFrame, list[int]]:
     """Cross-validation that keeps finished folds below ``root``; returns predictions and the folds fitted now.
 
-    A stored fold counts only if model, fold count, row count and the fold's own
-    rows are the same; anything else lies under another fingerprint or is refitted.
+    A stored fold counts only if model, fold count and content (keys, folds, labels and features of
+    all rows) are the same; anything else lies under another fingerprint or is refitted.
     """
     sizes = {row[fold]: row["n"] for row in frame.groupBy(fold).agg(F.count("*").alias("n")).collect()}  # one row per fold
-    mark = spec.fingerprint(folds=folds, rows=sum(sizes.values()))
+    content = fingerprint(frame, [key, fold, spec.label, *spec.features]).first()
+    mark = spec.fingerprint(folds=folds, rows=content["rows"], content=content["digest"])
     fitted_now, parts = [], []
     for f in range(folds):
         path = f"{root}/member={spec.name}/fingerprint={mark}/fold={f}"
@@ -282,21 +290,22 @@ def random_parameters(ranges: dict[str, list], n: int, seed: int) -> list[dict]:
 
 
 def random_search(
-    train: DataFrame, held: DataFrame, spec: MemberSpec, ranges: dict[str, list], n: int, confirm: int, small: dict, full: dict, seed: int, seconds: float | None = None
+    train: DataFrame, held: DataFrame, spec: MemberSpec, ranges: dict[str, list], n: int, confirm: int, small: dict, full: dict, seed: int
 ) -> DataFrame:
     """(stage, trial, params, auc): ``n`` draws at the small budget, the best ``confirm`` of them again at the full one.
 
-    With ``seconds`` the first stage stops drawing when the time is used up.
+    The budget is the number of trials, so the result is the same on any machine. Equal draws are fitted once.
     """
-    started, trials = time.monotonic(), []
+    trials, known = [], {}
 
     def evaluate(params: dict) -> float:
-        own = replace(spec, params=params)
-        return auc(score(fit_member(train, own), held, own, [spec.label]), "p", spec.label).first()["auc"]
+        mark = json.dumps(params, sort_keys=True)
+        if mark not in known:
+            own = replace(spec, params=params)
+            known[mark] = auc(score(fit_member(train, own), held, own, [spec.label]), "p", spec.label).first()["auc"]
+        return known[mark]
 
     for i, draw in enumerate(random_parameters(ranges, n, seed)):
-        if seconds is not None and trials and time.monotonic() - started > seconds:
-            break
         trials.append(("search", i, draw, evaluate({**draw, **small})))
     for _, i, draw, _ in sorted(trials, key=lambda t: (-t[3], t[1]))[:confirm]:
         trials.append(("confirm", i, draw, evaluate({**draw, **full})))
@@ -324,15 +333,15 @@ def margin_boosting(frame: DataFrame, linear: MemberSpec, tree_params: dict, fol
         fit, held = frame.where(F.col(fold) != f), frame.where(F.col(fold) == f)
         model = fit_member(fit, replace(linear, seed=linear.seed + f))
         prepared = model.transform(numeric_input(fit, list(linear.numeric)))
-        residual = F.col(linear.label) - positive_probability()
-        trees = GBTRegressor(featuresCol="_raw", labelCol="_res", predictionCol="_step", seed=linear.seed + f, **tree_params).fit(
-            prepared.select("_raw", residual.alias("_res"))
+        # one Newton step on the margin: residual over weight as the target, p (1 - p) as the weight
+        weight = F.greatest(positive_probability() * (1 - positive_probability()), F.lit(1e-6))
+        target = (F.col(linear.label) - positive_probability()) / weight
+        trees = GBTRegressor(featuresCol="_raw", labelCol="_res", weightCol="_w", predictionCol="_step", seed=linear.seed + f, **tree_params).fit(
+            prepared.select("_raw", target.alias("_res"), weight.alias("_w"))
         )
         scored = trees.transform(model.transform(numeric_input(held, list(linear.numeric))))
         first = positive_probability()
-        # a residual r at probability p moves the margin by r / (p (1 - p)), one Newton step
-        step = F.col("_step") / F.greatest(first * (1 - first), F.lit(0.05))
-        part = scored.select(key, F.lit(f).alias("fold"), linear.label, first.alias("p_linear"), sigmoid(logit(first) + step).alias("p"))
+        part = scored.select(key, F.lit(f).alias("fold"), linear.label, first.alias("p_linear"), sigmoid(logit(first) + F.col("_step")).alias("p"))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

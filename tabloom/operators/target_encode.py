@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabloom.functions.scalars import logit
+from tabloom.functions.scalars import logit, text_key
 from tabloom.operators.lookup import join_fitted
 
 
@@ -190,7 +190,7 @@ def oof_rates(
         *[
             F.struct(
                 F.lit(name).alias("key_set"),
-                F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("nan")) for c in columns]).alias("key_value"),
+                text_key(columns).alias("key_value"),
             )
             for name, columns in key_sets.items()
         ]

@@ -84,7 +84,13 @@ def ordinal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FACTOR = "concat_ws('|', class, coalesce(cast(arr_delay as varchar), 'nan'))"
+def _key_sql(columns: list[str], sep: str) -> str:
+    """Twin of ``text_key``."""
+    parts = [rf"coalesce(replace(replace(cast({c} as varchar), '\', '\\'), '{sep}', '\{sep}'), '\N')" for c in columns]
+    return f"concat_ws('{sep}', {', '.join(parts)})"
+
+
+FACTOR = _key_sql(["class", "arr_delay"], "|")
 
 
 @query("factorise", "E6", sql=survey_sql("select id, code from survey join k on k.kv = " + FACTOR, k=f"select kv, row_number() over (order by {hash_hex_sql('kv', 'factorise')}, kv) - 1 as code from (select distinct {FACTOR} as kv from survey) d"))
@@ -105,7 +111,7 @@ PAIRS = [
 ]
 
 
-@query("pair_keys", "E8", sql=survey_sql("select id, " + ", ".join(f"concat_ws('_', cast({a} as varchar), cast({b} as varchar)) as pair_{a}_{b}" for a, b in PAIRS) + " from survey"))
+@query("pair_keys", "E8", sql=survey_sql("select id, " + ", ".join(f"{_key_sql([a, b], '_')} as pair_{a}_{b}" for a, b in PAIRS) + " from survey"))
 def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey(spark, sf_dir).select("id", *[v.alias(n) for n, v in E.pair_keys(PAIRS).items()])
 

@@ -61,7 +61,7 @@ def ordinal_target_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql=survey_sql(
         "select feature, position, n_levels from (" + " union all ".join(
             f"select '{f}' as feature, {i} as position, {f'(select count(distinct {f}) from survey where id % 10 < 7)' if f in CATEGORICAL else 'cast(0 as bigint)'} as n_levels" for i, f in enumerate(RAW_FEATURES)
-        ) + ") c where (starts_with(feature, 'r') or starts_with(feature, 'c') or starts_with(feature, 'd')) and not starts_with(feature, 'r1') and not ends_with(feature, '_type')"
+        ) + ") c where (starts_with(feature, 'r') or starts_with(feature, 'c') or starts_with(feature, 'd')) and not ends_with(feature, '_type')"
     ),
 )
 def feature_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,13 +122,13 @@ def model_registry_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
         "perceptron": {"hidden": [8], "maxIter": 20}, "factorization": {"factorSize": 4, "maxIter": 20, "stepSize": 0.1},
     }
     specs = [M.MemberSpec(kind, kind, CORE, ("class",), p, SEED) for kind, p in params.items()]
-    return M.compare_members(_two_folds(spark, sf_dir), specs, "fold", 2)
+    return M.compare_members(_folds(spark, sf_dir), specs, "fold", FOLDS)
 
 
-def _two_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.operators.folds import hash_folds
 
-    return fitted(hash_folds(survey(spark, sf_dir).where(is_train()), "id", 2, SEED), "folds")
+    return fitted(hash_folds(survey(spark, sf_dir).where(is_train()), "id", FOLDS, SEED), "folds")
 
 
 @query("logistic_coefficients", "I4", note="impute, scale, fit; coefficients by magnitude")
@@ -185,14 +185,14 @@ def factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("segment_models", "I12", note="one model per class, class column removed, pooled AUC and AUC per segment")
 def segment_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = replace(LOGISTIC, categorical=("class", "travel_type"))
-    pooled = fitted(M.segment_models(_two_folds(spark, sf_dir), spec, "class", ["Business", "Eco", "Eco Plus"], "fold", 2), "segments")
+    pooled = fitted(M.segment_models(_folds(spark, sf_dir), spec, "class", ["Business", "Eco", "Eco Plus"], "fold", FOLDS), "segments")
     both = pooled.select("segment", "label", "p").unionByName(pooled.select(F.lit("pooled").alias("segment"), "label", "p"))
     return auc(both, "p", "label", by=["segment"])
 
 
 @query("two_stage_margin_boosting", "I13", note="linear margin first, regression trees on its residuals")
 def two_stage_margin_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = fitted(M.margin_boosting(_two_folds(spark, sf_dir), LOGISTIC, {"maxIter": 4, "maxDepth": 4}, "fold", 2), "margin")
+    scored = fitted(M.margin_boosting(_folds(spark, sf_dir), LOGISTIC, {"maxIter": 4, "maxDepth": 4}, "fold", FOLDS), "margin")
     both = scored.select(F.lit("linear").alias("stage"), "label", F.col("p_linear").alias("p")).unionByName(scored.select(F.lit("boosted").alias("stage"), "label", "p"))
     return auc(both, "p", "label", by=["stage"])
 
@@ -209,7 +209,7 @@ def auxiliary_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("auxiliary_expectations_oof", "I15", note="the same by folds for train rows, fixed column order")
 def auxiliary_expectations_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.oof_expectations(_two_folds(spark, sf_dir), ["r6", "class"], NUMERIC, CATEGORICAL, "fold", 2, SEED, ["id"], AUX_PARAMS)
+    return M.oof_expectations(_folds(spark, sf_dir), ["r6", "class"], NUMERIC, CATEGORICAL, "fold", FOLDS, SEED, ["id"], AUX_PARAMS)
 
 
 @query("column_predictability", "I17", note="accuracy of predicting each column from the others")
@@ -228,10 +228,10 @@ def cross_validated_member(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("resumable_folds", "I20", note="second run finds every fold and fits none; a changed spec fits all")
 def resumable_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, frame = scratch_path(spark, "resumable"), _two_folds(spark, sf_dir)
+    root, frame = scratch_path(spark, "resumable"), _folds(spark, sf_dir)
     rows = []
     for run, spec in [("first", LOGISTIC), ("again", LOGISTIC), ("changed", replace(LOGISTIC, params={"regParam": 0.1}))]:
-        predictions, fitted_now = M.resumable_cross_validate(frame, spec, "fold", 2, root)
+        predictions, fitted_now = M.resumable_cross_validate(frame, spec, "fold", FOLDS, root)
         rows.append((run, len(fitted_now), predictions.count()))
     return spark.createDataFrame(rows, "run string, folds_fitted int, n_rows bigint")
 
@@ -247,29 +247,29 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l1_feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(survey(spark, sf_dir))
     spec = M.MemberSpec("l1", "logistic", tuple(NUMERIC), (), {"maxIter": 20}, SEED)
-    return M.l1_selection(rows.where(is_train()), rows.where(~is_train()), spec, [0.01, 0.05])
+    return M.l1_selection(rows.where(is_train()), rows.where(~is_train()), spec, [0.001, 0.003, 0.01, 0.03, 0.05, 0.1])
 
 
 @query("feature_ablation", "I23", note="base, base plus each group, all groups")
 def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _two_folds(spark, sf_dir)
+    frame = _folds(spark, sf_dir)
     added = D.add_derived(frame, ["mean_service_rating", "age_squared", "any_delay"])
     base = replace(LOGISTIC, numeric=("r6", "age"), categorical=())
-    return M.feature_ablation(added, base, {"ratings": ("r1", "r7", "r8"), "derived": ("mean_service_rating", "age_squared", "any_delay")}, "fold", 2)
+    return M.feature_ablation(added, base, {"ratings": ("r1", "r7", "r8"), "derived": ("mean_service_rating", "age_squared", "any_delay")}, "fold", FOLDS)
 
 
 @query("random_search_with_confirm", "I25", note="small-budget draws, best ones refitted at full budget")
 def random_search_with_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(survey(spark, sf_dir))
     ranges = {"regParam": [0.0, 0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
-    return M.random_search(rows.where(is_train()), rows.where(~is_train()), LOGISTIC, ranges, 5, 2, {"maxIter": 3}, {"maxIter": 20}, SEED)
+    return M.random_search(rows.where(is_train()), rows.where(~is_train()), LOGISTIC, ranges, 40, 5, {"maxIter": 3}, {"maxIter": 20}, SEED)
 
 
-@query("budgeted_search", "I26", note="draws until the time budget is used, ranked trial table")
+@query("budgeted_search", "I26", note="a budget of 30 trials, ranked trial table")
 def budgeted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(survey(spark, sf_dir))
     ranges = {"regParam": [0.0, 0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
-    return M.random_search(rows.where(is_train()), rows.where(~is_train()), LOGISTIC, ranges, 30, 0, {"maxIter": 10}, {}, SEED, seconds=6.0)
+    return M.random_search(rows.where(is_train()), rows.where(~is_train()), LOGISTIC, ranges, 30, 0, {"maxIter": 10}, {}, SEED)
 
 
 @query("ordinal_model", "I29", note="cumulative binary models, ranked by expected level")
@@ -292,30 +292,31 @@ def regression_as_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _confident(spark: SparkSession, frame: DataFrame, to_score: DataFrame, high: float, low: float) -> DataFrame:
-    scores = M.averaged_scores(M.cross_validate(frame, LOGISTIC, "fold", 2, "id", to_score)).select("id", "p")
+    scores = M.averaged_scores(M.cross_validate(frame, LOGISTIC, "fold", FOLDS, "id", to_score)).select("id", "p")
     return fitted(Ps.select_confident(to_score.drop("label").join(scores, "id"), "p", high, low).withColumn("fold", F.lit(-1)), "confident")
 
 
 @query("pseudo_label_retrain", "I32", note="union with confident rows, scored on genuine rows only, kept when better")
 def pseudo_label_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _two_folds(spark, sf_dir)
+    frame = _folds(spark, sf_dir)
     union = fitted(Ps.augment(frame, _confident(spark, frame, _score_rows(spark, sf_dir), 0.9, 0.05)), "augmented")
-    parts = [M.cross_validate(f, LOGISTIC, "fold", 2).withColumn("member", F.lit(n)) for n, f in (("plain", frame), ("pseudo", union))]
+    parts = [M.cross_validate(f, LOGISTIC, "fold", FOLDS).withColumn("member", F.lit(n)) for n, f in (("plain", frame), ("pseudo", union))]
     table = M.member_auc(parts[0].unionByName(parts[1])).withColumn("n_fit", F.when(F.col("member") == "plain", F.lit(frame.count())).otherwise(F.lit(union.count())))
-    return table.withColumn("kept", F.col("auc") == table.agg(F.max("auc")).scalar())
+    plain, pseudo = (table.where(F.col("member") == n).select("auc").scalar() for n in ("plain", "pseudo"))
+    return table.withColumn("kept", (F.col("member") == "pseudo") == (pseudo > plain))
 
 
 @query("pseudo_label_rounds", "I33", note="two rounds x thresholds, gain over the plain member")
 def pseudo_label_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame, to_score = _two_folds(spark, sf_dir), fitted(_score_rows(spark, sf_dir))
-    plain = M.member_auc(M.cross_validate(frame, LOGISTIC, "fold", 2)).first()["auc"]
+    frame, to_score = _folds(spark, sf_dir), fitted(_score_rows(spark, sf_dir))
+    plain = M.member_auc(M.cross_validate(frame, LOGISTIC, "fold", FOLDS)).first()["auc"]
     rows = []
-    for high in (0.85, 0.95):
+    for high in (0.85, 0.9, 0.95):
         current = frame
         for number in (1, 2):
             confident = _confident(spark, current, to_score, high, 1 - high)
             current = fitted(Ps.augment(frame, confident).drop("is_pseudo"), "augmented")
-            found = M.member_auc(M.cross_validate(current, LOGISTIC, "fold", 2)).first()["auc"]
+            found = M.member_auc(M.cross_validate(current, LOGISTIC, "fold", FOLDS)).first()["auc"]
             rows.append((number, high, confident.count(), found, found - plain))
     return spark.createDataFrame(rows, "round int, high double, n_pseudo bigint, auc double, gain double")
 
@@ -359,7 +360,7 @@ def feature_set_exhaustion(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {"one rating": ("r6",), "ratings": tuple(RATINGS), "numeric": tuple(NUMERIC)}
     specs = [replace(LOGISTIC, name=n, numeric=c, categorical=()) for n, c in sets.items()]
     specs.append(replace(LOGISTIC, name="all raw", numeric=tuple(NUMERIC), categorical=tuple(CATEGORICAL)))
-    table = M.compare_members(_two_folds(spark, sf_dir), specs, "fold", 2)
+    table = M.compare_members(_folds(spark, sf_dir), specs, "fold", FOLDS)
     return table.withColumn("delta", F.col("auc") - table.where("member = 'one rating'").select("auc").scalar())
 
 

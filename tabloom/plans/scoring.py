@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from tabloom.operators import evaluate as E
 from tabloom.operators import pseudo as Ps
 from tabloom.operators import stack as S
+from tabloom.operators.folds import stratified_folds
+from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc
 from tabloom.operators.stats import all_pairs, correlation_matrix
-from tabloom.plans.common import CATEGORICAL, FOLDED, NUMERIC, auc_sql, r, rd
+from tabloom.operators.target_encode import apply_target_table, fit_target_table, oof_rates
+from tabloom.plans.common import CATEGORICAL, FOLDED, FOLDS, NUMERIC, SMOOTHING, TRAIN, auc_sql, r, rd, strat_fold_sql
 from tabloom.plans.member_data import MEMBER_SQL, MEMBERS, member_scores
 from tabloom.plans.registry import plain_sql, query, survey_sql
 from tabloom.sources.sinks import wide_predictions
@@ -341,11 +344,21 @@ def view_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.view_decisions(table.where("view <> 'base'"), base, 1e-4), ["auc", "gain"])
 
 
-@query("pseudo_label_selection", "I31", sql=_pred_sql("select id, p, case when p > 0.5 then 1 else 0 end as label, true as is_pseudo from pred where member = 'm_r1_r7' and (p > 0.55 or p < 0.2) union all select id, cast(label as double), label, false from survey where id % 10 >= 7"))
+@query(
+    "pseudo_label_selection", "I31",
+    sql=survey_sql(
+        "select id, p, case when p > 0.5 then 1 else 0 end as label, true as is_pseudo from scored where p > 0.55 or p < 0.2 union all select id, cast(label as double), label, false from tr",
+        tr=TRAIN, prior="select avg(cast(label as double)) as pr from tr",
+        te=f"select r1, r7, (sum(cast(label as double)) + max(pr) * {SMOOTHING}) / (count(*) + {SMOOTHING}) as te from tr, prior group by r1, r7",
+        scored="select id, round(coalesce(te, pr), 9) as p from (select * from survey where id % 10 >= 7) s left join te using (r1, r7), prior",
+    ),
+    note="rows to score, rated by the labelled ones, join them as training rows where the score is confident",
+)
 def pseudo_label_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    confident = Ps.select_confident(_one(spark, sf_dir, "m_r1_r7").select("id", "p"), "p", 0.55, 0.2)
-    train = survey(spark, sf_dir).where(~is_train()).select("id", F.col("label").cast("double").alias("p"), "label")
-    return Ps.augment(train, confident)
+    rows, keys = survey(spark, sf_dir), ["r1", "r7"]
+    train, new = rows.where(is_train()), rows.where(~is_train()).select("id", *keys)
+    scored = apply_target_table(new, fit_target_table(train, keys, "label", SMOOTHING), train, keys, "label").select("id", r("te", 9).alias("p"))
+    return Ps.augment(train.select("id", F.col("label").cast("double").alias("p"), "label"), Ps.select_confident(scored, "p", 0.55, 0.2))
 
 
 CUTS = [(0.95, 0.05), (0.6, 0.2), (0.5, 0.3)]
@@ -372,8 +385,28 @@ def soft_pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "label", r("weight").alias("weight"))
 
 
-@query("seed_averaging", "I8", sql=_pred_sql(f"select id, {rd('avg(p)', 5)} as p, count(*) as n from pred group by id"))
-def seed_averaging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return member_scores(spark, sf_dir).groupBy("id").agg(r(F.avg("p"), 5).alias("p"), F.count("*").alias("n"))
+SEEDS = (1, 2, 3)
+
 
+def _seeded_rate_sql(seed: int) -> str:
+    """Out-of-fold rate of r6 with the folds of one seed."""
+    return f"""select id, round((k.s - c.s + pr * {SMOOTHING}) / (k.n - c.n + {SMOOTHING}), 9) as p from f{seed} t
+        join (select r6, fold, cast(sum(label) as double) as s, count(*) as n from f{seed} group by all) c on c.r6 = t.r6 and c.fold = t.fold
+        join (select r6, cast(sum(label) as double) as s, count(*) as n from f{seed} group by all) k on k.r6 = t.r6
+        join (select a.fold, (max(b.s) - a.s) / (max(b.n) - a.n) as pr from (select fold, cast(sum(label) as double) as s, count(*) as n from f{seed} group by fold) a,
+              (select cast(sum(label) as double) as s, count(*) as n from f{seed}) b group by a.fold, a.s, a.n) q on q.fold = t.fold"""
 
+
+@query(
+    "seed_averaging", "I8",
+    sql=survey_sql(
+        f"select id, {rd('avg(p)', 5)} as p, count(*) as n from (" + " union all ".join(_seeded_rate_sql(s) for s in SEEDS) + ") x group by id",
+        **{f"f{s}": f"select id, r6, label, {strat_fold_sql(s)} as fold from survey where id % 10 < 7" for s in SEEDS},
+    ),
+    note="one estimator, its folds drawn with several seeds, averaged",
+)
+def seed_averaging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = fitted(survey(spark, sf_dir).where(is_train()).select("id", "label", "r6"), "train")
+    runs = [oof_rates(stratified_folds(train, "id", "label", FOLDS, s), ["id"], {"rate": [F.col("r6")]}, "label", "fold", SMOOTHING) for s in SEEDS]
+    every = reduce(lambda a, b: a.unionByName(b), [x.select("id", r("rate", 9).alias("p")) for x in runs])
+    return every.groupBy("id").agg(r(F.avg("p"), 5).alias("p"), F.count("*").alias("n"))

@@ -9,12 +9,12 @@ CONTRACT_SCHEMA = "feature string, position int, kind string, levels array<strin
 
 
 def build_contract(
-    train: DataFrame, features: list[str], categorical: list[str], dropped: dict[str, str] | None = None, max_levels: int = 10_000
+    train: DataFrame, features: list[str], categorical: list[str], dropped: dict[str, str] | None = None, max_levels: int | None = None
 ) -> DataFrame:
     """One row per feature; ``levels`` are the sorted train values of short categoricals.
 
-    Dropped columns stay in the table with position -1 and the reason. A categorical
-    with more than ``max_levels`` values does not belong into a level list and is an error.
+    Dropped columns stay in the table with position -1 and the reason. With ``max_levels`` a
+    categorical with more values is an error; without, every vocabulary is kept whole.
     """
     spark = train.sparkSession
     plain = spark.createDataFrame(
@@ -31,9 +31,10 @@ def build_contract(
         .where(F.col("level").isNotNull())
         .distinct()
     )
-    long = values.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > max_levels).limit(20).collect()
-    if long:
-        raise ValueError("too many levels: " + ", ".join(f"{row.feature} ({row.n})" for row in long))
+    if max_levels is not None:
+        long = values.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > max_levels).collect()  # one row per feature
+        if long:
+            raise ValueError("too many levels: " + ", ".join(f"{row.feature} ({row.n})" for row in long))
     levels = values.groupBy("feature").agg(F.array_sort(F.collect_set("level")).alias("levels"))
     return plain.join(levels, "feature", "left").select("feature", "position", "kind", "levels", "reason")
 
@@ -52,9 +53,11 @@ def column_table(frame: DataFrame) -> DataFrame:
 
 
 def select_features(features: list[str], keep_prefixes: list[str] = (), drop_prefixes: list[str] = (), drop_suffixes: list[str] = ()) -> list[str]:
-    """Feature view: names kept by prefix, then dropped by prefix or suffix; never empty."""
-    kept = [f for f in features if not keep_prefixes or f.startswith(tuple(keep_prefixes))]
-    kept = [f for f in kept if not f.startswith(tuple(drop_prefixes) or ("\0",))]
+    """Feature view, never empty: names kept by prefix or, if no prefix is kept, without the dropped ones; dropped suffixes go in either case."""
+    if keep_prefixes:
+        kept = [f for f in features if f.startswith(tuple(keep_prefixes))]
+    else:
+        kept = [f for f in features if not f.startswith(tuple(drop_prefixes) or ("\0",))]
     kept = [f for f in kept if not f.endswith(tuple(drop_suffixes) or ("\0",))]
     if not kept:
         raise ValueError("the view selects no feature")
@@ -72,5 +75,6 @@ def view_rows(contract: DataFrame, keep_prefixes: list[str] = (), drop_prefixes:
 
     name = F.col("feature")
     kept = any_of([name.startswith(p) for p in keep_prefixes]) if keep_prefixes else F.lit(True)
-    dropped = any_of([name.startswith(p) for p in drop_prefixes] + [name.endswith(s) for s in drop_suffixes])
+    prefixes = [] if keep_prefixes else drop_prefixes
+    dropped = any_of([name.startswith(p) for p in prefixes] + [name.endswith(s) for s in drop_suffixes])
     return contract.where((F.col("position") >= 0) & kept & ~dropped)

@@ -6,6 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.sources.contract import load_contract
+
 
 def save_table(frame: DataFrame, path: str, partition_by: list[str] = ()) -> DataFrame:
     """Write Parquet and read it back, which also cuts the lineage."""
@@ -29,13 +31,18 @@ def replay_split(frame: DataFrame, key: str, path: str) -> DataFrame:
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Append (id, member, split, fold, p) rows; one folder per member."""
-    predictions.write.mode("append").partitionBy("member").parquet(path)
+    """Write (id, member, split, fold, p) rows; a run again replaces its members' folds and leaves the others."""
+    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("member", "fold").parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Committed member rows only: unfinished task output lives in folders Spark does not list."""
-    return spark.read.parquet(path)
+    """Committed member rows only: unfinished task output lives in folders Spark does not list.
+
+    Member names are text whatever they look like; other columns keep the stored types.
+    """
+    found = spark.read.option("basePath", path).parquet(path)
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == 'member' else f.dataType.simpleString()}" for f in found.schema.fields)
+    return spark.read.schema(kinds).parquet(path)
 
 
 def fold_count_mismatch(predictions: DataFrame) -> DataFrame:
@@ -85,7 +92,7 @@ def save_bundle(model: PipelineModel, contract: DataFrame, metrics: DataFrame, p
 def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, DataFrame]:
     return (
         PipelineModel.load(f"{path}/model"),
-        spark.read.json(f"{path}/contract"),
+        load_contract(spark, f"{path}/contract"),
         spark.read.parquet(f"{path}/metrics"),
     )
 
