@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tabloom.operators import stack as S
 from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc
-from tabloom.plans.common import FOLDS
+from tabloom.operators.target_encode import apply_target_table, fit_target_table
+from tabloom.plans.common import FOLDS, SMOOTHING
 from tabloom.plans.member_data import MEMBERS
 from tabloom.plans.registry import query
 from tabloom.plans.scoring import wide_members
 from tabloom.session import scratch_path
 from tabloom.sources.sinks import wide_predictions, write_scored
+from tabloom.sources.survey import is_train, survey
 
 NAMES = list(MEMBERS)
 KEEP = ["id", "label", "fold"]
@@ -54,12 +56,13 @@ def rank_blend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m, float(w)) for m, w in zip(NAMES, weights)], "member string, weight double").withColumn("auc", found.scalar())
 
 
-@query("nested_rank_blend", "J8", note="weights of the other folds, then the exact AUC of the pooled scores")
+@query("nested_rank_blend", "J8", note="weights of the other folds, the exact AUC of the pooled scores, and the weights over all rows")
 def nested_rank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = _ranks(spark, sf_dir)
     weights = S.coordinate_ascent(ranks, NAMES, "label", "fold", {f: f for f in range(FOLDS)}, sweeps=2)
     scored = ranks.select(*KEEP, F.round(S.blend_with(ranks, NAMES, "fold", weights), 9).alias("p"))
-    return auc(scored, "p", "label")
+    every = S.coordinate_ascent(ranks, NAMES, "label", "fold", {"all": None}, sweeps=2)["all"]
+    return auc(scored, "p", "label").withColumns({f"w_{m}": F.lit(float(w)) for m, w in zip(NAMES, every)})
 
 
 @query("coordinate_ascent_blend", "J9", note="fit on one half of the folds, scored on the other rows")
@@ -86,11 +89,22 @@ def leave_group_out_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(found.items()), "stack string, auc double")
 
 
-@query("view_export", "J15", note="stack fitted on all rows, scores written against a template and read back")
+def _score_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member logits of the rows to score, each member's rates fitted on all labelled rows."""
+    rows = survey(spark, sf_dir)
+    train = fitted(rows.where(is_train()).select("label", *sorted({c for keys in MEMBERS.values() for c in keys})), "train")
+    scored = rows.where(~is_train()).select("id", *train.columns[1:])
+    for member, keys in MEMBERS.items():
+        table = fit_target_table(train, keys, "label", SMOOTHING, member)
+        scored = apply_target_table(scored, table, train, keys, "label", member)
+    return S.logit_table(scored, NAMES, ["id"])
+
+
+@query("view_export", "J15", note="weights from out-of-fold logits, applied to the rows to score and checked against the table's own ids")
 def view_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits = _logits(spark, sf_dir)
-    fit = S.newton_fits(logits, NAMES, "label", "fold", {"all": (None, NAMES)})["all"]
-    scored = logits.select("id", S.apply_stack(logits, NAMES, fit).alias("label"))
+    fit = S.newton_fits(_logits(spark, sf_dir), NAMES, "label", "fold", {"all": (None, NAMES)})["all"]
+    new = _score_logits(spark, sf_dir)
+    template = survey(spark, sf_dir).where(~is_train()).select("id", F.lit(0.0).alias("label"))
     path = scratch_path(spark, "view")
-    write_scored(scored, logits.select("id", F.lit(0.0).alias("label")), path)
+    write_scored(new.select("id", S.apply_stack(new, NAMES, fit).alias("label")), template, path)
     return spark.read.schema("id bigint, label double").csv(path, header=True)

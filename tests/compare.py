@@ -106,7 +106,9 @@ def main() -> int:
         except Exception as error:  # report and go on with the next query
             failed.append(name)
             text = str(error).strip().splitlines()
-            print(f"ERR  {name}: {type(error).__name__} {' '.join(text[:6])[:900]}", flush=True)
+            stack = next((i for i, line in enumerate(text) if "Serialization stack" in line), None)
+            cause = text[stack - 1 : stack + 12] if stack else []
+            print(f"ERR  {name}: {type(error).__name__} {' '.join(text[:6] + cause)[:4000]}", flush=True)
             if "--trace" in sys.argv:
                 traceback.print_exc()
     print(f"{len(names)} run, {len(failed)} failed: {failed}")
