@@ -226,7 +226,11 @@ def cross_validated_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oof.unionByName(M.averaged_scores(predictions).select("id", "member", F.lit("score").alias("split"), "p"))
 
 
-@query("resumable_folds", "I20", note="second run finds every fold and fits none; a changed spec fits all")
+@query(
+    "resumable_folds", "I20",
+    sql=survey_sql(f"select run, folds_fitted, n_rows from (values ('first', {FOLDS}), ('again', 0), ('changed', {FOLDS})) r(run, folds_fitted), (select count(*) as n_rows from tr) n", tr=TRAIN),
+    note="second run finds every fold and fits none; a changed spec fits all",
+)
 def resumable_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, frame = scratch_path(spark, "resumable"), _folds(spark, sf_dir)
     rows = []
@@ -236,6 +240,19 @@ def resumable_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "run string, folds_fitted int, n_rows bigint")
 
 
+@query(
+    "cross_validated_member_facts", "I18",
+    sql=survey_sql(
+        "select 'score' as split, count(*) as n_rows, count(distinct id) as n_ids, true as in_unit from survey where id % 10 >= 7 union all select 'train', count(*), count(distinct id), true from tr",
+        tr=TRAIN,
+    ),
+    note="each labelled row scored once, each new row once after averaging",
+)
+def cross_validated_member_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cross_validated_member(spark, sf_dir)
+    return found.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.bool_and(F.col("p").between(0, 1)).alias("in_unit"))
+
+
 @query("permutation_importance", "I21", note="AUC lost per shuffled column; the shuffle is a join of two hash orders")
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(survey(spark, sf_dir))

@@ -9,9 +9,9 @@ from tabloom.operators import stack as S
 from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc
 from tabloom.operators.target_encode import apply_target_table, fit_target_table
-from tabloom.plans.common import FOLDS, SMOOTHING
+from tabloom.plans.common import FOLDED, FOLDS, SMOOTHING
 from tabloom.plans.member_data import MEMBERS
-from tabloom.plans.registry import query
+from tabloom.plans.registry import query, survey_sql
 from tabloom.plans.scoring import wide_members
 from tabloom.session import scratch_path
 from tabloom.sources.sinks import wide_predictions, write_scored
@@ -108,3 +108,47 @@ def view_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "view")
     write_scored(new.select("id", S.apply_stack(new, NAMES, fit).alias("label")), template, path)
     return spark.read.schema("id bigint, label double").csv(path, header=True)
+
+
+# What SQL can state about fitted stacks: sizes, ids, ranges, convergence.
+
+
+@query(
+    "nested_stack_facts", "J4", "J5",
+    sql=survey_sql(
+        f"select count(*) as n_rows, count(distinct id) as n_ids, count(distinct fold) as n_folds, cast(sum(label) as bigint) as positives, true as in_unit, true as settled, cast({FOLDS} + 1 as bigint) as n_fits from tr",
+        tr=FOLDED,
+    ),
+    note="each labelled row scored once by a settled fit of the other folds",
+)
+def nested_stack_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, fits = S.nested_stack_scores(_logits(spark, sf_dir), NAMES, "label", "fold", FOLDS, {"all": NAMES}, ["id"])
+    settled = all(fit.gradient < 1e-8 for fit in fits.values())
+    return scores.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.count_distinct("fold").alias("n_folds"),
+        F.sum("label").cast("bigint").alias("positives"), F.bool_and(F.col("p").between(0, 1)).alias("in_unit"),
+        F.lit(settled).alias("settled"), F.lit(len(fits)).cast("bigint").alias("n_fits"),
+    )
+
+
+@query(
+    "rank_blend_facts", "J7",
+    sql=survey_sql(f"select cast({len(NAMES)} as bigint) as n_members, true as none_negative, true as sum_is_one, true as not_below_uniform from (select 1)"),
+    note="weights on the simplex, exact AUC at least that of equal weights",
+)
+def rank_blend_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _ranks(spark, sf_dir)
+    weights = S.coordinate_ascent(ranks, NAMES, "label", "fold", {"all": None})["all"]
+    exact = S.exact_aucs(ranks, NAMES, "label", "fold", {"found": (None, weights), "uniform": (None, weights * 0 + 1 / len(NAMES))})
+    row = (len(weights), bool((weights >= 0).all()), bool(abs(weights.sum() - 1) < 1e-9), exact["found"] >= exact["uniform"])
+    return spark.createDataFrame([row], "n_members bigint, none_negative boolean, sum_is_one boolean, not_below_uniform boolean")
+
+
+@query(
+    "view_export_facts", "J15",
+    sql=survey_sql("select count(*) as n_rows, cast(sum(id) as bigint) as id_sum, true as in_unit from survey where id % 10 >= 7"),
+    note="exactly the rows to score are exported",
+)
+def view_export_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = view_export(spark, sf_dir)
+    return found.agg(F.count("*").alias("n_rows"), F.sum("id").alias("id_sum"), F.bool_and(F.col("label").between(0, 1)).alias("in_unit"))
