@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark import SparkContext
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -117,7 +118,19 @@ def fit_member(train: DataFrame, spec: MemberSpec) -> PipelineModel:
         most = max(levels[c] for c in spec.categorical)
         params["maxBins"] = max(32, int(most * 1.1) + 2)
     estimator = build_model(spec.kind, params, spec.seed, spec.label, spec.weight)
-    return Pipeline(stages=[*preparation(spec), estimator]).fit(numeric_input(train, list(spec.numeric)))
+    return _without_summary(Pipeline(stages=[*preparation(spec), estimator]).fit(numeric_input(train, list(spec.numeric))))
+
+
+def _without_summary(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary.
+
+    A summary holds the session, and the model travels to the tasks with it; once the session has
+    used an observation (as ``StepMetrics`` does) that can no longer be serialised.
+    """
+    last = model.stages[-1]
+    if getattr(last, "hasSummary", False):
+        last._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.apply(None))
+    return model
 
 
 def positive_probability() -> Column:

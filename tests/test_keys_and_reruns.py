@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import encode as E
 from tabloom.operators import members as M
 from tabloom.operators.folds import hash_folds
+from tabloom.operators.lookup import fitted
 from tabloom.operators.target_encode import oof_rates
 from tabloom.sources import sinks
 from tabloom.sources.contract import build_contract, select_features, view_rows
@@ -65,3 +66,17 @@ def test_trees_take_long_categories(spark):
     for kind, params in {"tree": {"maxDepth": 3}, "boosted": {"maxIter": 2, "maxDepth": 3}}.items():
         spec = M.MemberSpec(kind, kind, ("x",), ("c",), params, 1)
         assert M.score(M.fit_member(frame, spec), frame, spec, ["id"]).count() == 400
+
+
+def test_members_score_after_an_observation(spark):
+    """A used observation makes the session unserialisable; fitted members must not carry it along."""
+    metrics = sinks.StepMetrics(spark)
+    frame = spark.range(120).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("c"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    metrics.observe(frame, "step").write.format("noop").mode("overwrite").save()
+    assert metrics.table().count() == 1
+    settings = {"logistic": {}, "forest": {"numTrees": 2}, "tree": {}, "boosted": {"maxIter": 2}, "factorization": {"maxIter": 2}, "perceptron": {"hidden": [2], "maxIter": 2}}
+    for kind, params in settings.items():
+        spec = M.MemberSpec(kind, kind, ("x",), ("c",), params, 1)
+        model = M.fit_member(frame, spec)
+        parts = M.score(model, frame, spec, ["id"]).unionByName(M.score(model, frame, spec, ["id"]))
+        assert fitted(parts, "scores").count() == 240
