@@ -373,23 +373,21 @@ def ordinal_scores(train: DataFrame, held: DataFrame, spec: MemberSpec, target:
 def expectation_models(fit: DataFrame, apply_to: DataFrame, targets: list[str], numeric: list[str], categorical: list[str], seed: int, keep: list[str], params: dict | None = None, eps: float = 1e-6) -> DataFrame:
     """Predict each target column from all other columns: ``aux_p_<t>`` (probability of the
     row's own value), ``aux_ev_<t>`` (expected value), ``aux_hit_<t>`` and ``aux_sum_logp``."""
-    rows = apply_to
+    # every model adds its columns to the rows it reads: no join, however many targets there are
+    rows = apply_to.withColumns({f"_own_{t}": F.col(t).cast("string") for t in targets})
     for t in targets:
         levels = StringIndexer(inputCol=t, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
         spec = MemberSpec(t, "forest", tuple(c for c in numeric if c != t), tuple(c for c in categorical if c != t), params or {"numTrees": 10, "maxDepth": 5}, seed, "_y")
         coded = levels.fit(fit.withColumn(t, F.col(t).cast("string")))
         labels = coded.labels
-        train = coded.transform(fit.withColumn(t, F.col(t).cast("string")))
-        model = fit_member(train, spec)
-        # Features are cast to double under their own names, so the scored copy keeps only what is joined on.
-        scored = model.transform(numeric_input(apply_to.withColumn("_own", F.col(t).cast("string")), list(spec.numeric)))
+        model = fit_member(coded.transform(fit.withColumn(t, F.col(t).cast("string"))), spec)
+        scored = model.transform(numeric_input(rows, list(spec.numeric)))
         probability = vector_to_array("probability")
-        place = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("_own")).cast("int")
+        place = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(f"_own_{t}")).cast("int")
         own = F.coalesce(F.get(probability, place - 1), F.lit(0.0))
         values = [float(v) if t in numeric else float(i) for i, v in enumerate(labels)]
         ev = sum((F.get(probability, F.lit(i)) * v for i, v in enumerate(values)), F.lit(0.0))
-        part = scored.select(*keep, own.alias(f"aux_p_{t}"), ev.alias(f"aux_ev_{t}"), (F.col("prediction") == place - 1).cast("int").alias(f"aux_hit_{t}"))
-        rows = rows.join(part, keep)
+        rows = scored.select(*rows.columns, own.alias(f"aux_p_{t}"), ev.alias(f"aux_ev_{t}"), (F.col("prediction") == place - 1).cast("int").alias(f"aux_hit_{t}"))
     log_sum = sum((F.ln(F.greatest(F.col(f"aux_p_{t}"), F.lit(eps))) for t in targets), F.lit(0.0))
     columns = [f"aux_{kind}_{t}" for t in targets for kind in ("p", "ev", "hit")]
     return rows.withColumn("aux_sum_logp", log_sum).select(*keep, *columns, "aux_sum_logp")
