@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.session import tune
+from tabloom.session import ship_package, tune
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,7 @@ def query(name: str, *ops: str, sql: str | None = None, note: str = ""):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             tune(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
 
         ENTRIES[name] = Entry(name, ops, run, sql, note)
