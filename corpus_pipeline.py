@@ -7,35 +7,53 @@ Parquet and read again as the next stage's docs. Empty input gives empty output;
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm import decontaminate, minhash, mixing, quality, secrets
 from tabloom.llm.common import fitted, read
+from tabloom.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def shipped(stage: Stage) -> Stage:
+    """The stage, its workers supplied with the library's source."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the likelihood ratio."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
+@shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
     return minhash.keep_one(docs)
 
 
+@shipped
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+@shipped
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked."""
     return secrets.redact(docs)
 
 
+@shipped
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the target mix, with their whole passes and, for the open epoch, the tokens of their prefix."""
     return mixing.mix_documents(docs).where("whole_epochs > 0 or tail_tokens > 0")
