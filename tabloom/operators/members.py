@@ -7,8 +7,9 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
-from pyspark import SparkContext
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -24,7 +25,7 @@ from tabloom.functions.hashing import hash_number
 from tabloom.functions.scalars import logit, sigmoid
 from tabloom.operators.folds import hash_order_position
 from tabloom.operators.lookup import fitted
-from tabloom.operators.ranks import auc
+from tabloom.operators.ranks import auc, column_quantiles
 from tabloom.sources.sinks import fingerprint
 
 
@@ -370,34 +371,104 @@ def ordinal_scores(train: DataFrame, held: DataFrame, spec: MemberSpec, target:
     return expected.groupBy(*keep).agg(F.sum("p").alias("p"))
 
 
-def expectation_models(fit: DataFrame, apply_to: DataFrame, targets: list[str], numeric: list[str], categorical: list[str], seed: int, keep: list[str], params: dict | None = None, eps: float = 1e-6) -> DataFrame:
+LONG = 100  # a numeric target with more values than this is predicted by bins
+BINS = 50
+PARALLEL = 4  # fits that share the executors
+
+
+def long_columns(frame: DataFrame, columns: list[str]) -> list[str]:
+    """The columns with more than ``LONG`` distinct values, by a sketch that is the same for the same rows."""
+    if not columns:
+        return []
+    found = frame.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+    return [c for c in columns if found[c] > LONG]
+
+
+def _bins(fit: DataFrame, columns: list[str]) -> dict[str, tuple[list[float], dict[str, float]]]:
+    """Per column the cut points (distinct inner quantiles) and the mean of the fit values in each bin."""
+    if not columns:
+        return {}
+    quantiles = column_quantiles(fit, columns, [i / BINS for i in range(1, BINS)]).collect()  # one row per column
+    cuts = {row["feature"]: sorted({q for q in row["q"] if q is not None}) for row in quantiles}
+    long = fit.select(*[F.struct(_bin(c, cuts.get(c, [])).alias("bin"), F.col(c).cast("double").alias("x")).alias(c) for c in columns]).unpivot([], columns, "feature", "v")
+    means = {c: {} for c in columns}
+    for row in long.where("v.x is not null").groupBy("feature", "v.bin").agg(F.avg("v.x").alias("mean")).collect():  # at most BINS rows per column
+        means[row["feature"]][row["bin"]] = row["mean"]
+    return {c: (cuts.get(c, []), means[c]) for c in columns}
+
+
+def _bin(column: str, cuts: list[float]) -> Column:
+    """Bin number as text: how many cut points are at or below the value."""
+    value = F.col(column).cast("double")
+    return F.when(value.isNotNull(), F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda cut: cut <= value)).cast("string"))
+
+
+def expectation_models(
+    fit: DataFrame, apply_to: DataFrame, targets: list[str], numeric: list[str], categorical: list[str], seed: int, keep: list[str], params: dict | None = None, eps: float = 1e-6,
+    long: list[str] | None = None,
+) -> DataFrame:
     """Predict each target column from all other columns: ``aux_p_<t>`` (probability of the
-    row's own value), ``aux_ev_<t>`` (expected value), ``aux_hit_<t>`` and ``aux_sum_logp``."""
+    row's own value), ``aux_ev_<t>`` (expected value), ``aux_hit_<t>`` and ``aux_sum_logp``.
+
+    A numeric target with more than ``LONG`` values (or named in ``long``) is predicted by bins cut at its quantiles: own value and
+    hit refer to the bin, the expected value to the bin means. A missing value has no own probability and no hit, adds nothing
+    to the sum, and is not learned from.
+    """
+    binned = _bins(fit, [t for t in targets if t in numeric and t in long] if long is not None else long_columns(fit, [t for t in targets if t in numeric]))
+    own = {f"_own_{t}": _bin(t, binned[t][0]) if t in binned else F.col(t).cast("string") for t in targets}
+    # medians, codes and levels are found once for all targets
+    stages: list = []
+    if numeric:
+        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=[f"_i_{c}" for c in numeric]))
+    if categorical:
+        stages.append(StringIndexer(inputCols=categorical, outputCols=[f"_c_{c}" for c in categorical], stringOrderType="alphabetAsc", handleInvalid="keep"))
+    stages.append(StringIndexer(inputCols=list(own), outputCols=[f"_y_{t}" for t in targets], stringOrderType="alphabetAsc", handleInvalid="keep"))
+    coded = numeric_input(fit.withColumns(own), numeric)
+    prepared = Pipeline(stages=stages).fit(coded)
+    labels = dict(zip(targets, prepared.stages[-1].labelsArray))
+    inputs = {**{c: f"_i_{c}" for c in numeric}, **{c: f"_c_{c}" for c in categorical}}
+    learn = fitted(prepared.transform(coded).select(*inputs.values(), *own, *[f"_y_{t}" for t in targets]), "coded")
+    settings = dict(params or {"numTrees": 10, "maxDepth": 5})
+    if categorical:
+        # a split on a category needs a bin for each of its levels and one for other values
+        settings.setdefault("maxBins", max(32, max(len(x) for x in prepared.stages[-2].labelsArray) + 1))
+
+    def train(t: str) -> PipelineModel:
+        parts = [VectorAssembler(inputCols=[v for c, v in inputs.items() if c != t], outputCol="features"), build_model("forest", settings, seed, f"_y_{t}")]
+        return _without_summary(Pipeline(stages=parts).fit(learn.where(F.col(f"_own_{t}").isNotNull())))
+
+    with ThreadPool(PARALLEL) as pool:
+        models = dict(zip(targets, pool.map(inheritable_thread_target(fit.sparkSession)(train), targets)))
+
     # every model adds its columns to the rows it reads: no join, however many targets there are
-    rows = apply_to.withColumns({f"_own_{t}": F.col(t).cast("string") for t in targets})
+    codes = PipelineModel(stages=prepared.stages[:-1])
+    rows = codes.transform(numeric_input(apply_to.withColumns(own), numeric)).select(*[F.col(c).alias(f"_keep_{c}") for c in keep], *inputs.values(), *own)
     for t in targets:
-        levels = StringIndexer(inputCol=t, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
-        spec = MemberSpec(t, "forest", tuple(c for c in numeric if c != t), tuple(c for c in categorical if c != t), params or {"numTrees": 10, "maxDepth": 5}, seed, "_y")
-        coded = levels.fit(fit.withColumn(t, F.col(t).cast("string")))
-        labels = coded.labels
-        model = fit_member(coded.transform(fit.withColumn(t, F.col(t).cast("string"))), spec)
-        scored = model.transform(numeric_input(rows, list(spec.numeric)))
-        probability = vector_to_array("probability")
-        place = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(f"_own_{t}")).cast("int")
-        own = F.coalesce(F.get(probability, place - 1), F.lit(0.0))
-        values = [float(v) if t in numeric else float(i) for i, v in enumerate(labels)]
-        ev = sum((F.get(probability, F.lit(i)) * v for i, v in enumerate(values)), F.lit(0.0))
-        rows = scored.select(*rows.columns, own.alias(f"aux_p_{t}"), ev.alias(f"aux_ev_{t}"), (F.col("prediction") == place - 1).cast("int").alias(f"aux_hit_{t}"))
-    log_sum = sum((F.ln(F.greatest(F.col(f"aux_p_{t}"), F.lit(eps))) for t in targets), F.lit(0.0))
+        if t in binned:
+            values = [binned[t][1][v] for v in labels[t]]
+        else:
+            values = [float(v) if t in numeric else float(i) for i, v in enumerate(labels[t])]
+        scored = models[t].transform(rows).select(*rows.columns, vector_to_array("probability").alias("_p"), F.col("prediction").alias("_at"))
+        place = F.array_position(F.lit(labels[t]).cast("array<string>"), F.col(f"_own_{t}")).cast("int")
+        probability = F.when(place.isNotNull(), F.coalesce(F.get("_p", place - 1), F.lit(0.0)))
+        # the last class stands for other values and has none
+        ev = F.aggregate(F.zip_with("_p", F.lit([*values, 0.0]), lambda p, v: p * v), F.lit(0.0), lambda total, x: total + x)
+        rows = scored.select(*rows.columns, probability.alias(f"aux_p_{t}"), ev.alias(f"aux_ev_{t}"), (F.col("_at") == place - 1).cast("int").alias(f"aux_hit_{t}"))
+    log_sum = sum((F.coalesce(F.ln(F.greatest(F.col(f"aux_p_{t}"), F.when(F.col(f"aux_p_{t}").isNotNull(), F.lit(eps)))), F.lit(0.0)) for t in targets), F.lit(0.0))
     columns = [f"aux_{kind}_{t}" for t in targets for kind in ("p", "ev", "hit")]
-    return rows.withColumn("aux_sum_logp", log_sum).select(*keep, *columns, "aux_sum_logp")
+    return rows.withColumn("aux_sum_logp", log_sum).select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *columns, "aux_sum_logp")
 
 
 def oof_expectations(frame: DataFrame, targets: list[str], numeric: list[str], categorical: list[str], fold: str, folds: int, seed: int, keep: list[str], params: dict | None = None) -> DataFrame:
-    """The same, each row scored by models of the other folds, in a fixed column order."""
+    """The same, each row scored by models of the other folds, in a fixed column order.
+
+    Which targets are binned is decided once, so the columns mean the same in every fold; the cut points come from the fit rows.
+    """
+    long = long_columns(frame, [t for t in targets if t in numeric])
     parts = None
     for f in range(folds):
-        part = expectation_models(frame.where(F.col(fold) != f), frame.where(F.col(fold) == f), targets, numeric, categorical, seed + f, keep, params)
+        part = expectation_models(frame.where(F.col(fold) != f), frame.where(F.col(fold) == f), targets, numeric, categorical, seed + f, keep, params, long=long)
+        part = fitted(part, "expectations")  # a fold's models are not carried into the next one's plan
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

@@ -197,7 +197,7 @@ def two_stage_margin_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc(both, "p", "label", by=["stage"])
 
 
-AUX_TARGETS = ["r6", "r1", "class"]
+AUX_TARGETS = RAW_FEATURES
 AUX_PARAMS = {"numTrees": 5, "maxDepth": 4}
 
 
@@ -209,7 +209,7 @@ def auxiliary_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("auxiliary_expectations_oof", "I15", note="the same by folds for train rows, fixed column order")
 def auxiliary_expectations_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.oof_expectations(_folds(spark, sf_dir), ["r6", "class"], NUMERIC, CATEGORICAL, "fold", FOLDS, SEED, ["id"], AUX_PARAMS)
+    return M.oof_expectations(_folds(spark, sf_dir), AUX_TARGETS, NUMERIC, CATEGORICAL, "fold", FOLDS, SEED, ["id"], AUX_PARAMS)
 
 
 @query("column_predictability", "I17", note="accuracy of predicting each column from the others")
@@ -348,7 +348,7 @@ def second_table_teacher(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("second_table_expectations", "F10", note="column predictors fitted on the second table only")
 def second_table_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(survey(spark, sf_dir).select("id", *RAW_FEATURES))
-    return M.expectation_models(rows.where(~is_train()), rows.where(is_train()), ["r6", "class"], NUMERIC, CATEGORICAL, SEED, ["id"], AUX_PARAMS)
+    return M.expectation_models(rows.where(~is_train()), rows.where(is_train()), AUX_TARGETS, NUMERIC, CATEGORICAL, SEED, ["id"], AUX_PARAMS)
 
 
 @query("model_bundle", "A14", note="pipeline, contract and metrics saved, loaded and scored again")

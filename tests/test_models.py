@@ -19,6 +19,7 @@ from tabloom.operators.folds import hash_folds
 from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc
 from tabloom.plans import all_entries
+from tabloom.sources.survey import RAW_FEATURES
 from tests.conftest import SMALL
 
 
@@ -136,3 +137,28 @@ def test_pseudo_labels_and_soft_targets(spark):
 @pytest.mark.parametrize("name", ["newton_stacker", "latent_factor_profile", "boosted_trees_early_stop", "cross_validated_member", "model_bundle", "auxiliary_expectations"])
 def test_rows_only_queries_run_on_the_small_tables(spark, name):
     assert all_entries()[name].run(spark, SMALL).count() > 0
+
+
+def test_every_column_is_predicted_from_the_others(spark):
+    found = {r.feature: r.accuracy for r in all_entries()["column_predictability"].run(spark, SMALL).collect()}
+    assert set(found) == set(RAW_FEATURES) and all(0 <= v <= 1 for v in found.values())
+
+
+@pytest.mark.parametrize("name", ["auxiliary_expectations_oof", "second_table_expectations", "auxiliary_expectations"])
+def test_expectation_queries_hold_every_column(spark, name):
+    found = all_entries()[name].run(spark, SMALL)
+    assert [c for c in found.columns if c.startswith("aux_p_")] == [f"aux_p_{c}" for c in RAW_FEATURES]
+    assert found.where("aux_sum_logp is null or aux_sum_logp > 0").count() == 0 < found.count()
+
+
+def test_long_targets_are_binned_and_missing_values_add_nothing(spark):
+    rows = [(i, float(i) if i % 10 else None, float(i // 100), "x" if i < 200 else "y") for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, far double, near double, kind string")
+    table = M.expectation_models(frame, frame, ["far", "kind"], ["far", "near"], ["kind"], 1, ["id", "far"], {"numTrees": 5, "maxDepth": 5})
+    got = table.toPandas()
+    missing = got["far"].isna()
+    assert missing.sum() == 40 and got.loc[missing, "aux_p_far"].isna().all() and got.loc[missing, "aux_hit_far"].isna().all()
+    assert got.loc[missing, "aux_sum_logp"].to_numpy() == pytest.approx(np.log(np.maximum(got.loc[missing, "aux_p_kind"], 1e-6)).to_numpy())
+    assert (got["aux_ev_far"] - got["id"]).abs().mean() < 60 and got.loc[~missing, "aux_p_far"].between(0, 1).all()
+    bins = M._bins(frame, ["far"])["far"]
+    assert len(bins[1]) == M.BINS and sum(bins[1].values()) / M.BINS == pytest.approx(200, abs=1)
