@@ -191,7 +191,7 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
 
 
 def _only(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """``docs`` (rid, text) whose rid is in ``ids``. A bitmap of fixed size, broadcast, keeps most other texts out of the shuffle;
+    """``docs`` (rid, h1, h2, text) that ``ids`` (rid, h1, h2, key) names, as (key, text). A bitmap of rid of fixed size, broadcast, keeps most other texts out of the shuffle;
     once it is full it lets all through and the join alone decides."""
     place = f"cast(pmod(xxhash64(rid), {bits}) as int)"
     words = ids.selectExpr(f"{place} as p").groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("mask"))
@@ -204,9 +204,19 @@ def _only(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
         for batch in batches:
             p = np.asarray(batch.column("p"))
             keep = (shared.value[p >> 6] >> (p & 63)) & 1 == 1
-            yield batch.filter(pa.array(keep)).select(["rid", "text"])
+            yield batch.filter(pa.array(keep)).select(["rid", "h1", "h2", "text"])
 
-    return docs.selectExpr("rid", "text", f"{place} as p").mapInArrow(run, "rid bigint, text string").join(ids, "rid")
+    found = docs.selectExpr("rid", "h1", "h2", "text", f"{place} as p").mapInArrow(run, "rid bigint, h1 bigint, h2 bigint, text string")
+    return found.join(ids, ["rid", "h1", "h2"]).select("key", "text")
+
+
+def _same_id(signed: DataFrame, exact: DataFrame) -> DataFrame:
+    """Links (a, b) between the keys of the texts that share a doc_id."""
+    pair = F.struct("h1", "h2")
+    several = signed.groupBy("rid").agg(F.min(pair).alias("lo"), F.max(pair).alias("hi")).where("lo <> hi").select("rid", "lo")
+    links = signed.join(several, "rid").where("struct(h1, h2) <> lo").selectExpr("lo.h1 as l1", "lo.h2 as l2", "h1", "h2").distinct()
+    first = exact.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("key").alias("a"))
+    return links.join(first, ["l1", "l2"]).join(exact.select("h1", "h2", F.col("key").alias("b")), ["h1", "h2"]).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
@@ -336,36 +346,38 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     signed = fitted(_signatures(keyed, idf), "signatures")
 
-    # equal texts: one representative carries on
+    # equal texts: one representative carries on, under a key of its own, because a doc_id may have several texts
     first = [F.first(c).alias(c) for c in ("bands", *SKETCH)]
-    exact = fitted(signed.groupBy("h1", "h2").agg(F.min("rid").alias("rep"), F.count("*").alias("rows"), *first), "texts")
-    bands = exact.where(F.col("bands").isNotNull()).select(F.col("rep").alias("rid"), F.explode("bands").alias("bucket"), *SKETCH)
+    exact = signed.groupBy("h1", "h2").agg(F.min("rid").alias("rep"), F.count("*").alias("rows"), *first)
+    exact = fitted(exact.withColumn("key", F.monotonically_increasing_id()), "texts")
+    bands = exact.where(F.col("bands").isNotNull()).select(F.col("key").alias("rid"), F.explode("bands").alias("bucket"), *SKETCH)
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = fitted(bands.join(sizes, "bucket"), "buckets")
     central = shared.groupBy("rid").agg(F.sum("size").alias("central"))
-    texts = fitted(_only(keyed.select("rid", "text"), central.select("rid")).groupBy("rid").agg(F.min("text").alias("text")), "texts")
+    wanted = fitted(exact.join(central.select(F.col("rid").alias("key")), "key").select(F.col("rep").alias("rid"), "h1", "h2", "key"), "wanted")
+    texts = fitted(_only(keyed, wanted).groupBy(F.col("key").alias("rid")).agg(F.min("text").alias("text")), "texts")
 
     tops = shared.join(central, "rid").groupBy("bucket").agg(F.max_by(F.struct("rid", *SKETCH), F.struct("central", -F.col("rid"))).alias("t"))
     near = _verified(fitted(shared.alias("m").join(tops.selectExpr("bucket", "t.*").alias("t"), "bucket").where(
         f"m.rid <> t.rid and {_equal_samples('m', 't')} >= {LEAST_EQUAL}"
     ).selectExpr("t.rid as a", "m.rid as b").distinct(), "pairs"), texts, idf, threshold)
-    near = fitted(near, "near")
+    near = fitted(near.union(_same_id(signed, exact)), "near")
     state = components(near).select(F.col("id").alias("rid"), "component")
     now = shared.join(state, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     open_ = (
-        now.join(mixed, "bucket").join(texts, "rid").join(exact.select(F.col("rep").alias("rid"), "bands").groupBy("rid").agg(F.first("bands").alias("bands")), "rid")
+        now.join(mixed, "bucket").join(texts, "rid").join(exact.select(F.col("key").alias("rid"), "bands"), "rid")
         .withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(rid), blocks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "component", "bands", *SKETCH, "text")
     )
     near = fitted(near.union(_matched_blocks(open_, idf, threshold)).distinct(), "near")
-    classes = exact.select("h1", "h2", "rep", "rows")
-    classes = classes.join(components(near).select(F.col("id").alias("rep"), "component"), "rep", "left")
-    classes = classes.select("h1", "h2", "rows", F.coalesce("component", "rep").alias("class_id"))
-    size = classes.groupBy("class_id").agg(F.sum("rows").alias("class_size"))
-    classes = classes.join(size, "class_id").select("h1", "h2", "class_id", "class_size")
+    classes = exact.select("h1", "h2", "key", "rep", "rows")
+    classes = classes.join(components(near).select(F.col("id").alias("key"), "component"), "key", "left")
+    classes = classes.withColumn("component", F.coalesce("component", "key"))
+    size = classes.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("rows").alias("class_size"))
+    classes = classes.join(size, "component").select("h1", "h2", "class_id", "class_size")
     id_type = docs.schema["doc_id"].dataType
     found = signed.select("rid", "h1", "h2").join(classes, ["h1", "h2"])
     alone = docs.where(~usable).select("doc_id", F.col("doc_id").cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))

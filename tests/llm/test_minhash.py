@@ -92,3 +92,20 @@ def test_components_of_chains_and_stars(spark):
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
     assert got == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_one_id_with_several_texts(spark):
+    import random
+
+    rnd = random.Random(11)
+    texts = [prose(rnd, 200) for _ in range(5)]
+    near = [" ".join([*t.split()[:-1], "otherwise"]) for t in texts]
+    rows = [(40, texts[0]), (40, texts[1]), (41, near[0]), (42, near[1]), (43, texts[1])]
+    rows += [(50, texts[2]), (51, texts[2]), (51, texts[3]), (52, texts[3]), (60, near[4]), (61, texts[4])]
+    docs = table(spark, [row(*r) for r in rows]).repartition(3)
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == (
+        {(i, 40, 5) for i in (40, 41, 42, 43)} | {(i, 50, 4) for i in (50, 51, 52)} | {(i, 60, 2) for i in (60, 61)}
+    )
+    assert sorted(r.doc_id for r in minhash.keep_one(docs).collect()) == [40, 50, 60]
