@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, language, minhash, mixing, pii, quality, secrets, separators, substrings, transcripts
+from tabloom.llm import centroids, decontaminate, language, merkle, minhash, mixing, pii, quality, secrets, separators, substrings, transcripts
 from tabloom.llm.common import hex_sha, read
 from tabloom.session import ship_package
 
@@ -90,3 +90,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted by separators in flat token files."""
     return separators.count_document_tokens(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that its tampered row leads to."""
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+SQL["op11_merkle_manifest"] = merkle.SQL
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds."""
+    return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_centroid_clusters"] = centroids.SQL
