@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import centroids, decontaminate, language, merkle, minhash, mixing, pii, quality, secrets, separators, substrings, transcripts
+from tabloom.llm import centroids, decontaminate, language, merkle, minhash, mixing, pii, quality, secrets, separators, sitetree, substrings, transcripts
 from tabloom.llm.common import hex_sha, read
 from tabloom.session import ship_package
 
@@ -108,3 +108,9 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op13_centroid_clusters"] = centroids.SQL
+
+
+@query
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return sitetree.main_text(read(spark, sf_dir, "pages"))
