@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import fitted
+from tabloom.llm.common import fitted, packed
 from tabloom.llm.markup import keyed, read_page
 from tabloom.llm.words import SLICE_BYTES, folded_words, mix, slices, spans_hash
 
@@ -209,7 +209,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     no-break space) collapsed to one space. Null and empty html, and pages without an article, give empty text. A null url is a host of
     its own. Repeated rows give repeated results; an empty table none; other columns are ignored.
     """
-    read = fitted(read_pages(pages.select("page_id", "url", F.col("html").cast("string").alias("html"))), "pages")
+    read = packed(read_pages(pages.select("page_id", "url", F.col("html").cast("string").alias("html"))), "pages")
     noise = fitted(noisy_leaves(importances(read)), "noise")
     leaves = read.groupBy("layout").agg(F.first("blocks.node").alias("node")).select("layout", F.explode(F.array_distinct("node")).alias("node"))
     verdicts = leaves.join(noise, "node").groupBy("layout").agg(
