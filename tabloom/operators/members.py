@@ -17,12 +17,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import hash_number
 from tabloom.functions.scalars import logit, sigmoid
+from tabloom.operators.boosting import Boosted, HistogramBooster, Settings, fit_bins, fit_boosted, score_boosted
+from tabloom.operators.encoders import FIT_ROWS, FoldTargetEncoder, encoded_name
 from tabloom.operators.folds import hash_order_position
 from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc, column_quantiles
@@ -31,7 +32,11 @@ from tabloom.sources.sinks import fingerprint
 
 @dataclass(frozen=True)
 class MemberSpec:
-    """What a member is: estimator kind, features, parameters, seed."""
+    """What a member is: estimator kind, features, parameters, seed.
+
+    ``encoded`` lists column sets whose target encodings are fitted inside every fold and join the numeric features:
+    ``tef_<column>``, ``te2_pair_<a>_<b>``; ``auto_encoded`` the same with automatic smoothing, ``tea_...``.
+    """
 
     name: str
     kind: str
@@ -41,11 +46,24 @@ class MemberSpec:
     seed: int | None = None
     label: str = "label"
     weight: str | None = None
+    encoded: tuple[tuple[str, ...], ...] = ()
+    auto_encoded: tuple[tuple[str, ...], ...] = ()
+    key: str = "id"
 
     @property
     def features(self) -> list[str]:
         return [*self.numeric, *self.categorical]
 
+    @property
+    def inputs(self) -> list[str]:
+        """Every column that decides the result."""
+        sets = [c for keys in (*self.encoded, *self.auto_encoded) for c in keys]
+        return list(dict.fromkeys([*self.features, *sets]))
+
+    @property
+    def encodings(self) -> list[str]:
+        return [*(encoded_name(list(k)) for k in self.encoded), *(encoded_name(list(k), True) for k in self.auto_encoded)]
+
     def fingerprint(self, **run) -> str:
         return hashlib.sha256(json.dumps({**asdict(self), **run}, sort_keys=True).encode()).hexdigest()[:16]
 
@@ -57,6 +75,7 @@ ESTIMATORS: dict[str, Callable[..., Estimator]] = {
     "boosted": GBTClassifier,
     "perceptron": MultilayerPerceptronClassifier,
     "factorization": FMClassifier,
+    "histogram": HistogramBooster,
 }
 UNSEEDED = {"logistic"}  # deterministic estimators without a seed parameter
 TREES = {"tree", "forest", "boosted"}
@@ -69,7 +88,9 @@ def build_model(kind: str, params: dict, seed: int | None, label: str = "label",
         raise ValueError(f"unknown model {kind!r}; choose one of {sorted(ESTIMATORS)}")
     if seed is None:
         raise ValueError("a seed is required")
-    settings = {"featuresCol": "features", "labelCol": label, **params}
+    settings = {"labelCol": label, **params}
+    if kind != "histogram":
+        settings["featuresCol"] = "features"
     if kind not in UNSEEDED:
         settings["seed"] = seed
     if weight is not None and kind not in ("perceptron", "factorization"):
@@ -77,10 +98,17 @@ def build_model(kind: str, params: dict, seed: int | None, label: str = "label",
     return ESTIMATORS[kind](**settings)
 
 
+def _encoders(spec: MemberSpec) -> list[FoldTargetEncoder]:
+    kinds = ((spec.encoded, False), (spec.auto_encoded, True))
+    return [FoldTargetEncoder(keySets=sets, keyCol=spec.key, labelCol=spec.label, auto=auto, seed=spec.seed) for sets, auto in kinds if sets]
+
+
 def preparation(spec: MemberSpec) -> list:
     """Codes, median imputation and, for linear kinds, indicators and scaling."""
     stages: list = []
-    numeric = list(spec.numeric)
+    if spec.kind == "histogram":
+        return stages
+    numeric = [*spec.numeric, *spec.encodings]
     inputs: list[str] = []
     if numeric:
         stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=[f"_i_{c}" for c in numeric]))
@@ -108,6 +136,16 @@ def numeric_input(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 def fit_member(train: DataFrame, spec: MemberSpec) -> PipelineModel:
     params = dict(spec.params)
+    encoders: list = []
+    if spec.encodings:
+        train = train.withColumn(FIT_ROWS, F.lit(True))  # values of the other inner folds for these rows
+        for stage in _encoders(spec):
+            encoders.append(stage.fit(train))
+            train = encoders[-1].transform(train)
+        extra = [spec.weight] if spec.weight else []
+        train = fitted(train.select(*dict.fromkeys([spec.key, spec.label, *spec.inputs, *spec.encodings, *extra])), "encoded")
+    if spec.kind == "histogram":
+        params |= {"numericCols": [*spec.numeric, *spec.encodings], "categoricalCols": list(spec.categorical), "keyCol": spec.key}
     if spec.kind == "perceptron" and "hidden" in params:
         hidden = params.pop("hidden")
         prepared = Pipeline(stages=preparation(spec)).fit(numeric_input(train, list(spec.numeric)))
@@ -119,7 +157,8 @@ def fit_member(train: DataFrame, spec: MemberSpec) -> PipelineModel:
         most = max(levels[c] for c in spec.categorical)
         params["maxBins"] = max(32, int(most * 1.1) + 2)
     estimator = build_model(spec.kind, params, spec.seed, spec.label, spec.weight)
-    return _without_summary(Pipeline(stages=[*preparation(spec), estimator]).fit(numeric_input(train, list(spec.numeric))))
+    model = _without_summary(Pipeline(stages=[*preparation(spec), estimator]).fit(numeric_input(train, list(spec.numeric))))
+    return PipelineModel(stages=[*encoders, *model.stages]) if encoders else model
 
 
 def _without_summary(model: PipelineModel) -> PipelineModel:
@@ -148,6 +187,8 @@ def cross_validate(frame: DataFrame, spec: MemberSpec, fold: str, folds: int, ke
     Rows to score get one value per fold, to be averaged. Fold models differ in
     their seed by the fold number.
     """
+    if spec.kind == "histogram" and not spec.encodings and "validationIndicatorCol" not in spec.params:
+        return _boosted_folds(frame, spec, fold, folds, key, to_score)
     parts = []
     for f in range(folds):
         own = replace(spec, seed=spec.seed + f)
@@ -163,6 +204,27 @@ def cross_validate(frame: DataFrame, spec: MemberSpec, fold: str, folds: int, ke
     return result
 
 
+def boosted_settings(params: dict) -> tuple[Settings, int]:
+    """Settings and bins of the parameters of a histogram member."""
+    stage = HistogramBooster(**params)
+    return stage.settings(), stage.getOrDefault("maxBins")
+
+
+def _boosted_folds(frame: DataFrame, spec: MemberSpec, fold: str, folds: int, key: str, to_score: DataFrame | None) -> DataFrame:
+    """The models of all folds grow in the same passes. Bins are those of all rows: they know no label."""
+    settings, n_bins = boosted_settings(spec.params)
+    bins = fit_bins(frame, list(spec.numeric), list(spec.categorical), n_bins)
+    models = fit_boosted(frame, bins, spec.label, settings, spec.seed, key, fold, list(range(folds)), spec.weight)
+    scored = score_boosted(models, frame.where(F.col(fold).between(0, folds - 1)), [key, fold, spec.label])
+    own = F.element_at("margins", F.col(fold) + 1)
+    result = scored.select(key, F.lit(spec.name).alias("member"), F.lit("train").alias("split"), F.col(fold).cast("int").alias("fold"), spec.label, sigmoid(own).alias("p"))
+    if to_score is not None:
+        new = score_boosted(models, to_score, [key]).select(key, F.posexplode("margins").alias("fold", "margin"))
+        label = F.lit(None).cast(frame.schema[spec.label].dataType).alias(spec.label)
+        result = result.unionByName(new.select(key, F.lit(spec.name).alias("member"), F.lit("score").alias("split"), "fold", label, sigmoid("margin").alias("p")))
+    return result
+
+
 def averaged_scores(predictions: DataFrame, key: str = "id") -> DataFrame:
     """Mean over folds for the rows to score."""
     return predictions.where("split = 'score'").groupBy(key, "member").agg(F.avg("p").alias("p"))
@@ -183,7 +245,7 @@ def resumable_cross_validate(frame: DataFrame, spec: MemberSpec, fold: str, fold
     all rows) are the same; anything else lies under another fingerprint or is refitted.
     """
     sizes = {row[fold]: row["n"] for row in frame.groupBy(fold).agg(F.count("*").alias("n")).collect()}  # one row per fold
-    content = fingerprint(frame, [key, fold, spec.label, *spec.features]).first()
+    content = fingerprint(frame, [key, fold, spec.label, *spec.inputs]).first()
     mark = spec.fingerprint(folds=folds, rows=content["rows"], content=content["digest"])
     fitted_now, parts = [], []
     for f in range(folds):
@@ -337,27 +399,30 @@ def segment_models(frame: DataFrame, spec: MemberSpec, by: str, levels: list[str
     return parts
 
 
-def margin_boosting(frame: DataFrame, linear: MemberSpec, tree_params: dict, fold: str, folds: int, key: str = "id") -> DataFrame:
-    """(key, fold, label, p_linear, p): a linear margin first, regression trees on what it misses.
+def margin_boosting(
+    frame: DataFrame, linear: MemberSpec, trees: MemberSpec, fold: str, folds: int, key: str = "id"
+) -> tuple[DataFrame, list[Boosted]]:
+    """(key, fold, label, p_linear, p) and the boosted models: a linear margin first, then trees that start at it.
 
-    The trees of a fold see only residuals of fit rows.
+    Every round takes gradients and curvatures of the log loss at the current margin. A fold's linear model and trees see only its fit
+    rows; all folds grow in the same passes. With no rounds the result is the linear stage.
     """
-    parts = None
+    settings, n_bins = boosted_settings(trees.params)
+    rows = frame
     for f in range(folds):
-        fit, held = frame.where(F.col(fold) != f), frame.where(F.col(fold) == f)
-        model = fit_member(fit, replace(linear, seed=linear.seed + f))
-        prepared = model.transform(numeric_input(fit, list(linear.numeric)))
-        # one Newton step on the margin: residual over weight as the target, p (1 - p) as the weight
-        weight = F.greatest(positive_probability() * (1 - positive_probability()), F.lit(1e-6))
-        target = (F.col(linear.label) - positive_probability()) / weight
-        trees = GBTRegressor(featuresCol="_raw", labelCol="_res", weightCol="_w", predictionCol="_step", seed=linear.seed + f, **tree_params).fit(
-            prepared.select("_raw", target.alias("_res"), weight.alias("_w"))
-        )
-        scored = trees.transform(model.transform(numeric_input(held, list(linear.numeric))))
+        model = fit_member(frame.where(F.col(fold) != f), replace(linear, seed=linear.seed + f))
+        scored = model.transform(numeric_input(rows, list(linear.numeric)))
         first = positive_probability()
-        part = scored.select(key, F.lit(f).alias("fold"), linear.label, first.alias("p_linear"), sigmoid(logit(first) + F.col("_step")).alias("p"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+        rows = scored.select(*rows.columns, logit(first).alias(f"_margin_{f}"))  # a projection: no join per fold
+    rows = fitted(rows.withColumn("_margins", F.array(*[f"_margin_{f}" for f in range(folds)])).drop(*[f"_margin_{f}" for f in range(folds)]), "margins")
+    bins = fit_bins(frame, list(trees.numeric), list(trees.categorical), n_bins)
+    models = fit_boosted(rows, bins, trees.label, settings, trees.seed, key, fold, list(range(folds)), trees.weight, "_margins")
+    scored = score_boosted(models, rows, [key, fold, trees.label, "_margins"], "_margins")
+    own = F.col(fold) + 1
+    result = scored.select(
+        key, F.col(fold).cast("int").alias("fold"), trees.label, sigmoid(F.element_at("_margins", own)).alias("p_linear"), sigmoid(F.element_at("margins", own)).alias("p")
+    )
+    return result, models
 
 
 def ordinal_scores(train: DataFrame, held: DataFrame, spec: MemberSpec, target: Column, classes: int, keep: list[str]) -> DataFrame:

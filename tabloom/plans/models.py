@@ -15,7 +15,8 @@ from tabloom.operators import neighbours as N
 from tabloom.operators import pseudo as Ps
 from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc
-from tabloom.plans.common import CATEGORICAL, CONTINUOUS, FOLDS, NUMERIC, RATINGS, SEED, TRAIN, r, rd
+from tabloom.operators.encoders import FIT_ROWS, FoldTargetEncoder, encoded_name
+from tabloom.plans.common import CATEGORICAL, CONTINUOUS, FOLDS, NUMERIC, RATINGS, SEED, SMOOTHING, TRAIN, auc_sql, hash_fold_sql, r, rd
 from tabloom.plans.derived import MEAN
 from tabloom.plans.member_data import folded_train
 from tabloom.plans.registry import plain_sql, query, survey_sql
@@ -27,7 +28,7 @@ from tabloom.sources.tables import read_table
 
 CORE = ("r1", "r6", "r7", "r8", "age", "dep_delay")
 LOGISTIC = M.MemberSpec("logistic", "logistic", CORE, ("class",), {"regParam": 0.001, "maxIter": 20}, SEED)
-BOOSTED = M.MemberSpec("boosted", "boosted", CORE, ("class",), {"maxIter": 5, "maxDepth": 4}, SEED)
+BOOSTED = M.MemberSpec("boosted", "histogram", CORE, ("class",), {"maxIter": 20, "maxDepth": 4, "stepSize": 0.3}, SEED)
 
 
 def _folded(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
@@ -148,10 +149,10 @@ def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query("boosted_trees_early_stop", "I6", "H7", note="validation slice carved from the fit rows by hash")
+@query("boosted_trees_early_stop", "I6", "H7", note="histogram boosting, native categories; validation slice carved from the fit rows by hash")
 def boosted_trees_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fitted(survey(spark, sf_dir))
-    model = M.early_stopped(rows.where(is_train()), BOOSTED)
+    rows = fitted(survey(spark, sf_dir).select("id", "label", *BOOSTED.features))
+    model = M.early_stopped(rows.where(is_train()), replace(BOOSTED, params={**BOOSTED.params, "patience": 3}))
     scored = M.score(model, rows.where(~is_train()), BOOSTED, ["id", "label"])
     return auc(scored, "p", "label").withColumn("trees", F.lit(len(model.stages[-1].treeWeights)))
 
@@ -190,13 +191,41 @@ def segment_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc(both, "p", "label", by=["segment"])
 
 
-@query("two_stage_margin_boosting", "I13", note="linear margin first, regression trees on its residuals")
+LINEAR = replace(LOGISTIC, numeric=("r6", "age"), categorical=())  # leaves something for the trees to learn
+RESIDUAL = M.MemberSpec("residual", "histogram", CORE, ("class",), {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}, SEED)
+
+
+@query("two_stage_margin_boosting", "I13", note="linear margin first, log-loss boosting that starts at it")
 def two_stage_margin_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = fitted(M.margin_boosting(_folds(spark, sf_dir), LOGISTIC, {"maxIter": 4, "maxDepth": 4}, "fold", FOLDS), "margin")
+    scored = fitted(M.margin_boosting(_folds(spark, sf_dir), LINEAR, RESIDUAL, "fold", FOLDS)[0], "margin")
     both = scored.select(F.lit("linear").alias("stage"), "label", F.col("p_linear").alias("p")).unionByName(scored.select(F.lit("boosted").alias("stage"), "label", "p"))
     return auc(both, "p", "label", by=["stage"])
 
 
+@query(
+    "margin_boosting_facts", "I13",
+    sql=survey_sql("select r.rounds, count(*) as n_rows, count(distinct tr.id) as n_ids, true as in_unit, r.rounds = 0 as equals_linear, r.rounds > 0 as loss_falls_every_round, r.rounds > 0 as better_out_of_fold from tr, (values (0), (10)) r(rounds) group by r.rounds", tr=TRAIN),
+    note="with no rounds the linear stage itself; else the fit loss falls every round and the held-out loss is lower",
+)
+def margin_boosting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, parts = _folds(spark, sf_dir), None
+    for rounds in (0, 10):
+        trees = replace(RESIDUAL, params={**RESIDUAL.params, "maxIter": rounds})
+        scored, models = M.margin_boosting(frame, LINEAR, trees, "fold", FOLDS)
+        falls = rounds > 0 and all(b[0] < a[0] for m in models for a, b in zip(m.losses, m.losses[1:]))
+
+        def loss(p: str):
+            return F.avg(-F.ln(F.when(F.col("label") == 1, F.col(p)).otherwise(1 - F.col(p))))
+
+        part = scored.agg(
+            F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.bool_and(F.col("p").between(0, 1)).alias("in_unit"),
+            (F.max(F.abs(F.col("p") - F.col("p_linear"))) < 1e-9).alias("equals_linear"), F.lit(falls).alias("loss_falls_every_round"),
+            (loss("p") < loss("p_linear") - 1e-9).alias("better_out_of_fold"),
+        ).select(F.lit(rounds).alias("rounds"), "*")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 AUX_TARGETS = RAW_FEATURES
 AUX_PARAMS = {"numTrees": 5, "maxDepth": 4}
 
@@ -253,6 +282,94 @@ def cross_validated_member_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.bool_and(F.col("p").between(0, 1)).alias("in_unit"))
 
 
+ENCODED = (("r6",), ("o_custkey",), ("r1", "r6"), ("class", "travel_type"))
+AUTO_ENCODED = (("class",), ("o_custkey",))
+
+
+def _encoder_sql() -> str:
+    """Every value from the sums it may use: those of all fit rows, for fit rows without their own inner fold."""
+    ctes = {
+        "b": f"select *, id % 10 < 7 as train, {hash_fold_sql()} as cell from survey",
+        "al": "select cast(sum(label) as double) as s, count(*) as n from b where train",
+        "ce": "select cell, cast(sum(label) as double) as s, count(*) as n from b where train group by cell",
+        "pri": "select b.id, (al.s - case when b.train then ce.s else 0 end) / (al.n - case when b.train then ce.n else 0 end) as pr from b, al, ce where b.cell = ce.cell",
+    }
+    columns, joins = [], []
+    for auto, sets in ((False, ENCODED), (True, AUTO_ENCODED)):
+        for keys in sets:
+            name = encoded_name(list(keys), auto)
+            kk = ", ".join(keys)
+            ctes[f"w_{name}"] = f"select {kk}, cast(sum(label) as double) as s, count(*) as n from b where train group by {kk}"
+            ctes[f"i_{name}"] = f"select {kk}, cell, cast(sum(label) as double) as s, count(*) as n from b where train group by {kk}, cell"
+            on = " and ".join(f"x.{k} = b.{k}" for k in keys)
+            joins.append(f"left join w_{name} on {on.replace('x.', f'w_{name}.')}")
+            joins.append(f"left join i_{name} on b.train and i_{name}.cell = b.cell and {on.replace('x.', f'i_{name}.')}")
+            n, t = (f"(coalesce(w_{name}.{c}, 0) - coalesce(i_{name}.{c}, 0))" for c in ("n", "s"))
+            if auto:
+                mine, mean = f"{n} * pr * (1 - pr)", f"({t} / {n})"
+                weight = f"coalesce({mine} / nullif({mine} + {mean} * (1 - {mean}), 0), 1)"
+                value = f"case when {n} = 0 then pr else {weight} * {mean} + (1 - {weight}) * pr end"
+            else:
+                value = f"({t} + pr * {SMOOTHING}) / ({n} + {SMOOTHING})"
+            columns.append(f"{rd(value, 9)} as {name}")
+    return survey_sql(f"select b.id, {', '.join(columns)} from b join pri on pri.id = b.id {' '.join(joins)}", **ctes)
+
+
+def _encoders(fit: DataFrame) -> list:
+    return [FoldTargetEncoder(keySets=sets, auto=auto, seed=SEED, smoothing=SMOOTHING).fit(fit) for sets, auto in ((ENCODED, False), (AUTO_ENCODED, True))]
+
+
+@query("in_fold_encoder", "I18", "G4", "G5", "G7", sql=_encoder_sql(), note="pipeline stage: fit rows cross-fitted over inner folds, other rows by the full map")
+def in_fold_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fitted(survey(spark, sf_dir).withColumn(FIT_ROWS, is_train()))
+    names = []
+    for model in _encoders(rows.where(is_train())):
+        rows = model.transform(rows)
+        names += model.outputs()
+    return rows.select("id", *[r(n, 9).alias(n) for n in names])
+
+
+@query(
+    "in_fold_encoder_leak", "I18", "G4",
+    sql=survey_sql("select encoding, false as own_value_moved, true as others_moved from (values " + ", ".join(f"('{encoded_name(list(k), a)}')" for a, sets in ((False, ENCODED), (True, AUTO_ENCODED)) for k in sets) + ") v(encoding)"),
+    note="one label flipped: the row's own values stay, values of other rows move",
+)
+def in_fold_encoder_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = fitted(survey(spark, sf_dir).where(is_train()).withColumn(FIT_ROWS, F.lit(True)))
+    own = F.col("id") == train.agg(F.min("id")).first()[0]
+    flipped = train.withColumn("label", F.when(own, 1 - F.col("label")).otherwise(F.col("label")))
+    before, after, names = train, flipped, []
+    for a, b in zip(_encoders(train), _encoders(flipped)):
+        before, after = a.transform(before), b.transform(after)
+        names += a.outputs()
+    both = before.select("id", own.alias("own"), *names).join(after.select("id", *[F.col(n).alias(f"_{n}") for n in names]), "id")
+    moved = [F.struct(F.lit(n).alias("encoding"), (F.col(n) != F.col(f"_{n}")).alias("moved")) for n in names]
+    long = both.select("own", F.inline(F.array(*moved)))
+    return long.groupBy("encoding").agg(F.bool_or(F.col("own") & F.col("moved")).alias("own_value_moved"), F.bool_or(~F.col("own") & F.col("moved")).alias("others_moved"))
+
+
+@query(
+    "in_fold_member", "I18", "G5", "G7",
+    sql=survey_sql("select split, n_rows, n_ids, true as in_unit, true as reloaded_alike from (select 'score' as split, count(*) as n_rows, count(distinct id) as n_ids from survey where id % 10 >= 7 union all select 'train', count(*), count(distinct id) from tr) x", tr=TRAIN),
+    note="member whose encoders are fitted in every fold; the saved pipeline scores new rows alike",
+)
+def in_fold_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml import PipelineModel
+
+    columns = list(dict.fromkeys([*CORE, *CATEGORICAL, "o_custkey"]))
+    frame, new, path = _folded(spark, sf_dir, columns), fitted(_score_rows(spark, sf_dir)), scratch_path(spark, "encoded")
+    spec = replace(LOGISTIC, name="encoded", encoded=ENCODED, auto_encoded=AUTO_ENCODED)
+    found = fitted(M.cross_validate(frame, spec, "fold", FOLDS, "id", new), "cv")
+    means = found.where("split = 'train'").select("id", "split", "p").unionByName(M.averaged_scores(found).select("id", F.lit("score").alias("split"), "p"))
+    model = M.fit_member(frame, spec)
+    model.write().overwrite().save(path)
+    one, two = (M.score(m, new, spec, ["id"]) for m in (model, PipelineModel.load(path)))
+    differ = one.join(two.select("id", F.col("p").alias("q")), "id").where("p <> q").count()
+    return means.groupBy("split").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.bool_and(F.col("p").between(0, 1)).alias("in_unit"), F.lit(differ == 0).alias("reloaded_alike")
+    )
+
+
 @query("permutation_importance", "I21", note="AUC lost per shuffled column; the shuffle is a join of two hash orders")
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(survey(spark, sf_dir))
