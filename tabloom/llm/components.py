@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     join, so no component is ever gathered. Rounds grow with the logarithm of the longest chain. Empty links give no rows.
     """
     edges = fitted(_clean(links), "links")
-    while True:
+    before = _state(edges)
+    while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = fitted(_clean(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "links")
@@ -24,13 +25,13 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         moved = down.join(least, "a")
-        small = fitted(
+        edges = fitted(
             _clean(moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))), "links"
         )
-        before, after = _state(edges), _state(small)
-        edges = small
+        after = _state(edges)
         if before == after:
             break
+        before = after
     stars = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component")).distinct()
 

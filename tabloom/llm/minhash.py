@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import fitted
+from tabloom.llm.common import fitted, summed
 from tabloom.llm.components import components
 from tabloom.llm.words import Words, folded_words, mix, slices, window_hash
 
@@ -36,7 +36,8 @@ SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 16)]  # 4 bits of every sample
 TABLE = 1 << 16
 SEED = 20240917
 IDF = 0.5
-BLOCK = 512
+BLOCK = 512  # members of a block, and its text at most
+BLOCK_BYTES = 16 << 20
 
 
 def _feature(hashes: np.ndarray) -> np.ndarray:
@@ -44,23 +45,20 @@ def _feature(hashes: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents holding each hashed word feature, and all documents; partition counts are summed by shuffle."""
+    """Documents holding each hashed word feature, and all documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FEATURES, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
+            total[FEATURES] += batch.num_rows
             for part in slices(batch.column("text")):
                 words = folded_words(part)
                 seen = np.unique(words.doc() * FEATURES + _feature(words.hash))
-                total += np.bincount(seen % FEATURES, minlength=FEATURES)
-        some = np.flatnonzero(total)
-        yield pa.record_batch({"feature": pa.array(some, pa.int64()), "df": pa.array(total[some], pa.int64())})
+                total[:FEATURES] += np.bincount(seen % FEATURES, minlength=FEATURES)
+        return total
 
-    summed = docs.select("text").mapInArrow(count, "feature bigint, df bigint").groupBy("feature").agg(F.sum("df").alias("df"))
-    out = np.zeros(FEATURES, np.int64)
-    for feature, df in summed.toLocalIterator():  # at most FEATURES rows
-        out[feature] = df
-    return out, docs.count()
+    found = summed(docs.select("text"), count, FEATURES + 1)
+    return found[:FEATURES], int(found[FEATURES])
 
 
 def inverse_frequencies(df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -167,7 +165,7 @@ def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
 
 
 def _signatures(docs: DataFrame, idf) -> DataFrame:
-    """rid, a 128-bit digest of the text, band keys (null for texts without words), 4 bits of every sample."""
+    """rid, a 128-bit digest of the text, its bytes, band keys (null for texts without words), 4 bits of every sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,32 +179,40 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
                         "rid": batch.column("rid").slice(part.lo, len(part)),
                         "h1": batch.column("h1").slice(part.lo, len(part)),
                         "h2": batch.column("h2").slice(part.lo, len(part)),
+                        "size": pa.array(np.diff(part.offsets), pa.int64()),
                         "bands": pa.array([k.tolist() if h else None for k, h in zip(keys, has)], pa.list_(pa.int64())),
                         **{name: pa.array(np.ascontiguousarray(low[:, i])) for i, name in enumerate(SKETCH)},
                     }
                 )
 
     sketch = "".join(f", {name} bigint" for name in SKETCH)
-    return docs.select("rid", "h1", "h2", "text").mapInArrow(run, f"rid bigint, h1 bigint, h2 bigint, bands array<bigint>{sketch}")
+    id_type = docs.schema["rid"].dataType.simpleString()
+    return docs.select("rid", "h1", "h2", "text").mapInArrow(run, f"rid {id_type}, h1 bigint, h2 bigint, size bigint, bands array<bigint>{sketch}")
 
 
 def _only(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """``docs`` (rid, h1, h2, text) that ``ids`` (rid, h1, h2, key) names, as (key, text). A bitmap of rid of fixed size, broadcast, keeps most other texts out of the shuffle;
     once it is full it lets all through and the join alone decides."""
     place = f"cast(pmod(xxhash64(rid), {bits}) as int)"
-    words = ids.selectExpr(f"{place} as p").groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("mask"))
-    table = np.zeros(bits // 64, np.int64)
-    for word, mask in words.toLocalIterator():  # at most bits / 64 rows
-        table[word] = mask
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[np.asarray(batch.column("p"))] = True
+        yield pa.record_batch({"mask": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+
+    table = np.zeros(bits // 8, np.uint8)
+    for row in ids.selectExpr(f"{place} as p").coalesce(8).mapInArrow(mark, "mask binary").collect():  # at most 8 bitmaps
+        table |= np.frombuffer(row["mask"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.asarray(batch.column("p"))
-            keep = (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+            keep = (shared.value[p >> 3] >> (7 - (p & 7))) & 1 == 1
             yield batch.filter(pa.array(keep)).select(["rid", "h1", "h2", "text"])
 
-    found = docs.selectExpr("rid", "h1", "h2", "text", f"{place} as p").mapInArrow(run, "rid bigint, h1 bigint, h2 bigint, text string")
+    found = docs.selectExpr("rid", "h1", "h2", "text", f"{place} as p").mapInArrow(run, docs.select("rid", "h1", "h2", "text").schema)
     return found.join(ids, ["rid", "h1", "h2"]).select("key", "text")
 
 
@@ -327,32 +333,26 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size (rows in the class).
+def text_classes(keyed: DataFrame, threshold: float = THRESHOLD, same_id: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Of ``keyed`` (rid, h1, h2, text): signed rows (rid, h1, h2) and the classes of the texts (h1, h2, rep, rows, component).
 
-    Equal texts are one class whatever they hold, and so are the texts of one doc_id; null texts and null ids stay alone (a null id is its own class of null).
-    Texts without words have no shingles and are linked by equality only. Repeated rows fall into one class.
+    ``rep`` is the smallest id that holds a text, ``rows`` how many do. With ``same_id`` the texts of one id are one class.
 
     Band buckets are not expanded into pairs. First each compares its most central member, the one that shares most buckets with
     others (an original among its copies), with the rest. What is then in one component needs no further comparison; in buckets that
     still hold several components, members of different ones are matched block by block, and only links leave the tasks.
     """
-    spark = docs.sparkSession
-    df, n_docs = document_frequencies(docs)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(df, n_docs))
-    usable = F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-    keyed = docs.where(usable).select(
-        F.col("doc_id").cast("long").alias("rid"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text"
-    )
+    df, n_docs = document_frequencies(keyed)
+    idf = keyed.sparkSession.sparkContext.broadcast(inverse_frequencies(df, n_docs))
     signed = fitted(_signatures(keyed, idf), "signatures")
 
     # equal texts: one representative carries on, under a key of its own, because a doc_id may have several texts
-    first = [F.first(c).alias(c) for c in ("bands", *SKETCH)]
+    first = [F.first(c).alias(c) for c in ("size", "bands", *SKETCH)]
     exact = signed.groupBy("h1", "h2").agg(F.min("rid").alias("rep"), F.count("*").alias("rows"), *first)
     exact = fitted(exact.withColumn("key", F.monotonically_increasing_id()), "texts")
-    bands = exact.where(F.col("bands").isNotNull()).select(F.col("key").alias("rid"), F.explode("bands").alias("bucket"), *SKETCH)
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = fitted(bands.join(sizes, "bucket"), "buckets")
+    bands = exact.where(F.col("bands").isNotNull()).select(F.col("key").alias("rid"), F.explode("bands").alias("bucket"), F.col("size").alias("bytes"), *SKETCH)
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("bytes").alias("all_bytes")).where("size > 1")
+    shared = fitted(bands.drop("bytes").join(sizes, "bucket"), "buckets")
     central = shared.groupBy("rid").agg(F.sum("size").alias("central"))
     wanted = fitted(exact.join(central.select(F.col("rid").alias("key")), "key").select(F.col("rep").alias("rid"), "h1", "h2", "key"), "wanted")
     texts = fitted(_only(keyed, wanted).groupBy(F.col("key").alias("rid")).agg(F.min("text").alias("text")), "texts")
@@ -361,34 +361,54 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     near = _verified(fitted(shared.alias("m").join(tops.selectExpr("bucket", "t.*").alias("t"), "bucket").where(
         f"m.rid <> t.rid and {_equal_samples('m', 't')} >= {LEAST_EQUAL}"
     ).selectExpr("t.rid as a", "m.rid as b").distinct(), "pairs"), texts, idf, threshold)
-    near = fitted(near.union(_same_id(signed, exact)), "near")
-    state = components(near).select(F.col("id").alias("rid"), "component")
+    stars = components(near.union(_same_id(signed, exact)) if same_id else near)
+    state = stars.select(F.col("id").alias("rid"), "component")
     now = shared.join(state, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
     open_ = (
         now.join(mixed, "bucket").join(texts, "rid").join(exact.select(F.col("key").alias("rid"), "bands"), "rid")
         .withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(rid), blocks) as int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "component", "bands", *SKETCH, "text")
     )
-    near = fitted(near.union(_matched_blocks(open_, idf, threshold)).distinct(), "near")
-    classes = exact.select("h1", "h2", "key", "rep", "rows")
-    classes = classes.join(components(near).select(F.col("id").alias("key"), "component"), "key", "left")
-    classes = classes.withColumn("component", F.coalesce("component", "key"))
+    added = fitted(_matched_blocks(open_, idf, threshold), "near")
+    if not added.isEmpty():
+        # what the first round found is a star per component: it takes the place of its links
+        stars = components(added.union(state.where("rid <> component").select(F.col("component").alias("a"), F.col("rid").alias("b"))))
+    idf.destroy()
+    classes = exact.select("h1", "h2", "key", "rep", "rows").join(stars.select(F.col("id").alias("key"), "component"), "key", "left")
+    return signed.select("rid", "h1", "h2"), classes.select("h1", "h2", "rep", "rows", F.coalesce("component", "key").alias("component"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    usable = F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    return docs.where(usable).select(F.col("doc_id").alias("rid"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size (rows in the class).
+
+    Equal texts are one class whatever they hold, and so are the texts of one doc_id; null texts and null ids stay alone (a null id is its own class of null).
+    Texts without words have no shingles and are linked by equality only. Repeated rows fall into one class. Ids may be numbers or text.
+    """
+    signed, classes = text_classes(_keyed(docs), threshold)
+    classes = fitted(classes, "classes")
     size = classes.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("rows").alias("class_size"))
     classes = classes.join(size, "component").select("h1", "h2", "class_id", "class_size")
-    id_type = docs.schema["doc_id"].dataType
-    found = signed.select("rid", "h1", "h2").join(classes, ["h1", "h2"])
-    alone = docs.where(~usable).select("doc_id", F.col("doc_id").cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return found.select(F.col("rid").cast(id_type).alias("doc_id"), "class_id", "class_size").unionByName(alone)
+    found = signed.join(classes, ["h1", "h2"]).select(F.col("rid").alias("doc_id"), "class_id", "class_size")
+    alone = docs.where(F.col("text").isNull() | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return found.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest id; a repeated id stays once.
+    """``docs`` with one row of each class of texts: the smallest id of the class, and of equal rows one.
 
-    Rows with a null id or null text all stay.
+    Different texts under one id are classes of their own here, so that no text is lost. Rows with a null id or null text all stay.
     """
-    first = near_duplicates(docs, threshold).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    _, classes = text_classes(_keyed(docs), threshold, same_id=False)
+    first = fitted(classes.groupBy("component").agg(F.min(F.struct("rep", "h1", "h2")).alias("f")).select("f.rep", F.col("f.h1").alias("_h1"), F.col("f.h2").alias("_h2")), "first")
     alone = F.col("doc_id").isNull() | F.col("text").isNull()
-    return docs.where(~alone).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(alone))
+    keyed = docs.where(~alone).withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit(1), "text"))
+    kept = keyed.join(first.withColumnRenamed("rep", "doc_id"), ["doc_id", "_h1", "_h2"], "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"])
+    return kept.select(*docs.columns).unionByName(docs.where(alone))

@@ -108,4 +108,19 @@ def test_one_id_with_several_texts(spark):
     assert {(r.doc_id, r.class_id, r.class_size) for r in got} == (
         {(i, 40, 5) for i in (40, 41, 42, 43)} | {(i, 50, 4) for i in (50, 51, 52)} | {(i, 60, 2) for i in (60, 61)}
     )
-    assert sorted(r.doc_id for r in minhash.keep_one(docs).collect()) == [40, 50, 60]
+    # one row per class of texts: an id stays once for each of its texts that no smaller id holds
+    kept = sorted((r.doc_id, r.text) for r in minhash.keep_one(docs).collect())
+    assert kept == sorted([(40, texts[0]), (40, texts[1]), (50, texts[2]), (51, texts[3]), (60, near[4])])
+
+
+def test_text_ids_and_unrelated_texts_of_one_id(spark):
+    import random
+
+    rnd = random.Random(12)
+    one, two = prose(rnd, 80), prose(rnd, 80)
+    schema = SCHEMA.replace("doc_id bigint", "doc_id string")
+    rows = [("b", one), ("a", one), ("c", two), ("c", two), ("d", None), (None, two), ("e", prose(rnd, 60)), ("e", prose(rnd, 60))]
+    docs = spark.createDataFrame([row(*r) for r in rows], schema)
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(docs).collect() if r.doc_id)
+    assert got == [("a", "a", 2), ("b", "a", 2), ("c", "c", 2), ("c", "c", 2), ("d", "d", 1), ("e", "e", 2), ("e", "e", 2)]
+    assert sorted(str(r.doc_id) for r in minhash.keep_one(docs).collect()) == ["None", "a", "c", "d", "e", "e"]
