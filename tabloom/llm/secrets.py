@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import fitted
+from tabloom.llm.common import fitted, packed
 from tabloom.llm.spans import found, listed, normal_tail, tagged
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -172,7 +172,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Columns keep their names and order; ``n_chars``, if there, follows the new text. Null texts stay null.
     """
-    scanned = scan(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    # stored once, so that the battery does not run again for the spans
+    scanned = packed(scan(docs.select(F.struct(*docs.columns).alias("_row"), "text")).drop("text"), "secrets").withColumn("text", F.col("_row.text"))
     spans = scanned.withColumn("_spans", all_spans(discovery_steps(scanned.select("_tested"))))
     cut = (
         "aggregate(_spans, struct(0 as at, '' as done), (acc, s) -> case when s.start < acc.at then struct(greatest(acc.at, s.stop) as at, acc.done as done) "
