@@ -1,7 +1,9 @@
 """Secret scan: fixed forms, and a battery of randomness tests on every long token.
 
 Base forms are assignments, access keys and long hexadecimal strings. Every other run of at least ``LEAST`` key characters
-with a letter and a digit is a candidate. Its encoding is inferred from the characters it uses; over that alphabet of A codes
+with a letter and a digit is a candidate. A run with slashes is also cut at them, for a token may stand in a path or an address, and
+pieces that still mix two alphabets are cut at their other marks; every piece of ``LEAST`` characters is a candidate of its own, and one
+inside a longer discovered candidate is not listed again. The encoding is inferred from the characters used; over that alphabet of A codes
 it goes through a chi-squared test of uniform use, a runs test above and below the middle code and a lag-one serial
 correlation test. Together (Fisher) they must not reject "uniformly random" at ``REJECT``.
 
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import fitted, packed
-from tabloom.llm.spans import found, listed, normal_tail, tagged
+from tabloom.llm.spans import SPAN, found, listed, normal_tail, tagged
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -46,6 +48,7 @@ ENCODINGS = [
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "^[A-Za-z0-9_-]+$", 0.065),
 ]
 BANDS = (32, 64)
+ENCODED = "(c.value rlike '^[A-Za-z0-9+/]+$' or c.value rlike '^[A-Za-z0-9_-]+$')"
 
 
 def _change_rate(alphabet: str) -> float:
@@ -63,6 +66,22 @@ def _per_encoding(code: str, field) -> str:
     return f"case {code} " + " ".join(f"when {i} then {field(e)}" for i, e in enumerate(ENCODINGS)) + " end"
 
 
+def _pieces(spans: str, mark: str) -> str:
+    """The parts of ``spans`` between marks (one character each) that are long enough."""
+    grown = (
+        f"aggregate(split(c.value, '{mark}'), struct(c.start as at, cast(array() as {SPAN}) as out), (acc, v) -> struct(acc.at + length(v) + 1 as at, "
+        f"case when length(v) >= {LEAST} then array_append(acc.out, struct(acc.at as start, acc.at + length(v) as stop, v as value)) else acc.out end as out), acc -> acc.out)"
+    )
+    return f"flatten(transform({spans}, c -> {grown}))"
+
+
+def _candidates(runs: str) -> str:
+    """Runs with an encoding, the parts between slashes of those that have some, and where these fit no encoding, theirs in turn."""
+    parts = _pieces(f"filter({runs}, c -> contains(c.value, '/'))", "/")
+    rest = f"filter(concat(filter({runs}, c -> not contains(c.value, '/')), {parts}), c -> not {ENCODED})"
+    return f"concat(filter({runs}, c -> {ENCODED}), filter({parts}, c -> {ENCODED}), {_pieces(rest, '[+_-]')})"
+
+
 def _battery(candidates: str) -> str:
     """Array of tested candidates: start, stop, stratum, step (grid step of the structured p-value), random."""
     alphabet = _per_encoding("c.enc", lambda e: f"'{e[1]}'")
@@ -122,6 +141,8 @@ def scan(docs: DataFrame) -> DataFrame:
     base = f"array_sort(concat({tagged('_assign', 'assign', 0)}, {tagged('_access', 'access', 1)}, {tagged('_hex', 'hex', 2)}))"
     text = text.withColumn("_base", F.expr(base)).withColumn("_c", found("_t", CANDIDATE))
     free = "filter(_c, s -> s.value rlike '[0-9]' and s.value rlike '[A-Za-z]' and not exists(_base, b -> b.start < s.stop and s.start < b.stop))"
+    odd = "exists(_c, c -> contains(c.value, '/') or contains(c.value, '+'))"
+    text = text.withColumn("_c", F.expr(f"case when size(_c) > 0 and {odd} then {_candidates('_c')} else _c end"))
     text = text.withColumn("_c", F.expr(f"case when size(_c) > 0 then {free} else _c end"))
     tested = _battery("_c")
     empty = "cast(array() as array<struct<start:int,stop:int,stratum:int,step:int,random:boolean>>)"
@@ -143,7 +164,9 @@ def discovery_steps(scanned: DataFrame) -> dict[int, int]:
 
 def _secret(steps: dict[int, int]) -> str:
     rule = reduce(lambda out, s: f"{out} or (c.stratum = {s} and c.step >= {steps[s]})", sorted(steps), "false")
-    return f"filter(_tested, c -> c.random and ({rule}))"
+    found_ = f"filter(_tested, c -> c.random and ({rule}))"
+    inside = "exists(p, o -> o.start <= c.start and c.stop <= o.stop and o.stop - o.start > c.stop - c.start)"
+    return f"transform(array({found_}), p -> filter(p, c -> not {inside}))[0]"
 
 
 def all_spans(steps: dict[int, int]) -> Column:

@@ -62,3 +62,108 @@ def test_repeated_secrets_share_the_discovery_rate(spark):
 def test_empty_table(spark):
     assert secrets.find(spark.createDataFrame([], SCHEMA)).collect() == []
     assert secrets.redact(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_tokens_in_paths_and_addresses(spark):
+    texts = [f"open /svc-team_a/v1/{KEY} now", f"/srv/data-x_y/{KEY}", f"https://example.com/services/{KEY}?x=1", f"a+b-c/{KEY[:40]}", f"x+{KEY[:24]}-{KEY[24:]}"]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find(table(spark, [row(i, t) for i, t in enumerate(texts)] * 3))).collect()}
+    for i, text in enumerate(texts[:4]):
+        key = KEY if i < 3 else KEY[:40]
+        at = text.index(key)
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s]
+        assert any(a <= at and at + len(key) <= b for a, b in spans), (text, got[i])
+    assert got[4].count("random") == 2
+
+
+ALPHABETS = [(a, p, k) for _, a, p, k in secrets.ENCODINGS]
+
+
+def tail(z):
+    from statistics import NormalDist
+
+    return max(1e-7, 1 - NormalDist().cdf(z))
+
+
+def brute_test(value):
+    """(stratum, p-value of structure, whether random stands) of a candidate, from the module's text."""
+    import math
+
+    enc = next((i for i, (_, pattern, _) in enumerate(ALPHABETS) if re.search(pattern, value)), None)
+    if enc is None:
+        return None
+    alphabet, _, kappa = ALPHABETS[enc]
+    x, n, k = [alphabet.index(c) for c in value], len(value), len(alphabet)
+    chi = sum((x.count(c) - n / k) ** 2 / (n / k) for c in range(k))
+    high = [v >= k / 2 for v in x]
+    runs, h = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    expected = 2 * h * (n - h) / n + 1
+    z_runs = (runs - expected) / math.sqrt(max(1e-9, (expected - 1) * (expected - 2) / (n - 1)))
+    mean = sum(x) / n
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / max(1e-9, sum((v - mean) ** 2 for v in x))
+    z_serial = (serial + 1 / n) * math.sqrt(n)
+    df = k - 1
+    z_chi = ((max(chi, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    against = -math.log(tail(z_chi)) - math.log(2 * tail(abs(z_runs))) - math.log(2 * tail(abs(z_serial)))
+    kinds = [0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in value]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    sizes = [sum(map(t, alphabet)) for t in (str.isupper, str.islower, str.isdigit)]
+    rate = round(secrets.RUNS * (1 - sum(s * s for s in [*sizes, k - sum(sizes)]) / k**2), 6)
+    s_mean = k * (1 + (n - 1) * kappa) - n
+    s_var = k * k / (n * n) * (4 * n**3 * 0.6 * kappa**2 + 2 * n * n * kappa)
+    structure = -math.log(tail((s_mean - chi) / math.sqrt(s_var))) - math.log(tail((changes - rate * (n - 1)) / math.sqrt(rate * (1 - rate) * (n - 1))))
+    p_random = math.exp(-against) * (1 + against + against**2 / 2)
+    return enc * 3 + (0 if n < 32 else 1 if n < 64 else 2), math.exp(-structure) * (1 + structure), p_random
+
+
+def brute_candidates(text):
+    runs = [(m.start(), m.group()) for m in re.finditer(secrets.CANDIDATE, text)]
+
+    def cut(spans, marks):
+        out = []
+        for at, value in spans:
+            for part in re.split(marks, value):
+                if len(part) >= secrets.LEAST:
+                    out.append((at, part))
+                at += len(part) + 1
+        return out
+
+    fits = lambda v: re.search("^[A-Za-z0-9+/]+$", v) or re.search("^[A-Za-z0-9_-]+$", v)
+    parts = cut([r for r in runs if "/" in r[1]], "/")
+    rest = [r for r in [*(r for r in runs if "/" not in r[1]), *parts] if not fits(r[1])]
+    found = [*(r for r in runs if fits(r[1])), *(r for r in parts if fits(r[1])), *cut(rest, "[+_-]")]
+    taken = [(a, b) for a, _, b, _ in base(text)]
+    found = [(a, v) for a, v in found if re.search("[0-9]", v) and re.search("[A-Za-z]", v)]
+    return [(a, v) for a, v in found if not any(s < a + len(v) and a < e for s, e in taken)]
+
+
+def test_battery_and_step_up_rule_equal_brute_force(spark):
+    import math
+
+    rnd = random.Random(21)
+    texts = []
+    for i in range(120):
+        alphabet = ALPHABETS[i % 7][0]
+        token = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(20, 80)))
+        name = "_".join(rnd.choice(["config2", "value", "handler", "index7", "Table"]) for _ in range(rnd.randint(4, 9)))
+        texts.append(f"see {name} and {token} or /a/b-c_d/{token[::-1]}/{'x1' * 12}")
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find(table(spark, [row(i, t) for i, t in enumerate(texts)]))).collect()}
+    tested = [(i, a, v, brute_test(v)) for i, t in enumerate(texts) for a, v in brute_candidates(t)]
+    tested = [(i, a, v, *r) for i, a, v, r in tested if r]
+    by_stratum = {}
+    for *_, stratum, p, _ in tested:
+        by_stratum.setdefault(stratum, []).append(math.floor(-secrets.GRID * math.log10(min(1.0, p))))
+    least = {}
+    for stratum, steps in by_stratum.items():
+        good = [s for s in set(steps) if 10 ** (-s / secrets.GRID) <= secrets.RATE * sum(x >= s for x in steps) / len(steps)]
+        if good:
+            least[stratum] = min(good)
+    close, found = 0, 0
+    for i, text in enumerate(texts):
+        mine = [(a, v, st, math.floor(-secrets.GRID * math.log10(min(1.0, p))), r) for d, a, v, st, p, r in tested if d == i]
+        chosen = [(a, a + len(v)) for a, v, st, step, r in mine if r >= secrets.REJECT and st in least and step >= least[st]]
+        chosen = [c for c in chosen if not any(o[0] <= c[0] and c[1] <= o[1] and o != c for o in chosen)]
+        want = {f"random:{a}:{b}" for a, b in chosen}
+        have = {s for s in got[i].split(",") if s.startswith("random")}
+        close += want != have  # the rational approximation of the normal tail may move a value across a grid step
+        found += len(want)
+    assert close <= 2 and found > 100
