@@ -4,8 +4,9 @@ The fixed forms (mail and network addresses, card and phone numbers) are seeds.
 patterns: the two words before, and the word before with the word after (lower case, digits as 0). Patterns and the strings
 they surround form a graph. Round by round a pattern's confidence for a kind is the mean confidence of its distinct strings
 (smoothed by ``SMOOTH`` unknown ones), and a string's confidence is the chance that not all of its patterns are wrong, seeds
-being certain. Patterns need ``SUPPORT`` distinct seeds. After ``ROUNDS`` rounds, identifier-like words standing in a pattern
-of confidence ``SURE`` whose own confidence reaches it are discovered.
+being certain. Patterns need ``SUPPORT`` distinct seeds. After ``ROUNDS`` rounds, identifier-like strings standing in a pattern
+of confidence ``SURE`` whose own confidence reaches it are discovered: words, and digit groups joined by single blanks, dots,
+brackets or hyphens. Of discovered strings that lie in one another only the longest is listed.
 
 DataFrame and SQL functions only.
 """
@@ -23,7 +24,7 @@ ROUNDS = 3
 SUPPORT = 3
 SURE = 0.8
 SMOOTH = 0.5
-CONTEXT = 64  # code points looked at on either side for neighbouring words
+CONTEXT = (64, 1024)  # code points looked at first on either side for neighbouring words; then the whole side
 
 LOCAL = "A-Za-z0-9._%+-"
 LABEL = "A-Za-z0-9-"
@@ -36,6 +37,8 @@ CARD = rf"[0-9][0-9{JOINT}]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: words with an at sign or a digit
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@0-9]*[@0-9][^\x20\x09-\x0D]*"
+#: digit groups with what may join them; one plain run, so that its length does not matter
+GROUPS = r"(?<![A-Za-z0-9])(?:[A-Z]{2})?[0-9(][\x20().0-9-]*[0-9]"
 
 SPAN_OUT = "array<struct<start:int,place:int,stop:int,kind:string>>"
 
@@ -88,13 +91,31 @@ def scan(docs: DataFrame) -> DataFrame:
         "and not exists(_base, b -> b.start < s.stop and s.start < b.stop))"
     )
     text = text.withColumn("_near", F.expr(f"case when size(_w) > 0 then {like} else _w end"))
+    text = text.withColumn("_g", found("_t", GROUPS, "_digit and _t rlike '[0-9][\\\\x20().-]{1,2}[0-9]'"))
+    grouped = (
+        f"filter(_g, s -> s.value rlike '[0-9][\\\\x20().-]+[0-9]' and not contains(s.value, '  ') and s.stop - s.start >= 6 and length({_digits('s.value')}) >= 4 "
+        "and not exists(_base, b -> b.start < s.stop and s.start < b.stop) and not exists(_near, b -> b.start = s.start and b.stop = s.stop))"
+    )
+    text = text.withColumn("_near", F.expr(f"case when size(_g) > 0 then concat(_near, {grouped}) else _near end"))
     places = "concat(transform(_base, s -> struct(s.start as start, s.stop as stop, s.kind as seed)), transform(_near, s -> struct(s.start as start, s.stop as stop, cast(null as string) as seed)))"
     blank = "[\\\\x20\\\\x09-\\\\x0D]+"
+    # the words of each side, from a window that is widened only where it does not hold them whole
+    def before(size: str) -> str:
+        return f"filter(split(regexp_replace(lower(substring(_t, greatest(s.start - {size}, 0) + 1, least(s.start, {size}))), '[0-9]', '0'), '{blank}'), x -> x <> '')"
+
+    def after(size: str) -> str:
+        return f"filter(split(regexp_replace(lower(substring(_t, s.stop + 1, {size})), '[0-9]', '0'), '{blank}'), x -> x <> '')"
+
     near_words = (
         f"transform({places}, s -> struct(s.start as start, s.stop as stop, s.seed as seed, substring(_t, s.start + 1, s.stop - s.start) as value, "
-        f"filter(split(regexp_replace(lower(substring(_t, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT}))), '[0-9]', '0'), '{blank}'), x -> x <> '') as before, "
-        f"filter(split(regexp_replace(lower(substring(_t, s.stop + 1, {CONTEXT})), '[0-9]', '0'), '{blank}'), x -> x <> '') as after))"
+        f"{before(str(CONTEXT[0]))} as before, {after(str(CONTEXT[0]))} as after))"
     )
+    for held, size in zip(CONTEXT, (*map(str, CONTEXT[1:]), "length(_t)")):
+        near_words = (
+            f"transform({near_words}, s -> struct(s.start as start, s.stop as stop, s.seed as seed, s.value as value, "
+            f"case when size(s.before) > 2 or s.start <= {held} then s.before else {before(size)} end as before, "
+            f"case when size(s.after) > 1 or length(_t) - s.stop <= {held} then s.after else {after(size)} end as after))"
+        )
     patterns = (
         f"transform({near_words}, s -> struct(s.start as start, s.stop as stop, s.seed as seed, s.value as value, array_compact(array("
         "case when size(s.before) > 1 then concat('L ', s.before[size(s.before) - 2], ' ', s.before[size(s.before) - 1]) end, "
@@ -102,7 +123,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     none = "cast(array() as array<struct<start:int,stop:int,seed:string,value:string,patterns:array<string>>>)"
     text = text.withColumn("_seen", F.expr(f"case when size(_base) + size(_near) > 0 then {patterns} else {none} end"))
-    return text.drop("_t", "_digit", "_mail_text", "_card_text", "_w", "_near", *(f"_{k}" for k in KINDS))
+    return text.drop("_t", "_digit", "_mail_text", "_card_text", "_w", "_g", "_near", *(f"_{k}" for k in KINDS))
 
 
 def pattern_confidence(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -149,6 +170,7 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         flat.where("seed is null").join(good, "pattern").join(known, ["value", "kind"])
         .groupBy("doc_id", "_h", "start", "stop").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
         .groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("place"), "stop", F.concat(F.lit("found_"), "kind").alias("kind")))).alias("_more"))
+        .withColumn("_more", F.expr("filter(_more, s -> not exists(_more, o -> o.start <= s.start and s.stop <= o.stop and o.stop - o.start > s.stop - s.start))"))
         .withColumnsRenamed({"doc_id": "_d", "_h": "_dh"})
     )
     out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_dh")), "left")

@@ -61,3 +61,57 @@ def test_too_few_seeds_are_no_pattern(spark):
 
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_neighbours_at_any_distance_and_grouped_identifiers(spark):
+    rows = [row(i, f"hello card number {s} thanks and bye") for i, s in enumerate(SEEDS * 2)]
+    texts = [
+        "hello card number" + " " * 80 + "123456789012 thanks and bye", "hello card number 1234 5678 9012 thanks and bye", "hello card number (030) 555 7713 thanks",
+        "hello card number" + "\n" * 3000 + "123456789013" + " " * 2000 + "thanks", "w" * 200 + " card number 123456789014 thanks",
+    ]
+    rows += [row(100 + i, t) for i, t in enumerate(texts)] + [row(200, "1 2 " * 20_000)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(table(spark, rows))).collect()}
+    for i, found in enumerate(("123456789012", "1234 5678 9012", "(030) 555 7713", "123456789013", "123456789014")):
+        at = texts[i].index(found)
+        assert got[100 + i] == f"found_card:{at}:{at + len(found)}", (i, got[100 + i])
+    assert got[200] == ""
+
+
+def brute_rounds(seen):
+    """The graph rounds on (value, seed, pattern) rows."""
+    import math
+    from collections import defaultdict
+
+    links = set(seen)
+    values, seeds = defaultdict(set), defaultdict(set)
+    for value, seed, pattern in links:
+        values[pattern].add(value)
+        if seed:
+            seeds[pattern, seed].add(value)
+    graph = {(p, k): values[p] for (p, k), s in seeds.items() if len(s) >= pii.SUPPORT}
+    sure = {(v, s) for v, s, _ in links if s}
+    strings = dict.fromkeys(sure, 1.0)
+    patterns = {}
+    for _ in range(pii.ROUNDS):
+        patterns = {(p, k): round(sum(strings.get((v, k), 0) for v in vs) / (len(vs) + pii.SMOOTH), 9) for (p, k), vs in graph.items()}
+        logs = defaultdict(float)
+        for (p, k), vs in graph.items():
+            for v in vs:
+                logs[v, k] += math.log(max(1e-9, 1 - patterns[p, k]))
+        strings = {key: 1.0 if key in sure else round(1 - math.exp(total), 9) for key, total in logs.items()}
+    return patterns, strings
+
+
+def test_graph_rounds_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    seen = []
+    for i in range(400):
+        pattern = f"p{rnd.randrange(12)}"
+        value = rnd.randrange(60)
+        seen.append((f"v{value}", ("card", "ip", None, None)[value % 4] if rnd.random() < 0.7 else None, pattern))
+    patterns, strings = pii.pattern_confidence(spark.createDataFrame(seen, "value string, seed string, pattern string"))
+    want_patterns, want_strings = brute_rounds(seen)
+    assert {(r.pattern, r.kind): round(r.conf, 6) for r in patterns.collect()} == {k: round(v, 6) for k, v in want_patterns.items()}
+    assert {(r["value"], r.kind): round(r.conf, 6) for r in strings.collect()} == {k: round(v, 6) for k, v in want_strings.items()}
