@@ -55,3 +55,27 @@ def test_awkward_rows(spark):
     got = transcripts.parse(frame).collect()
     assert sorted({(r.conv_id, r.turn) for r in got}, key=repr) == sorted({(r[0], r[1]) for r in rows}, key=repr)
     assert transcripts.parse(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_roles_have_no_part_in_the_order(spark):
+    rows = [(1, 3, "user", "hello there?"), (1, 3, "assistant", "fine, thanks"), (1, None, "user", "zz"), (1, None, "assistant", "aa")] * 2
+    swapped = [(c, t, {"user": "assistant", "assistant": "user"}[r], x) for c, t, r, x in rows]
+    model = transcripts.fit(transcripts.ordered(spark.createDataFrame(rows, SCHEMA)))
+    a, b = (sorted(map(tuple, transcripts.parse(spark.createDataFrame(r, SCHEMA), model).collect()), key=repr) for r in (rows, swapped))
+    assert a == b and len(a) == 4
+
+
+@pytest.mark.parametrize("conv_type", ["decimal(20,0)", "date", "string"])
+def test_rows_without_turns_are_cut_into_blocks(spark, monkeypatch, conv_type):
+    monkeypatch.setattr(transcripts, "BLOCK", 50)
+    one = f"cast({'date(now())' if conv_type == 'date' else 7} as {conv_type})"
+    rows = spark.range(1000).selectExpr(f"{one} as conv_id", "cast(null as bigint) as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('line ', id) as text")
+    blocks = transcripts.ordered(rows)
+    assert blocks.selectExpr("max(size(turn))").first()[0] <= 50 and blocks.count() >= 20
+    got = transcripts.parse(rows)
+    assert got.count() == 1000 and got.schema["conv_id"].dataType.simpleString() == conv_type
+
+
+def test_a_pile_of_equal_rows_is_one_row(spark):
+    rows = spark.range(30_000).selectExpr("1L as conv_id", "1L as turn", "'user' as role", "'hello?' as text")
+    assert len(transcripts.parse(rows).collect()) == 1
