@@ -83,8 +83,8 @@ def leaf_budgets(leaves: DataFrame, levels: list[Level], budget_share: tuple[int
 
 
 def _key(seed: int) -> Column:
-    """Place of a document in its leaf's open epoch."""
-    parts = (F.lit(str(seed)), F.col("whole_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"))
+    """Place of a document in its leaf's open epoch; a null id is marked, an empty one is not."""
+    parts = (F.lit(str(seed)), F.col("whole_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"), F.when(F.col("doc_id").isNull(), "null"))
     return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 
@@ -194,7 +194,7 @@ leaf as (
     case when available > 0 then budget % available else 0 end as prefix
   from leaves join b3 using (domain, lang, source)),
 placed as (
-  select *, md5('{SEED}:' || whole_epochs || ':' || coalesce(cast(doc_id as varchar), '') || ':' || n_tokens) as place
+  select *, md5('{SEED}:' || whole_epochs || ':' || coalesce(cast(doc_id as varchar), '') || ':' || n_tokens || case when doc_id is null then ':null' else '' end) as place
   from docs join leaf using (domain, lang, source)),
 reached as (
   select *, count(*) over (partition by domain, lang, source, place) as copies,

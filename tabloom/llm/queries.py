@@ -70,7 +70,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, likelihood-ratio score and verdict of every document."""
     judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    return judged.drop("text")
+    return judged.select(*[c for c in judged.columns if c not in ("text", "score")], "score")
 
 
 @query
@@ -83,7 +83,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which benchmark windows occur."""
     found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.withColumn("items_sha256", hex_sha(F.array_join("items", ","))).drop("items")
+    digest = hex_sha(F.array_join("items", ",")).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "longest_match")
 
 
 @query

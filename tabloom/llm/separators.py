@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tabloom.llm.common import fitted
 
@@ -31,8 +32,9 @@ def token_files(docs: DataFrame, vocabulary: str = TOKENIZER, end: int = END_OF_
     """``docs`` tokenised into flat files of 16-bit ids, one per partition: file, block, data, doc_ids.
 
     ``doc_ids`` lists the documents that end in the block; the scan does not look at it. Null and empty texts are a lone
-    separator. The vocabulary file is read by the driver and sent along.
+    separator. Ids may be of any type. The vocabulary file is read by the driver and sent along.
     """
+    id_type, id_arrow = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -49,7 +51,7 @@ def token_files(docs: DataFrame, vocabulary: str = TOKENIZER, end: int = END_OF_
                     "file": pa.array([file], pa.int64()),
                     "block": pa.array([block], pa.int64()),
                     "data": pa.array([stream.tobytes()], pa.binary()),
-                    "doc_ids": pa.array([names], pa.list_(pa.int64())),
+                    "doc_ids": pa.array([names], pa.list_(id_arrow)),
                 }
             )
 
@@ -74,7 +76,7 @@ def token_files(docs: DataFrame, vocabulary: str = TOKENIZER, end: int = END_OF_
         if size:
             yield emit(np.concatenate(held), ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file bigint, block bigint, data binary, doc_ids array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"file bigint, block bigint, data binary, doc_ids array<{id_type}>")
 
 
 def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = "uint16") -> DataFrame:

@@ -71,3 +71,11 @@ def test_epochs_repeat_a_small_source(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA), levels()).collect() == []
+
+
+def test_null_and_empty_text_ids_have_places_of_their_own(spark):
+    schema = SCHEMA.replace("doc_id bigint", "doc_id string")
+    rows = [row(None, "one two three"), row("", "one two three")]
+    got = mixing.mix_documents(spark.createDataFrame(rows, schema)).collect()
+    # a budget of three fifths of six tokens: three, not three for each
+    assert sum(3 * r.whole_epochs + r.tail_tokens for r in got) == 3

@@ -68,3 +68,10 @@ def test_empty_and_null_blocks(spark):
     got = separators.scan(spark.createDataFrame([(1, 0, None), (1, 1, b"")], "file int, block bigint, data binary")).collect()
     assert got == []
     assert separators.count_document_tokens(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_text_ids(spark):
+    schema = "doc_id string, text string"
+    rows = [("a", "one two"), ("a", "one two"), (None, ""), ("", None)]
+    got = separators.count_document_tokens(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens > 0) for r in got) == [("", False), ("None", False), ("a", True), ("a", True)]
