@@ -31,31 +31,51 @@ def shipped(stage: Stage) -> Stage:
 
 @shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the likelihood ratio."""
+    """Documents that pass the base rule and the likelihood ratio.
+
+    A null or empty text fails the base rule and goes; repeated rows are judged alike; a document whose score equals the threshold
+    stays. Extra columns are carried along. Without labels only the base rule counts; no documents give none.
+    """
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 @shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, the one with the smallest id.
+
+    Rows with a null id or text all stay, since nothing can be said of them; of equal rows one stays; different texts under one id are
+    judged apart. Texts without words are linked by equality only. Extra columns are carried along.
+    """
     return minhash.keep_one(docs)
 
 
 @shipped
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window.
+
+    Null and empty texts stay; an item of fewer words than a window is one window, an item without words is none. Repeated rows are
+    judged alike. Extra columns are carried along.
+    """
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 @shipped
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked."""
+    """All documents, secrets in their texts masked and ``n_chars`` recounted where a text changed.
+
+    Null texts stay null; repeated rows are masked alike; where secrets overlap, one mask stands for them. Extra columns are carried along.
+    """
     return secrets.redact(docs)
 
 
 @shipped
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the target mix, with their whole passes and, for the open epoch, the tokens of their prefix."""
+    """The documents of the target mix, with their whole passes and, for the open epoch, the tokens of their prefix.
+
+    Adds ``domain``, ``n_tokens``, ``whole_epochs`` and ``tail_tokens``, which replace columns of these names; in ``lang`` and ``source``
+    null becomes empty text, a node of its own. Texts without tokens, null ones included, take no part. Documents that tie in the order
+    of an epoch (equal id and length) share their place and the tokens cut from it.
+    """
     return mixing.mix_documents(docs).where("whole_epochs > 0 or tail_tokens > 0")
 
 
