@@ -1,8 +1,8 @@
 """Neighbour votes by block joins on the executors.
 
 Queries and references are dealt into blocks of about ``block_rows`` rows; every pair of a query block and a reference block
-is one group, compared by one matrix product, and the partial results are merged per query. No block, on either side, ever
-passes through the driver, and a task holds two blocks whatever the tables' sizes.
+is one group, compared by matrix products of ``TILE_ROWS`` queries at a time, and the partial results are merged per query. No block,
+on either side, ever passes through the driver; a task holds two blocks and one tile (80 MB) whatever the tables' sizes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.hashing import hash_number
 
 BLOCK_ROWS = 20_000
+TILE_ROWS = 500
 
 
 def scale_vectors(frame: DataFrame, reference: DataFrame, vector: str) -> DataFrame:
@@ -33,7 +34,7 @@ def scale_vectors(frame: DataFrame, reference: DataFrame, vector: str) -> DataFr
 
 
 def _block_pairs(queries: DataFrame, reference: DataFrame, key: str, vector: str, label: str, block_rows: int, schema: str, work: Callable) -> DataFrame:
-    """``work(query ids, squared distances, reference ids, labels)`` for every pair of blocks."""
+    """``work(query ids, squared distances, reference ids, labels)`` for the tiles of every pair of blocks; references ascend by id."""
     nq, nr = (max(1, -(-frame.count() // block_rows)) for frame in (queries, reference))
 
     def dealt(frame: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
@@ -50,9 +51,19 @@ def _block_pairs(queries: DataFrame, reference: DataFrame, key: str, vector: str
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return work(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(1, np.int64), np.zeros(1))
-        x, z = matrix(a), matrix(b)
-        d2 = np.maximum((x * x).sum(axis=1)[:, None] + (z * z).sum(axis=1)[None, :] - 2.0 * (x @ z.T), 0.0)
-        return work(np.asarray(a.column("k")), d2, np.asarray(b.column("k")), np.asarray(b.column("y")))
+        order = np.argsort(np.asarray(b.column("k")), kind="stable")
+        x, z = matrix(a), matrix(b)[order]
+        keys, ids, labels, norm = np.asarray(a.column("k")), np.asarray(b.column("k"))[order], np.asarray(b.column("y"))[order], (z * z).sum(axis=1)
+        parts = []
+        for at in range(0, len(x), TILE_ROWS):
+            tile = x[at : at + TILE_ROWS]
+            d2 = tile @ z.T
+            d2 *= -2.0
+            d2 += (tile * tile).sum(axis=1)[:, None]
+            d2 += norm
+            np.maximum(d2, 0.0, out=d2)
+            parts.append(work(keys[at : at + TILE_ROWS], d2, ids, labels))
+        return pa.concat_tables(parts)
 
     return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(run, schema)
 
@@ -64,11 +75,17 @@ def knn_vote(queries: DataFrame, reference: DataFrame, key: str, vector: str, la
     """
 
     def nearest(q: np.ndarray, d2: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> pa.Table:
-        by_id = np.argsort(ids, kind="stable")
-        d2, ids, labels = d2[:, by_id], ids[by_id], labels[by_id]
-        order = np.argsort(d2, axis=1, kind="stable")[:, : min(k, d2.shape[1])]
-        near = np.take_along_axis(d2, order, axis=1)
-        return pa.table({"q": np.repeat(q, order.shape[1]), "d2": near.ravel(), "r": ids[order].ravel(), "y": labels[order].ravel()})
+        n = min(k, d2.shape[1])
+        if not len(q):
+            return pa.table({"q": q, "d2": np.zeros(0), "r": ids[:0], "y": labels[:0]})
+        # what is not beyond the n-th distance, in order of distance and id; ties may be more than n
+        row, col = np.nonzero(d2 <= np.partition(d2, n - 1, axis=1)[:, n - 1 : n])
+        near = d2[row, col]
+        order = np.lexsort((col, near, row))
+        row, col, near = row[order], col[order], near[order]
+        first = np.searchsorted(row, np.arange(len(q)))
+        keep = np.arange(len(row)) - first[row] < n
+        return pa.table({"q": q[row[keep]], "d2": near[keep], "r": ids[col[keep]], "y": labels[col[keep]]})
 
     parts = _block_pairs(queries, reference, key, vector, label, block_rows, "q bigint, d2 double, r bigint, y double", nearest)
     best = parts.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy("d2", "r"))).where(F.col("n") <= k)
@@ -85,7 +102,9 @@ def soft_vote(queries: DataFrame, reference: DataFrame, key: str, vector: str, l
 
     def partial(q: np.ndarray, d2: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> pa.Table:
         low = d2.min(axis=1)
-        w = np.exp(-(d2 - low[:, None]) / tau)
+        w = d2 - low[:, None]
+        w /= -tau
+        np.exp(w, out=w)
         return pa.table({"q": q, "low": low, "w": w.sum(axis=1), "wy": w @ labels})
 
     parts = _block_pairs(queries, reference, key, vector, label, block_rows, "q bigint, low double, w double, wy double", partial)
