@@ -7,9 +7,10 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
-from multiprocessing.pool import ThreadPool
 
-from pyspark import SparkContext, inheritable_thread_target
+import numpy as np
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import hash_number
 from tabloom.functions.scalars import logit, sigmoid
-from tabloom.operators.boosting import Boosted, HistogramBooster, Settings, fit_bins, fit_boosted, score_boosted
+from tabloom.operators.boosting import Bins, Boosted, HistogramBooster, Settings, encode_batch, fit_bins, fit_boosted, score_boosted
 from tabloom.operators.encoders import FIT_ROWS, FoldTargetEncoder, encoded_name
 from tabloom.operators.folds import hash_order_position
+from tabloom.operators.forest import Targets, distributions, grow
 from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc, column_quantiles
 from tabloom.sources.sinks import fingerprint
@@ -438,7 +440,6 @@ def ordinal_scores(train: DataFrame, held: DataFrame, spec: MemberSpec, target:
 
 LONG = 100  # a numeric target with more values than this is predicted by bins
 BINS = 50
-PARALLEL = 4  # fits that share the executors
 
 
 def long_columns(frame: DataFrame, columns: list[str]) -> list[str]:
@@ -468,6 +469,74 @@ def _bin(column: str, cuts: list[float]) -> Column:
     return F.when(value.isNotNull(), F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda cut: cut <= value)).cast("string"))
 
 
+def _classes(fit: DataFrame, targets: list[str], numeric: list[str], long: list[str]) -> Targets:
+    """Long numeric targets by quantile bins and their means, other numeric ones by value, categories by level."""
+    binned = _bins(fit, long)
+    short = [t for t in targets if t not in long]
+    found = fit_bins(fit.select(*[F.col(t).cast("double" if t in numeric else "string").alias(t) for t in short]), [], short).categorical if short else {}
+    levels = {t: v for t, v in found.items() if t not in numeric}
+    values = {}
+    for t in targets:
+        if t in binned:
+            values[t] = [binned[t][1].get(str(b)) or 0.0 for b in range(len(binned[t][0]) + 1)]
+        else:
+            values[t] = sorted(map(float, found[t])) if t in numeric else [float(i) for i in range(len(found[t]))]
+    return Targets(Bins({t: binned[t][0] for t in binned}, levels), values)
+
+
+def expectation_columns(targets: list[str]) -> list[str]:
+    """The fixed order: own-value probabilities, expected values, the log sum; whether the likeliest value is the own one comes last."""
+    return [*(f"aux_p_{t}" for t in targets), *(f"aux_ev_{t}" for t in targets), "aux_sum_logp", *(f"aux_hit_{t}" for t in targets)]
+
+
+def _expectations(
+    fit: DataFrame, apply_to: DataFrame, targets: list[str], numeric: list[str], categorical: list[str], seed: int, keep: list[str], params: dict | None, eps: float,
+    long: list[str] | None, fold: str | None, held: list[int | None],
+) -> DataFrame:
+    settings = {"numTrees": 10, "maxDepth": 5, "maxBins": 32} | (params or {})
+    if long is None:
+        long = long_columns(fit, [t for t in targets if t in numeric])
+    classes = _classes(fit, targets, numeric, [t for t in targets if t in long])
+    typed = {c: F.col(c).cast("double") for c in numeric} | {c: F.col(c).cast("string") for c in categorical}
+    bins = fit_bins(fit.withColumns(typed), numeric, categorical, settings["maxBins"])
+    draw = [c for c in keep if c in fit.columns] or [*numeric, *categorical]
+    forests = grow(fit.withColumns(typed), bins, classes, draw, seed, settings["numTrees"], settings["maxDepth"], fold=fold, held=held)
+    names = list(dict.fromkeys([*numeric, *categorical, *targets]))
+    places = {t: classes.names.index(t) for t in targets}
+
+    def run(*columns: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays(list(columns[:-1]), names=names)
+        own_fold = columns[-1].to_numpy(zero_copy_only=False)
+        codes, own = encode_batch(batch, bins), classes.classes(batch)
+        out = np.full((batch.num_rows, len(targets), 3), np.nan)
+        for k, t in enumerate(targets):
+            values = np.array(classes.values[t])
+            if not len(values):
+                continue
+            for h, left_out in enumerate(held):
+                at = np.flatnonzero(own_fold == left_out) if left_out is not None else np.arange(batch.num_rows)
+                p = distributions(forests[t, h], codes[:, at], bins.width, len(values))
+                mine = own[places[t], at]
+                seen = np.where(mine >= 0, p[np.arange(len(at)), np.maximum(mine, 0)], 0.0)
+                out[at, k, 0] = np.where(mine == -2, np.nan, seen)
+                out[at, k, 1] = p @ values
+                out[at, k, 2] = np.where(mine == -2, np.nan, p.argmax(axis=1) == mine)
+        flat = pa.array(out.ravel(), from_pandas=True)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 3 * len(targets)), pa.int32()), flat)
+
+    inputs = [F.col(c).cast("double" if c in numeric else "string") for c in names]
+    scored = apply_to.select(*keep, F.arrow_udf(run, "array<double>")(*inputs, F.col(fold).cast("int") if fold else F.lit(-1)).alias("_x"))
+
+    def part(t: str, k: int) -> Column:
+        return F.col("_x")[3 * targets.index(t) + k]
+
+    log_sum = sum((F.coalesce(F.ln(F.greatest(part(t, 0), F.when(part(t, 0).isNotNull(), F.lit(eps)))), F.lit(0.0)) for t in targets), F.lit(0.0))
+    found = {"aux_sum_logp": log_sum}
+    for t in targets:
+        found |= {f"aux_p_{t}": part(t, 0), f"aux_ev_{t}": part(t, 1), f"aux_hit_{t}": part(t, 2).cast("int")}
+    return scored.select(*keep, *[found[c].alias(c) for c in expectation_columns(targets)])
+
+
 def expectation_models(
     fit: DataFrame, apply_to: DataFrame, targets: list[str], numeric: list[str], categorical: list[str], seed: int, keep: list[str], params: dict | None = None, eps: float = 1e-6,
     long: list[str] | None = None,
@@ -477,65 +546,15 @@ def expectation_models(
 
     A numeric target with more than ``LONG`` values (or named in ``long``) is predicted by bins cut at its quantiles: own value and
     hit refer to the bin, the expected value to the bin means. A missing value has no own probability and no hit, adds nothing
-    to the sum, and is not learned from.
+    to the sum, and is not learned from. The forests of all targets grow in the same passes.
     """
-    binned = _bins(fit, [t for t in targets if t in numeric and t in long] if long is not None else long_columns(fit, [t for t in targets if t in numeric]))
-    own = {f"_own_{t}": _bin(t, binned[t][0]) if t in binned else F.col(t).cast("string") for t in targets}
-    # medians, codes and levels are found once for all targets
-    stages: list = []
-    if numeric:
-        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=[f"_i_{c}" for c in numeric]))
-    if categorical:
-        stages.append(StringIndexer(inputCols=categorical, outputCols=[f"_c_{c}" for c in categorical], stringOrderType="alphabetAsc", handleInvalid="keep"))
-    stages.append(StringIndexer(inputCols=list(own), outputCols=[f"_y_{t}" for t in targets], stringOrderType="alphabetAsc", handleInvalid="keep"))
-    coded = numeric_input(fit.withColumns(own), numeric)
-    prepared = Pipeline(stages=stages).fit(coded)
-    labels = dict(zip(targets, prepared.stages[-1].labelsArray))
-    inputs = {**{c: f"_i_{c}" for c in numeric}, **{c: f"_c_{c}" for c in categorical}}
-    learn = fitted(prepared.transform(coded).select(*inputs.values(), *own, *[f"_y_{t}" for t in targets]), "coded")
-    settings = dict(params or {"numTrees": 10, "maxDepth": 5})
-    if categorical:
-        # a split on a category needs a bin for each of its levels and one for other values
-        settings.setdefault("maxBins", max(32, max(len(x) for x in prepared.stages[-2].labelsArray) + 1))
-
-    def train(t: str) -> PipelineModel:
-        parts = [VectorAssembler(inputCols=[v for c, v in inputs.items() if c != t], outputCol="features"), build_model("forest", settings, seed, f"_y_{t}")]
-        return _without_summary(Pipeline(stages=parts).fit(learn.where(F.col(f"_own_{t}").isNotNull())))
-
-    with ThreadPool(PARALLEL) as pool:
-        models = dict(zip(targets, pool.map(inheritable_thread_target(fit.sparkSession)(train), targets)))
-
-    # every model adds its columns to the rows it reads: no join, however many targets there are
-    codes = PipelineModel(stages=prepared.stages[:-1])
-    rows = codes.transform(numeric_input(apply_to.withColumns(own), numeric)).select(*[F.col(c).alias(f"_keep_{c}") for c in keep], *inputs.values(), *own)
-    for t in targets:
-        if t in binned:
-            values = [binned[t][1][v] for v in labels[t]]
-        else:
-            values = [float(v) if t in numeric else float(i) for i, v in enumerate(labels[t])]
-        scored = models[t].transform(rows).select(*rows.columns, vector_to_array("probability").alias("_p"), F.col("prediction").alias("_at"))
-        place = F.array_position(F.lit(labels[t]).cast("array<string>"), F.col(f"_own_{t}")).cast("int")
-        probability = F.when(place.isNotNull(), F.coalesce(F.get("_p", place - 1), F.lit(0.0)))
-        # the last class stands for other values and has none
-        ev = F.aggregate(F.zip_with("_p", F.lit([*values, 0.0]), lambda p, v: p * v), F.lit(0.0), lambda total, x: total + x)
-        rows = scored.select(*rows.columns, probability.alias(f"aux_p_{t}"), ev.alias(f"aux_ev_{t}"), (F.col("_at") == place - 1).cast("int").alias(f"aux_hit_{t}"))
-    log_sum = sum((F.coalesce(F.ln(F.greatest(F.col(f"aux_p_{t}"), F.when(F.col(f"aux_p_{t}").isNotNull(), F.lit(eps)))), F.lit(0.0)) for t in targets), F.lit(0.0))
-    columns = [f"aux_{kind}_{t}" for t in targets for kind in ("p", "ev", "hit")]
-    return rows.withColumn("aux_sum_logp", log_sum).select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *columns, "aux_sum_logp")
+    return _expectations(fit, apply_to, targets, numeric, categorical, seed, keep, params, eps, long, None, [None])
 
 
 def oof_expectations(frame: DataFrame, targets: list[str], numeric: list[str], categorical: list[str], fold: str, folds: int, seed: int, keep: list[str], params: dict | None = None) -> DataFrame:
-    """The same, each row scored by models of the other folds, in a fixed column order.
-
-    Which targets are binned is decided once, so the columns mean the same in every fold; the cut points come from the fit rows.
-    """
-    long = long_columns(frame, [t for t in targets if t in numeric])
-    parts = None
-    for f in range(folds):
-        part = expectation_models(frame.where(F.col(fold) != f), frame.where(F.col(fold) == f), targets, numeric, categorical, seed + f, keep, params, long=long)
-        part = fitted(part, "expectations")  # a fold's models are not carried into the next one's plan
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """The same, each row scored by forests of the other folds. Classes and bins are those of all rows; all folds share the passes."""
+    rows = frame.where(F.col(fold).between(0, folds - 1))
+    return _expectations(rows, rows, targets, numeric, categorical, seed, keep, params, 1e-6, None, fold, list(range(folds)))
 
 
 def early_stopped(train: DataFrame, spec: MemberSpec, share: float = 0.1, key: str = "id") -> PipelineModel:
