@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tabloom.plans.registry import ENTRIES, Entry
 
-MODULES = ["flagship", "scans", "quality", "profiles", "derived", "encodings", "targets", "scoring", "stacks", "models"]
+MODULES = ["flagship", "scans", "quality", "profiles", "derived", "encodings", "targets", "scoring", "stacks", "models", "facts"]
 
 
 def all_entries() -> dict[str, Entry]:

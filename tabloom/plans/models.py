@@ -120,7 +120,7 @@ def soft_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_registry_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = {
         "logistic": {"maxIter": 10}, "tree": {"maxDepth": 4}, "forest": {"numTrees": 5, "maxDepth": 4}, "boosted": {"maxIter": 3, "maxDepth": 3},
-        "perceptron": {"hidden": [8], "maxIter": 20}, "factorization": {"factorSize": 4, "maxIter": 20, "stepSize": 0.1},
+        "perceptron": {"hidden": [8], "maxIter": 20}, "factorization": {"factorSize": 4, "maxIter": 20, "stepSize": 0.1}, "histogram": {"maxIter": 10, "stepSize": 0.3},
     }
     specs = [M.MemberSpec(kind, kind, CORE, ("class",), p, SEED) for kind, p in params.items()]
     return M.compare_members(_folds(spark, sf_dir), specs, "fold", FOLDS)
@@ -157,13 +157,16 @@ def boosted_trees_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc(scored, "p", "label").withColumn("trees", F.lit(len(model.stages[-1].treeWeights)))
 
 
+LAYOUTS = ((8,), (16,), (8, 4), (16, 8))
+
+
 @query("perceptron_seed_spread", "I7", "I8", note="layouts x seeds; AUC of each and of the seed average")
 def perceptron_seed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(survey(spark, sf_dir))
     train, held = rows.where(is_train()), rows.where(~is_train())
     parts = None
-    for layout in ((8,), (8, 4)):
-        for seed in (1, 2, 3):
+    for layout in LAYOUTS:
+        for seed in range(1, 6):
             spec = M.MemberSpec("p", "perceptron", CORE, ("class",), {"hidden": list(layout), "maxIter": 25}, seed)
             part = M.score(M.fit_member(train, spec), held, spec, ["id", "label"]).select("id", "label", "p", F.lit("-".join(map(str, layout))).alias("layout"), F.lit(seed).alias("seed"))
             parts = part if parts is None else parts.unionByName(part)
@@ -374,7 +377,7 @@ def in_fold_member(spark: SparkSession, sf_dir: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(survey(spark, sf_dir))
     model = M.fit_member(rows.where(is_train()), LOGISTIC)
-    return M.permutation_importance(model, rows.where(~is_train()), LOGISTIC, ["r6", "r1", "age"], 2, SEED)
+    return M.permutation_importance(model, rows.where(~is_train()), LOGISTIC, LOGISTIC.features, 5, SEED)
 
 
 @query("l1_feature_selection", "I22", note="penalty sweep with refit on the kept columns")

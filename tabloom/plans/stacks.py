@@ -59,9 +59,9 @@ def rank_blend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nested_rank_blend", "J8", note="weights of the other folds, the exact AUC of the pooled scores, and the weights over all rows")
 def nested_rank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = _ranks(spark, sf_dir)
-    weights = S.coordinate_ascent(ranks, NAMES, "label", "fold", {f: f for f in range(FOLDS)}, sweeps=2)
+    weights = S.coordinate_ascent(ranks, NAMES, "label", "fold", {f: f for f in range(FOLDS)})
     scored = ranks.select(*KEEP, F.round(S.blend_with(ranks, NAMES, "fold", weights), 9).alias("p"))
-    every = S.coordinate_ascent(ranks, NAMES, "label", "fold", {"all": None}, sweeps=2)["all"]
+    every = S.coordinate_ascent(ranks, NAMES, "label", "fold", {"all": None})["all"]
     return auc(scored, "p", "label").withColumns({f"w_{m}": F.lit(float(w)) for m, w in zip(NAMES, every)})
 
 
