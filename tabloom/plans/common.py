@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabloom.plans.registry import rd
-from tabloom.sources.survey import CATEGORICAL, CONTINUOUS, NUMERIC, RATINGS
+from tabloom.sources.survey import CATEGORICAL, CONTINUOUS, NUMERIC, RATINGS, RAW_FEATURES, SECOND_LABEL, SECOND_RULE, rating_rules
 
 SEED = 42
 FOLDS = 5
 SMOOTHING = 20
 
 TRAIN = "select * from survey where id % 10 < 7"
+SECOND = (
+    f"select k as id, {', '.join(RAW_FEATURES)}, {SECOND_LABEL} from (select k, {', '.join(SECOND_RULE)}, {', '.join(rating_rules('k', 'l_partkey'))} "
+    "from (select l_orderkey * 8 + l_linenumber as k, * from lineitem) l) s"
+)
 
 
 def r(column: str | Column, digits: int = 6) -> Column:

@@ -10,10 +10,10 @@ from tabloom.operators import derive as D
 from tabloom.operators import encode as E
 from tabloom.operators import group_stats as G
 from tabloom.operators.lookup import fitted
-from tabloom.plans.common import CATEGORICAL, CONTINUOUS, FOLDED, NUMERIC, RATINGS, SMOOTHING, TRAIN, hash_hex_sql, r, rd
+from tabloom.plans.common import CATEGORICAL, CONTINUOUS, FOLDED, NUMERIC, RATINGS, SECOND, SMOOTHING, TRAIN, hash_hex_sql, r, rd
 from tabloom.plans.member_data import folded_train
 from tabloom.plans.registry import plain_sql, query, survey_sql
-from tabloom.sources.survey import RAW_FEATURES, is_train, survey
+from tabloom.sources.survey import RAW_FEATURES, is_train, second_survey, survey
 from tabloom.sources.tables import read_table
 
 LEVELS = {
@@ -209,11 +209,11 @@ def route_profile_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "second_table_lookup", "F4",
-    sql=survey_sql("select id, " + ", ".join(f"{rd(f'x_{c}')} as om_{c}" for c in RAW_FEATURES) + " from tr " + " ".join(f"left join (select {c} as k_{c}, avg(label) as x_{c} from survey where id % 10 >= 7 and {c} is not null group by {c}) on k_{c} = {c}" for c in RAW_FEATURES), tr=TRAIN),
+    sql=survey_sql("select id, " + ", ".join(f"{rd(f'x_{c}')} as om_{c}" for c in RAW_FEATURES) + " from tr " + " ".join(f"left join (select {c} as k_{c}, avg(label) as x_{c} from second where {c} is not null group by {c}) on k_{c} = {c}" for c in RAW_FEATURES), tr=TRAIN, second=SECOND),
 )
 def second_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, train = _split(spark, sf_dir)
-    rates = G.second_table_rates(rows.where(~is_train()), RAW_FEATURES, "label")
+    _, train = _split(spark, sf_dir)
+    rates = G.second_table_rates(second_survey(spark, sf_dir), RAW_FEATURES, "label")
     return G.apply_second_table_rates(train, rates, RAW_FEATURES).select("id", *[r(f"om_{c}").alias(f"om_{c}") for c in RAW_FEATURES])
 
 
@@ -239,11 +239,11 @@ def anti_join_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 MERGED = ["class", "travel_type", "r6", "r1", "age"]
 
 
-@query("second_table_merge", "F8", sql=survey_sql(f"select distinct {', '.join(MERGED)}, cast(label as integer) as answer from survey"))
+@query("second_table_merge", "F8", sql=survey_sql(f"select {', '.join(MERGED)}, cast(label as integer) as answer from tr union select {', '.join(MERGED)}, cast(label as integer) from second", tr=TRAIN, second=SECOND))
 def second_table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = survey(spark, sf_dir).select("id", *MERGED, F.when(F.col("label") == 1, "satisfied").otherwise("neutral or dissatisfied").alias("answer"))
-    first, second = rows.where(is_train()), rows.where(~is_train())
-    return G.merge_tables([first.drop("id"), second.select("answer", *MERGED, F.lit("b").alias("file"))], "answer", {"satisfied": 1, "neutral or dissatisfied": 0})
+    answer = F.when(F.col("label") == 1, "satisfied").otherwise("neutral or dissatisfied").alias("answer")
+    first, second = survey(spark, sf_dir).where(is_train()).select(*MERGED, answer), second_survey(spark, sf_dir).select(*MERGED, answer)
+    return G.merge_tables([first, second.select("answer", *MERGED, F.lit("b").alias("file"))], "answer", {"satisfied": 1, "neutral or dissatisfied": 0})
 
 
 EXPECT = {"r6": ["class", "r1"], "r1": ["class", "r6"], "r7": ["travel_type", "r8"]}

@@ -23,7 +23,7 @@ from tabloom.plans.registry import plain_sql, query, survey_sql
 from tabloom.session import scratch_path
 from tabloom.sources import sinks
 from tabloom.sources.contract import build_contract, view_rows
-from tabloom.sources.survey import RAW_FEATURES, is_train, survey
+from tabloom.sources.survey import RAW_FEATURES, is_train, second_survey, survey
 from tabloom.sources.tables import read_table
 
 CORE = ("r1", "r6", "r7", "r8", "age", "dep_delay")
@@ -460,15 +460,14 @@ def pseudo_label_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("second_table_teacher", "F9", note="model fitted on the second table only, its logit as a column")
 def second_table_teacher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fitted(survey(spark, sf_dir))
-    model = M.fit_member(rows.where(~is_train()), BOOSTED)
-    return M.score(model, rows.where(is_train()), BOOSTED, ["id"]).select("id", logit("p").alias("teacher_logit"))
+    model = M.fit_member(fitted(second_survey(spark, sf_dir).select("id", "label", *BOOSTED.features)), BOOSTED)
+    return M.score(model, survey(spark, sf_dir).where(is_train()), BOOSTED, ["id"]).select("id", logit("p").alias("teacher_logit"))
 
 
 @query("second_table_expectations", "F10", note="column predictors fitted on the second table only")
 def second_table_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fitted(survey(spark, sf_dir).select("id", *RAW_FEATURES))
-    return M.expectation_models(rows.where(~is_train()), rows.where(is_train()), AUX_TARGETS, NUMERIC, CATEGORICAL, SEED, ["id"], AUX_PARAMS)
+    first, second = survey(spark, sf_dir).where(is_train()).select("id", *RAW_FEATURES), fitted(second_survey(spark, sf_dir).select("id", *RAW_FEATURES))
+    return M.expectation_models(second, first, AUX_TARGETS, NUMERIC, CATEGORICAL, SEED, ["id"], AUX_PARAMS)
 
 
 @query("model_bundle", "A14", note="pipeline, contract and metrics saved, loaded and scored again")

@@ -43,6 +43,31 @@ class Roles:
         return self.ratings + self.continuous + self.categorical
 
 
+def rating_rules(row: str, person: str) -> list[str]:
+    return [
+        f"cast(floor(({row} * {a} + {person} * {b}) / {d}) as bigint) % {m} + {off} as {name}" for name, (a, b, d, m, off) in zip(RATINGS, RATING_RULE)
+    ]
+
+
+#: The second table's other columns by the key ``k`` of a line and its part.
+SECOND_RULE = [
+    "7 + (l_partkey * 7) % 79 as age", "67 + 123 * (l_partkey % 40) as distance", "greatest(0, (k * 13) % 97 - 80) as dep_delay",
+    "case when k % 211 = 0 then null else cast(greatest(0, (k * 13) % 97 - 82) as double) end as arr_delay",
+    "case when l_suppkey % 2 = 0 then 'Female' else 'Male' end as gender",
+    "case when l_quantity < 40 then 'Loyal Customer' else 'disloyal Customer' end as customer_type",
+    "case when l_linestatus = 'F' then 'Personal Travel' else 'Business travel' end as travel_type",
+    "case when l_returnflag = 'R' then 'Business' when l_returnflag = 'A' then 'Eco Plus' else 'Eco' end as class",
+]
+SECOND_LABEL = "case when 3 * r6 + r1 + r7 + r8 + case when class = 'Business' then 6 else 0 end + (k * 19) % 13 >= 27 then 1 else 0 end as label"
+
+
+def second_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second, independently collected table with the columns and label of the survey and rows of its own: one per line item."""
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag"])
+    keyed = lines.selectExpr("l_orderkey * 8 + l_linenumber as k", "*")
+    return keyed.selectExpr("k", *SECOND_RULE, *rating_rules("k", "l_partkey")).selectExpr("k as id", *RAW_FEATURES, SECOND_LABEL)
+
+
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with id, 13 ratings, 4 continuous and 4 categorical columns, label."""
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
@@ -51,10 +76,7 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(
         nations, F.col("c_nationkey") == F.col("n_nationkey")
     )
-    ratings = [
-        f"cast(floor((o_orderkey * {a} + o_custkey * {b}) / {d}) as bigint) % {m} + {off} as {name}"
-        for name, (a, b, d, m, off) in zip(RATINGS, RATING_RULE)
-    ]
+    ratings = rating_rules("o_orderkey", "o_custkey")
     base = joined.selectExpr(
         "o_orderkey as id",
         "o_custkey",
