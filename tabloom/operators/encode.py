@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tabloom.functions.scalars import text_key
 from tabloom.operators.folds import hash_order_position
 from tabloom.operators.lookup import fitted, join_fitted
+from tabloom.operators.ranks import dense_positions
 
 
 def vocabulary(train: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, level, code): sorted distinct values of each column, code = place in the order.
-
-    Meant for columns whose level list is part of a contract, i.e. short ones.
-    """
+    """(feature, level, code): sorted distinct values of each column, code = place in the order; a column may have any number of levels."""
     text = train.select(*[F.col(c).cast("string").alias(c) for c in columns])
     levels = text.unpivot([], columns, "feature", "level").where(F.col("level").isNotNull()).distinct()
-    return levels.withColumn("code", (F.row_number().over(W.partitionBy("feature").orderBy("level")) - 1).cast("int"))
+    return dense_positions(levels, ["feature"], ["level"], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def pinned_codes(frame: DataFrame, train: DataFrame, columns: list[str], suffix: str = "_code") -> DataFrame:
-    """Alphabetical level codes fitted on train; a value train never showed is an error."""
-    indexer = StringIndexer(
-        inputCols=columns, outputCols=[f"{c}{suffix}" for c in columns], stringOrderType="alphabetAsc", handleInvalid="error"
-    )
-    return indexer.fit(train).transform(frame)
+    """Alphabetical level codes fitted on train; a value train never showed is an error. Levels stay on the executors."""
+    coded = apply_vocabulary(frame, vocabulary(train, columns), columns, suffix)
+    unseen = {c: F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))) for c in columns}
+    return coded.withColumns({f"{c}{suffix}": F.coalesce(f"{c}{suffix}", unseen[c].cast("int")) for c in columns})
 
 
 def apply_vocabulary(frame: DataFrame, levels: DataFrame, columns: list[str], suffix: str = "_code") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import column_quantiles, melt
 
 
@@ -64,7 +65,8 @@ def value_count_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def category_shares(frame: DataFrame, columns: list[str]) -> DataFrame:
-    return value_table(frame, columns).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("feature")))
+    counts = fitted(value_table(frame, columns), "counts")
+    return counts.join(counts.groupBy("feature").agg(F.sum("n").alias("_all")), "feature").withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
 def histogram(frame: DataFrame, columns: list[str], bins: int = 60, by: list[str] = ()) -> DataFrame:

@@ -80,6 +80,20 @@ def totals_over_buckets(
     )
 
 
+def dense_positions(rows: DataFrame, by: list[str], order: list[str], out: str = "position") -> DataFrame:
+    """Place of every row in its group by ``order``, counted from 0, for values of any type.
+
+    Rows are range-sorted and stored with their place in the partition; only counts per (group, partition) are accumulated, so a
+    group is spread over as many tasks as its rows need.
+    """
+    ordered = fitted(rows.orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    parts = ordered.groupBy(*by, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    shifts = fitted(parts.select(*by, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")), "parts")
+    return ordered.withColumn("_part", part).join(shifts, [*by, "_part"]).withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def distinct_values(rows: DataFrame, by: list[str], value: str, measures: dict[str, Column]) -> DataFrame:
     """One row per (by, value) with summed measures; null values are left out."""
     return (

@@ -324,3 +324,12 @@ def test_views_by_name(spark):
     assert select_features(names, keep_prefixes=["te_"], drop_suffixes=["_code"]) == ["te_a"]
     with pytest.raises(ValueError):
         select_features(names, keep_prefixes=["zz"])
+
+
+def test_vocabulary_codes_follow_the_order_without_a_window_over_the_levels(spark):
+    frame = spark.range(3000).selectExpr("cast(id % 1237 as string) as long", "if(id % 5 = 0, null, cast(id % 3 as string)) as short")
+    got = E.vocabulary(frame, ["long", "short"])
+    want = [("long", v, i) for i, v in enumerate(sorted({str(i) for i in range(1237)}))] + [("short", str(i), i) for i in range(3)]
+    assert sorted((r.feature, r.level, r.code) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
