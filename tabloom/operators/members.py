@@ -7,10 +7,11 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -367,28 +368,62 @@ def random_parameters(ranges: dict[str, list], n: int, seed: int) -> list[dict]:
     return draws
 
 
+def searched(
+    train: DataFrame, held: DataFrame, spec: MemberSpec, ranges: dict[str, list], n: int, confirm: int, small: dict, full: dict, seed: int,
+    ledger: str | None = None, parallel: int = 2,
+) -> tuple[DataFrame, int]:
+    """(stage, trial, params, auc) and the number of fits made: ``n`` draws at the small budget, the best ``confirm`` of them again at the full one.
+
+    The budget is the number of trials, so the result is the same on any machine. Equal draws are fitted once, ``parallel`` fits share the
+    executors. With a ``ledger`` folder every trial is written there as it ends, and a search that was interrupted, or is given more
+    trials, goes on from it; trials count for the same member, parameters and rows only.
+    """
+    spark = train.sparkSession
+    rows = ""
+    if ledger is not None:
+        marks = [fingerprint(f, [spec.key, spec.label, *spec.inputs]).first() for f in (train, held)]
+        rows = "-".join(f"{m['rows']}:{m['digest']}" for m in marks)
+    known: dict[str, float] = {}
+    made = 0
+
+    def evaluate(params: dict) -> tuple[float, bool]:
+        own = replace(spec, params=params)
+        path = None if ledger is None else f"{ledger}/trial={own.fingerprint(rows=rows)}"
+        stored = None if path is None else _stored(spark, path)
+        if stored is not None and (row := stored.first()) is not None:
+            return row["auc"], False
+        value = auc(score(fit_member(train, own), held, own, [spec.label]), "p", spec.label).first()["auc"]
+        if path is not None:
+            spark.createDataFrame([(json.dumps(params, sort_keys=True), value)], "params string, auc double").coalesce(1).write.mode("overwrite").parquet(path)
+        return value, True
+
+    def run(budgets: list[dict]) -> None:
+        nonlocal made
+        todo = {json.dumps(p, sort_keys=True): p for p in budgets}
+        todo = {mark: p for mark, p in todo.items() if mark not in known}
+        with ThreadPool(max(1, parallel)) as pool:
+            for mark, (value, fresh) in zip(todo, pool.map(inheritable_thread_target(spark)(evaluate), todo.values())):
+                known[mark] = value
+                made += fresh
+
+    def found(params: dict) -> float:
+        return known[json.dumps(params, sort_keys=True)]
+
+    draws = random_parameters(ranges, n, seed)
+    run([{**d, **small} for d in draws])
+    trials = [("search", i, d, found({**d, **small})) for i, d in enumerate(draws)]
+    best = sorted(trials, key=lambda t: (-t[3], t[1]))[:confirm]
+    run([{**d, **full} for _, _, d, _ in best])
+    trials += [("confirm", i, d, found({**d, **full})) for _, i, d, _ in best]
+    table = [(stage, i, json.dumps(draw, sort_keys=True), value) for stage, i, draw, value in trials]
+    return spark.createDataFrame(table, "stage string, trial int, params string, auc double").orderBy("stage", F.desc("auc")), made
+
+
 def random_search(
     train: DataFrame, held: DataFrame, spec: MemberSpec, ranges: dict[str, list], n: int, confirm: int, small: dict, full: dict, seed: int
 ) -> DataFrame:
-    """(stage, trial, params, auc): ``n`` draws at the small budget, the best ``confirm`` of them again at the full one.
-
-    The budget is the number of trials, so the result is the same on any machine. Equal draws are fitted once.
-    """
-    trials, known = [], {}
-
-    def evaluate(params: dict) -> float:
-        mark = json.dumps(params, sort_keys=True)
-        if mark not in known:
-            own = replace(spec, params=params)
-            known[mark] = auc(score(fit_member(train, own), held, own, [spec.label]), "p", spec.label).first()["auc"]
-        return known[mark]
-
-    for i, draw in enumerate(random_parameters(ranges, n, seed)):
-        trials.append(("search", i, draw, evaluate({**draw, **small})))
-    for _, i, draw, _ in sorted(trials, key=lambda t: (-t[3], t[1]))[:confirm]:
-        trials.append(("confirm", i, draw, evaluate({**draw, **full})))
-    rows = [(stage, i, json.dumps(draw, sort_keys=True), value) for stage, i, draw, value in trials]
-    return train.sparkSession.createDataFrame(rows, "stage string, trial int, params string, auc double").orderBy("stage", F.desc("auc"))
+    """The table of :func:`searched`, without a ledger."""
+    return searched(train, held, spec, ranges, n, confirm, small, full, seed)[0]
 
 
 def segment_models(frame: DataFrame, spec: MemberSpec, by: str, levels: list[str], fold: str, folds: int) -> DataFrame:

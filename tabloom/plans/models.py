@@ -409,6 +409,33 @@ def budgeted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.random_search(rows.where(is_train()), rows.where(~is_train()), LOGISTIC, ranges, 30, 0, {"maxIter": 10}, {}, SEED)
 
 
+SEARCH = {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
+
+
+def _distinct_draws(n: int) -> int:
+    return len({tuple(sorted(d.items())) for d in M.random_parameters(SEARCH, n, SEED)})
+
+
+@query(
+    "resumed_search", "I25", "I26",
+    sql=plain_sql(
+        f"select run, cast(n_trials as bigint) as n_trials, fits, true as equals_uninterrupted from (values ('interrupted', 4, {_distinct_draws(4)}), "
+        f"('resumed', 8, {_distinct_draws(8) - _distinct_draws(4)}), ('again', 8, 0)) r(run, n_trials, fits)"
+    ),
+    note="a search stopped after four trials goes on from its ledger and ends with the ranking of an uninterrupted one",
+)
+def resumed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, ledger = fitted(survey(spark, sf_dir).select("id", "label", *LOGISTIC.features)), scratch_path(spark, "ledger")
+    given = (rows.where(is_train()), rows.where(~is_train()), LOGISTIC, SEARCH)
+    whole = M.random_search(*given, 8, 0, {"maxIter": 3}, {}, SEED).collect()  # one row per trial
+    out = []
+    for run, n in (("interrupted", 4), ("resumed", 8), ("again", 8)):
+        table, fits = M.searched(*given, n, 0, {"maxIter": 3}, {}, SEED, ledger)
+        found = table.collect()
+        out.append((run, len(found), fits, {r.trial: r.auc for r in found} == {r.trial: r.auc for r in whole if r.trial < n}))
+    return spark.createDataFrame(out, "run string, n_trials bigint, fits int, equals_uninterrupted boolean")
+
+
 @query("ordinal_model", "I29", note="cumulative binary models, ranked by expected level")
 def ordinal_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fitted(survey(spark, sf_dir))

@@ -56,8 +56,13 @@ def wide_predictions(predictions: DataFrame, members: list[str], keep: list[str]
     return predictions.groupBy(*keep).pivot("member", members).agg(F.first("p"))
 
 
-def append_roster(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_roster(rows: DataFrame, path: str, run: str) -> None:
+    """Add a run's rows to the roster; the same run written again replaces its own rows."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def read_roster(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("run")
 
 
 def check_against_template(scored: DataFrame, template: DataFrame, key: str = "id") -> DataFrame:
