@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.words import WINDOW_BASES, Slice, Words, covered, folded_words, slices, spans_hash
+from tabloom.llm.words import WINDOW_BASES, Slice, Words, covered, folded_words, powers, slices, spans_hash
 
 WINDOW = 10
 LEAD = 3
+DEEP = 24  # words compared one by one before fingerprints of whole spans are
 BLOCK_BYTES = 16 << 20
+SPAN_BASE = WINDOW_BASES[1]
 
 
 def _runs_end(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -35,7 +37,8 @@ def _runs_end(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 def suffix_array(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The suffixes ``ids[p:ends[p]]``, p in ``at``, in lexicographic order (equal ones by position).
 
-    Three word ids are compared at a time, and only among suffixes that are still equal.
+    Three word ids are compared at a time, and only among suffixes that are still equal; from ``DEEP`` words on, suffixes that are still
+    equal are ranked by prefix doubling, so that long repeats cost logarithmically many rounds.
     """
     key = _key(ids, ends, at, 0)
     by = np.argsort(key, kind="stable")
@@ -44,6 +47,9 @@ def suffix_array(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarra
     opens[1:] = key[1:] != key[:-1]
     depth = 3
     while len(order):
+        if depth >= DEEP:
+            rank = doubled_ranks(ids, ends)
+            return at[np.argsort(rank[at], kind="stable")]
         group = np.cumsum(opens) - 1
         unfinished = np.zeros(group[-1] + 1, bool)
         unfinished[group[(np.bincount(group)[group] > 1) & (order + depth < ends[order])]] = True
@@ -58,6 +64,22 @@ def suffix_array(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarra
     return order
 
 
+def doubled_ranks(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rank of every suffix ``ids[p:ends[p]]``, equal for equal ones: ranks of 1, 2, 4, ... words, each from two of half the length."""
+    n = len(ids)
+    place = np.arange(n)
+    rank = np.where(place < ends, ids + 1, 0)
+    width, distinct = 1, 0
+    while True:
+        after = place + width
+        second = np.where(after < ends, rank[np.minimum(after, n - 1)], 0)
+        values, rank = np.unique(rank.astype(np.int64) * (max(int(rank.max(initial=0)), int(second.max(initial=0))) + 1) + second, return_inverse=True)
+        rank = rank + 1
+        if len(values) == distinct or width >= n:
+            return rank
+        distinct, width = len(values), 2 * width
+
+
 def _key(ids: np.ndarray, ends: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Words depth..depth+2 of each suffix as one number; 0 stands for the end."""
     out = np.zeros(len(at), np.uint64)
@@ -69,6 +91,19 @@ def _key(ids: np.ndarray, ends: np.ndarray, at: np.ndarray, depth: int) -> np.nd
     return out
 
 
+class Spans:
+    """Fingerprints of any spans of a list of word ids, from running sums."""
+
+    def __init__(self, ids: np.ndarray):
+        up, _ = powers(SPAN_BASE, len(ids) + 1)
+        self.total = np.zeros(len(ids) + 1, np.uint64)
+        np.cumsum((ids + 1).astype(np.uint64) * up[: len(ids)], out=self.total[1:])
+
+    def hash(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        _, down = powers(SPAN_BASE, len(self.total))
+        return (self.total[start + size] - self.total[start]) * down[start]
+
+
 class Benchmark:
     """One block of benchmark items, as word ids over its own vocabulary."""
 
@@ -83,6 +118,7 @@ class Benchmark:
         counts = words.counts
         self.item = words.doc()
         self.end = np.repeat(words.first[1:], counts)
+        self.spans = Spans(self.ids)
         self.window = np.minimum(window, counts)[self.item] if len(self.ids) else np.zeros(0, np.int64)
         self.lead = int(min(LEAD, counts[counts > 0].min())) if len(self.ids) else LEAD
         at = np.arange(len(self.ids))
@@ -116,6 +152,7 @@ class Shard:
             pos[pos == len(bench.leads)] = 0
             at = at[bench.leads[pos] == lead]
         self.order = suffix_array(self.ids, self.ends, at)
+        self.spans: Spans | None = None
 
     def compare(self, places: np.ndarray, suffixes: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order of shard suffix against the first ``limit`` words of a benchmark suffix, and the words they share."""
@@ -126,6 +163,9 @@ class Shard:
         depth = 0
         while len(live):
             live = live[depth < limit[live]]
+            if depth == DEEP:
+                sign[live], lcp[live] = self._compare_spans(places[live], suffixes[live], limit[live])
+                break
             p, s = places[live] + depth, suffixes[live] + depth
             a = np.where(p < self.ends[places[live]], self.ids[np.minimum(p, len(self.ids) - 1)], -1)
             b = np.where(s < bench.end[suffixes[live]], bench.ids[np.minimum(s, len(bench.ids) - 1)], -1)
@@ -136,6 +176,22 @@ class Shard:
             depth += 1
         return sign, lcp
 
+    def _compare_spans(self, p: np.ndarray, s: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for suffixes that share ``DEEP`` words: how far they agree is found by halving, on fingerprints of spans."""
+        bench = self.bench
+        low = np.full(len(p), DEEP, np.int64)
+        high = np.minimum(np.minimum(self.ends[p] - p, bench.end[s] - s), limit)
+        if self.spans is None:
+            self.spans = Spans(self.ids)
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_] + 1) >> 1
+            same = self.spans.hash(p[open_], mid) == bench.spans.hash(s[open_], mid)
+            low[open_[same]] = mid[same]
+            high[open_[~same]] = mid[~same] - 1
+        a = np.where(p + low < self.ends[p], self.ids[np.minimum(p + low, len(self.ids) - 1)], -1)
+        b = np.where(s + low < bench.end[s], bench.ids[np.minimum(s + low, len(bench.ids) - 1)], -1)
+        return np.where(low < limit, np.sign(a - b), 0), low
+
     def bound(self, suffixes: np.ndarray, limit: np.ndarray, upper: bool) -> np.ndarray:
         """First place in the suffix array not below (upper: above) the first ``limit`` words of each suffix."""
         lo = np.zeros(len(suffixes), np.int64)
@@ -149,7 +205,7 @@ class Shard:
         return lo
 
     def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every occurrence of a benchmark window: benchmark word position, shard word position; and for every
+        """Every occurrence of an item's window: a benchmark word position, shard word position; and for every
         benchmark suffix its longest verbatim match and where it begins (length 0: none)."""
         bench = self.bench
         suffixes = np.arange(len(bench.ids))
@@ -167,6 +223,9 @@ class Shard:
             place[ok[better]] = self.order[near[ok[better]]]
         full = np.flatnonzero((whole >= bench.window) & (longest >= bench.window))
         lo, hi = self.bound(full, bench.window[full], False), self.bound(full, bench.window[full], True)
+        # a window that an item repeats has the same range each time
+        _, once = np.unique(np.stack([bench.item[full], lo, hi]), axis=1, return_index=True)
+        full, lo, hi = full[once], lo[once], hi[once]
         count = hi - lo
         which = np.repeat(full, count)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -198,7 +257,7 @@ def _digest(ids) -> str:
 
 
 def load_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[tuple[list, list[str]]]:
-    """The benchmark in blocks of about ``block_bytes``: the stated query set, one block on the driver at a time."""
+    """The benchmark in blocks of about ``block_bytes``: the stated query set, all of whose blocks the driver and the workers hold."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1

@@ -37,7 +37,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, i < n."""
     have = _POWERS.get(int(base))
     if have is None or len(have[0]) < n:
@@ -53,7 +53,7 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
     """Fingerprint of ``values[start:end]`` for each span."""
-    up, down = _powers(base, len(values) + 1)
+    up, down = powers(base, len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values.astype(np.uint64, copy=False) * up[: len(values)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])

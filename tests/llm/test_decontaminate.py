@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabloom.llm import decontaminate
@@ -76,3 +78,37 @@ def test_suffix_array_is_sorted():
     order = decontaminate.suffix_array(ids, ends, at)
     suffixes = [tuple(ids[p : ends[p]]) for p in order]
     assert suffixes == sorted(suffixes) and sorted(order) == at.tolist()
+
+
+def test_long_repeats_take_logarithmically_many_rounds(spark):
+    import time
+
+    started = time.monotonic()
+    words = decontaminate.folded_words(next(decontaminate.slices(pa.array(["again " * 100_000]), 1 << 62)))
+    ids = np.zeros(100_000, np.int64)
+    order = decontaminate.suffix_array(ids, np.full(100_000, 100_000), np.arange(100_000))
+    assert order.tolist() == list(range(99_999, -1, -1))
+    bench = decontaminate.Benchmark([1, 2], ["again " * 20_000, "again " * 30 + "and " + "again " * 30])
+    hit, items, longest = decontaminate.scan_slice(words, bench)
+    assert hit.all() and longest.tolist() == [20_000] and items[0].tolist() == [0, 1]
+    assert time.monotonic() - started < 20
+
+
+def test_deep_matches_equal_plain_search(spark):
+    rnd = random.Random(8)
+    base = [rnd.choice("abc") for _ in range(400)]
+    texts = [" ".join(base), " ".join(base[:180] + ["a"] + base[181:]), " ".join(base[50:] + base[:50]), "a " * 300, "a b " * 150, " ".join(base[100:160])]
+    items = [(i, t) for i, t in enumerate([" ".join(base[20:380]), "a " * 90, " ".join(base[300:340]), "a b " * 40 + "c", "b " * 40])]
+    rows = [row(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.scan(table(spark, rows), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    for doc, *_, in rows:
+        words = texts[doc].split()
+        hit, found = set(), set()
+        for item, text in items:
+            own = text.split()
+            windows = {tuple(own[k : k + 10]) for k in range(len(own) - 9)}
+            for k in range(len(words) - 9):
+                if tuple(words[k : k + 10]) in windows:
+                    hit.update(range(k, k + 10))
+                    found.add(item)
+        assert got[doc] == (len(hit), len(found), bool(hit))
