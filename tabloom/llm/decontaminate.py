@@ -21,6 +21,7 @@ from tabloom.llm.words import WINDOW_BASES, Slice, Words, covered, folded_words,
 WINDOW = 10
 LEAD = 3
 DEEP = 24  # words compared one by one before fingerprints of whole spans are
+TIED = 192  # the same for suffixes that stay equal while they are sorted
 BLOCK_BYTES = 16 << 20
 SPAN_BASE = WINDOW_BASES[1]
 
@@ -37,7 +38,7 @@ def _runs_end(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 def suffix_array(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The suffixes ``ids[p:ends[p]]``, p in ``at``, in lexicographic order (equal ones by position).
 
-    Three word ids are compared at a time, and only among suffixes that are still equal; from ``DEEP`` words on, suffixes that are still
+    Three word ids are compared at a time, and only among suffixes that are still equal; from ``TIED`` words on, suffixes that are still
     equal are ranked by prefix doubling, so that long repeats cost logarithmically many rounds.
     """
     key = _key(ids, ends, at, 0)
@@ -47,7 +48,7 @@ def suffix_array(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarra
     opens[1:] = key[1:] != key[:-1]
     depth = 3
     while len(order):
-        if depth >= DEEP:
+        if depth >= TIED:
             rank = doubled_ranks(ids, ends)
             return at[np.argsort(rank[at], kind="stable")]
         group = np.cumsum(opens) - 1
