@@ -137,7 +137,13 @@ def numeric_input(frame: DataFrame, columns: list[str]) -> DataFrame:
     return frame.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
-def fit_member(train: DataFrame, spec: MemberSpec) -> PipelineModel:
+def prepared(train: DataFrame, spec: MemberSpec) -> PipelineModel:
+    """The fitted preparation of a member; it depends on neither the seed nor the parameters."""
+    return Pipeline(stages=preparation(spec)).fit(numeric_input(train, list(spec.numeric)))
+
+
+def fit_member(train: DataFrame, spec: MemberSpec, ready: PipelineModel | None = None) -> PipelineModel:
+    """The member fitted on ``train``; ``ready`` is its preparation if that has been fitted on these rows before."""
     params = dict(spec.params)
     encoders: list = []
     if spec.encodings:
@@ -149,19 +155,27 @@ def fit_member(train: DataFrame, spec: MemberSpec) -> PipelineModel:
         train = fitted(train.select(*dict.fromkeys([spec.key, spec.label, *spec.inputs, *spec.encodings, *extra])), "encoded")
     if spec.kind == "histogram":
         params |= {"numericCols": [*spec.numeric, *spec.encodings], "categoricalCols": list(spec.categorical), "keyCol": spec.key}
+    ready = ready or prepared(train, spec)
+    shaped = ready.transform(numeric_input(train, list(spec.numeric)))
     if spec.kind == "perceptron" and "hidden" in params:
         hidden = params.pop("hidden")
-        prepared = Pipeline(stages=preparation(spec)).fit(numeric_input(train, list(spec.numeric)))
-        width = prepared.transform(numeric_input(train, list(spec.numeric)).limit(1)).select("features").first()[0].size
-        params["layers"] = [width, *hidden, 2]
+        params["layers"] = [shaped.select("features").first()[0].size, *hidden, 2]
     if spec.kind in TREES and spec.categorical and "maxBins" not in params:
         # a split on a category needs a bin for each of its levels
         levels = train.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in spec.categorical]).first()
         most = max(levels[c] for c in spec.categorical)
         params["maxBins"] = max(32, int(most * 1.1) + 2)
     estimator = build_model(spec.kind, params, spec.seed, spec.label, spec.weight)
-    model = _without_summary(Pipeline(stages=[*preparation(spec), estimator]).fit(numeric_input(train, list(spec.numeric))))
-    return PipelineModel(stages=[*encoders, *model.stages]) if encoders else model
+    return _without_summary(PipelineModel(stages=[*encoders, *ready.stages, estimator.fit(shaped)]))
+
+
+PARALLEL = 2
+
+
+def together(work: Callable, jobs: list, spark: SparkSession, parallel: int = PARALLEL) -> list:
+    """``work`` of every job, ``parallel`` at a time: the short jobs of one fit leave cores idle that another's can use."""
+    with ThreadPool(max(1, parallel)) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), jobs, chunksize=1)
 
 
 def _without_summary(model: PipelineModel) -> PipelineModel:
@@ -192,15 +206,17 @@ def cross_validate(frame: DataFrame, spec: MemberSpec, fold: str, folds: int, ke
     """
     if spec.kind == "histogram" and not spec.encodings and "validationIndicatorCol" not in spec.params:
         return _boosted_folds(frame, spec, fold, folds, key, to_score)
-    parts = []
-    for f in range(folds):
+
+    def scored(f: int) -> DataFrame:
         own = replace(spec, seed=spec.seed + f)
         model = fit_member(frame.where(F.col(fold) != f), own)
         held = score(model, frame.where(F.col(fold) == f), own, [key, spec.label]).withColumn("split", F.lit("train"))
         if to_score is not None:
             new = score(model, to_score, own, [key]).withColumn(spec.label, F.lit(None).cast("int")).withColumn("split", F.lit("score"))
             held = held.unionByName(new)
-        parts.append(held.select(key, F.lit(spec.name).alias("member"), "split", F.lit(f).alias("fold"), spec.label, "p"))
+        return held.select(key, F.lit(spec.name).alias("member"), "split", F.lit(f).alias("fold"), spec.label, "p")
+
+    parts = together(scored, list(range(folds)), frame.sparkSession)
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -401,10 +417,9 @@ def searched(
         nonlocal made
         todo = {json.dumps(p, sort_keys=True): p for p in budgets}
         todo = {mark: p for mark, p in todo.items() if mark not in known}
-        with ThreadPool(max(1, parallel)) as pool:
-            for mark, (value, fresh) in zip(todo, pool.map(inheritable_thread_target(spark)(evaluate), todo.values())):
-                known[mark] = value
-                made += fresh
+        for mark, (value, fresh) in zip(todo, together(evaluate, list(todo.values()), spark, parallel)):
+            known[mark] = value
+            made += fresh
 
     def found(params: dict) -> float:
         return known[json.dumps(params, sort_keys=True)]
