@@ -411,6 +411,8 @@ def _sample(chunks: DataFrame, bins: Bins) -> tuple:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes, y, w, fold, draw, stored in _chunks(batches, bins):
             keep = _kept(draw, share, 1)
+            if not keep.any():
+                continue  # of a large table a short chunk may have no row in the sample
             values = [np.ascontiguousarray(x[..., keep]).tobytes() for x in (codes, y, w, fold, draw, stored)]
             yield pa.RecordBatch.from_pydict(dict(zip(ARROW.names, [[int(keep.sum())], *([v] for v in values)])), schema=ARROW)
 

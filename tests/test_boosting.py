@@ -145,3 +145,12 @@ def test_empty_and_constant_labels(spark, rows):
     for frame in (rows.limit(0), rows.where("label = 1"), rows.withColumn("label", F.lit(None).cast("int"))):
         (model,) = B.fit_boosted(frame, bins, "label", B.Settings(rounds=2), 1)
         assert all(0 <= 1 / (1 + np.exp(-r.margins[0])) <= 1 for r in B.score_boosted([model], rows.limit(5), ["id"]).collect())
+
+
+def test_chunks_without_a_sampled_row(spark, monkeypatch):
+    """A sample of few rows of a large table: most chunks have none of them."""
+    monkeypatch.setattr(B, "SAMPLE", 8)
+    frame = spark.range(400).selectExpr("id", "cast(id % 10 as double) as a", "cast(id % 10 > 4 as int) as label").repartition(8)
+    bins = B.fit_bins(frame, ["a"], [])
+    (model,) = B.fit_boosted(frame, bins, "label", B.Settings(rounds=2, depth=2), 1)
+    assert model.best == 2 and model.losses[2][0] < model.losses[1][0] < model.losses[0][0]
