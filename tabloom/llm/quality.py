@@ -1,13 +1,13 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Both sides are multinomials over ``BUCKETS`` hashed byte ``GRAM``-grams. The raw side counts every document. The target side
-counts at most ``TRUSTED`` documents labelled good, those with the smallest hash of their id. A document's score is the mean
-of log p_target - log p_raw over its n-grams, so length drops out; it passes if the score is at least the threshold, which is
+counts every document labelled good. A document's score is the mean of log p_target - log p_raw over its n-grams, so length drops out; it passes if the score is at least the threshold, which is
 ``SLACK`` below the ``QUANTILE`` of the scores of the trusted documents: a fixed number for given tables, the same for all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import summed
+from tabloom.llm.common import packed, summed
 from tabloom.llm.words import SPACE, WINDOW_BASES, Slice, Words, covered, mix, slices, space_words, spans_hash, window_hash, window_starts
 
 GRAM = 4
 BUCKETS = 1 << 16
-TRUSTED = 20_000
 QUANTILE = 0.002
 SLACK = 0.15
 SYMBOLS = np.zeros(256, bool)
@@ -72,15 +71,22 @@ def scores(part: Slice, ratio: np.ndarray) -> np.ndarray:
     return (value[hi] - value[lo]) / np.maximum(size[hi] - size[lo], 1)
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """Ids of at most ``limit`` documents labelled good, by hash order."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> tuple[np.ndarray, float]:
+def lower_quantile(values: DataFrame, share: float, n: int) -> float:
+    """The interpolated quantile of ``n`` > 0 numbers, from the smallest of them up to its place; for a small ``share``."""
+    place = share * (n - 1)
+    low, high = math.floor(place), math.ceil(place)
+    least = values.sort(*values.columns).limit(high + 1).toArrow().column(0).to_numpy()  # a `share` of the numbers
+    return float(least[low] + (place - low) * (least[high] - least[low]))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The log ratio per bucket and the threshold; without trusted documents every document passes."""
-    trusted = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, limit)), "doc_id")  # at most `limit` ids
+    trusted = packed(docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left_semi").select("text"), "trusted")
     ratio = log_ratio(_tally(trusted), _tally(docs))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
@@ -89,8 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> tuple[np.nd
             for part in slices(batch.column("text")):
                 yield pa.record_batch({"score": pa.array(np.round(scores(part, shared.value), 9))})
 
-    found = trusted.select("text").mapInArrow(run, "score double").agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
-    return ratio, -np.inf if found is None else float(found) - SLACK
+    n = trusted.count()
+    return ratio, lower_quantile(trusted.mapInArrow(run, "score double"), QUANTILE, n) - SLACK if n else -np.inf
 
 
 def _doc_sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -144,13 +150,13 @@ def measures(part: Slice) -> dict[str, np.ndarray]:
     }
 
 
-def judge(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept added.
 
     Null text has no words and fails the base rule, as every text under ``MIN_WORDS`` words. Columns of ``docs`` with one of
     these names are replaced. Repeated rows are judged alike; an empty or missing trusted set leaves the base rule alone.
     """
-    ratio, threshold = fit(docs, labels, trusted)
+    ratio, threshold = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     carried = docs.drop(*counts, "score", "base_failed", "kept")
@@ -170,9 +176,9 @@ def judge(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFra
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with their own columns only, in one pass and without a shuffle."""
-    ratio, threshold = fit(docs, labels, trusted)
+    ratio, threshold = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

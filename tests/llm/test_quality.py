@@ -87,3 +87,19 @@ def test_without_trusted_documents_the_base_rule_decides(spark):
 
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA), labelled(spark, [(1, 1)])).collect() == []
+
+
+def test_every_trusted_document_counts(spark):
+    frame, rows = docs(spark)
+    pairs = [(i, 1) for i in range(40_000)]  # far more labels than documents
+    got = quality.judge(frame, labelled(spark, pairs))
+    assert sorted(map(tuple, got.select(*COLUMNS).collect()), key=repr) == brute(rows, pairs)
+    labels = labelled(spark, pairs)
+    assert quality.trusted_ids(labels).count() == 40_000
+
+
+def test_lower_quantile_interpolates(spark):
+    values = np.random.default_rng(3).normal(size=1234)
+    frame = spark.createDataFrame([(float(v),) for v in values], "score double").repartition(3)
+    for share in (0.0, 0.002, 0.0137):
+        assert np.isclose(quality.lower_quantile(frame, share, len(values)), np.quantile(values, share), rtol=0, atol=1e-12)
