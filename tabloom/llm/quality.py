@@ -86,7 +86,8 @@ def lower_quantile(values: DataFrame, share: float, n: int) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The log ratio per bucket and the threshold; without trusted documents every document passes."""
-    trusted = packed(docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left_semi").select("text"), "trusted")
+    good = trusted_ids(labels).hint("merge")  # of any number: never whole on the driver, and the same plan at every size
+    trusted = packed(docs.select("doc_id", "text").join(good, "doc_id", "left_semi").select("text"), "trusted")
     ratio = log_ratio(_tally(trusted), _tally(docs))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
