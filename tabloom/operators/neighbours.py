@@ -2,7 +2,7 @@
 
 Queries and references are dealt into blocks of about ``block_rows`` rows; every pair of a query block and a reference block
 is one group, compared by matrix products of ``TILE_ROWS`` queries at a time, and the partial results are merged per query. No block,
-on either side, ever passes through the driver; a task holds two blocks and one tile (80 MB) whatever the tables' sizes.
+on either side, ever passes through the driver; a task holds two blocks and one tile (10 MB) whatever the tables' sizes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.hashing import hash_number
 
 BLOCK_ROWS = 20_000
-TILE_ROWS = 500
+TILE_ROWS = 64
 
 
 def scale_vectors(frame: DataFrame, reference: DataFrame, vector: str) -> DataFrame:
