@@ -37,7 +37,7 @@ from tabloom.session import shuffle_partitions
 
 CHUNK = 16_384
 SAMPLE = 65_536
-REFRESH = 16
+REFRESH = 4
 
 
 @dataclass(frozen=True)
@@ -116,13 +116,16 @@ class Tree:
 def nodes_of(codes: np.ndarray, routes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The node that every row ends in."""
     feature, left, _ = routes
-    node = np.ones(codes.shape[1], np.int64)
-    rows = np.arange(codes.shape[1])
-    live = rows if feature[1] >= 0 else rows[:0]
-    while len(live):
-        at = node[live]
-        node[live] = 2 * at + ~left[at, codes[feature[at], live]]
-        live = live[feature[node[live]] >= 0]
+    n, width = codes.shape[1], left.shape[1]
+    if feature[1] < 0:
+        return np.ones(n, np.int64)
+    inner = np.flatnonzero(feature >= 0)
+    following = np.repeat(np.arange(len(feature)), width).reshape(-1, width)  # a leaf follows itself
+    following[inner] = 2 * inner[:, None] + ~left[inner]
+    node = following[1].take(codes[feature[1]])
+    flat, table, start, rows = codes.reshape(-1), following.reshape(-1), np.maximum(feature, 0) * n, np.arange(n)
+    for _ in range(int(inner.max()).bit_length() - 1):
+        node = table.take(node * width + flat.take(start.take(node) + rows))
     return node
 
 
@@ -264,7 +267,7 @@ def _histograms(codes: np.ndarray, y, w, margin: np.ndarray, use: np.ndarray, no
     sums = np.zeros((len(leaves), 2, len(codes), width))
     base = at[use] * width
     for f in columns:
-        cell = base + codes[f, use]
+        cell = base + codes[f].take(use)
         sums[:, 0, f] = np.bincount(cell, g, len(leaves) * width).reshape(-1, width)
         sums[:, 1, f] = np.bincount(cell, h, len(leaves) * width).reshape(-1, width)
     return sums

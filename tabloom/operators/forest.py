@@ -126,14 +126,15 @@ def _pass(chunks: DataFrame, work: dict[int, Growing], sizes: list[int], bins: B
                     place = np.full(max(int(node.max(initial=1)), *g.open) + 1, -1)
                     place[list(g.open)] = np.arange(len(g.open))
                     rows = np.flatnonzero(use & (place[node] >= 0))
-                    base, mine = place[node[rows]], own[rows].astype(np.int64)
-                    found = [
-                        np.bincount((base * width + codes[f, rows]) * size + mine, minlength=len(g.open) * width * size).reshape(len(g.open), width, size)
-                        for f in g.columns
-                    ]
-                    found = np.stack(found, axis=1)
-                    total[m] = total[m] + found if m in total else found
+                    cells = len(g.open) * width * size
+                    if m not in total:
+                        total[m] = np.zeros((len(g.columns), cells), np.int64)
+                    base = place[node[rows]] * (width * size) + own[rows]
+                    for i, f in enumerate(g.columns):
+                        total[m][i] += np.bincount(np.multiply(codes[f].take(rows), size, dtype=np.int64) + base, minlength=cells)
         for m, found in total.items():
+            g = work[m]
+            found = found.reshape(len(g.columns), len(g.open), width, sizes[g.target]).swapaxes(0, 1)
             yield pa.record_batch({"model": pa.array([m], pa.int32()), "counts": pa.array([found.tobytes()], pa.binary())})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
