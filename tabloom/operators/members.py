@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
@@ -83,6 +83,7 @@ ESTIMATORS: dict[str, Callable[..., Estimator]] = {
 UNSEEDED = {"logistic"}  # deterministic estimators without a seed parameter
 TREES = {"tree", "forest", "boosted"}
 SCALED = {"logistic", "perceptron", "factorization"}
+STORED = {"logistic", *TREES}  # these read their rows several times before they keep them; prepared rows are stored, not prepared each time
 
 
 def build_model(kind: str, params: dict, seed: int | None, label: str = "label", weight: str | None = None) -> Estimator:
@@ -106,19 +107,22 @@ def _encoders(spec: MemberSpec) -> list[FoldTargetEncoder]:
     return [FoldTargetEncoder(keySets=sets, keyCol=spec.key, labelCol=spec.label, auto=auto, seed=spec.seed) for sets, auto in kinds if sets]
 
 
-def preparation(spec: MemberSpec) -> list:
-    """Codes, median imputation and, for linear kinds, indicators and scaling."""
+def _filling(numeric: list[str], cats: list[str]) -> list:
+    """Median imputation and codes: what is found column by column."""
     stages: list = []
-    if spec.kind == "histogram":
-        return stages
-    numeric = [*spec.numeric, *spec.encodings]
-    inputs: list[str] = []
     if numeric:
         stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=[f"_i_{c}" for c in numeric]))
-        inputs += [f"_i_{c}" for c in numeric]
+    if cats:
+        stages.append(StringIndexer(inputCols=cats, outputCols=[f"_c_{c}" for c in cats], stringOrderType="alphabetAsc", handleInvalid="keep"))
+    return stages
+
+
+def _shaping(spec: MemberSpec) -> list:
+    """The feature vector of filled columns; for linear kinds with indicators and scaling."""
+    stages: list = []
+    inputs = [f"_i_{c}" for c in (*spec.numeric, *spec.encodings)]
     if spec.categorical:
         cats = list(spec.categorical)
-        stages.append(StringIndexer(inputCols=cats, outputCols=[f"_c_{c}" for c in cats], stringOrderType="alphabetAsc", handleInvalid="keep"))
         coded = [f"_c_{c}" for c in cats]
         if spec.kind in SCALED:
             stages.append(OneHotEncoder(inputCols=coded, outputCols=[f"_h_{c}" for c in cats], dropLast=False))
@@ -132,6 +136,13 @@ def preparation(spec: MemberSpec) -> list:
     return stages
 
 
+def preparation(spec: MemberSpec) -> list:
+    """Codes, median imputation and, for linear kinds, indicators and scaling."""
+    if spec.kind == "histogram":
+        return []
+    return [*_filling([*spec.numeric, *spec.encodings], list(spec.categorical)), *_shaping(spec)]
+
+
 def numeric_input(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Numbers as double, as the feature transformers want them."""
     return frame.withColumns({c: F.col(c).cast("double") for c in columns})
@@ -142,6 +153,34 @@ def prepared(train: DataFrame, spec: MemberSpec) -> PipelineModel:
     return Pipeline(stages=preparation(spec)).fit(numeric_input(train, list(spec.numeric)))
 
 
+def shared_preparations(frame: DataFrame, specs: list[MemberSpec], fold: str) -> tuple[DataFrame, Callable[[MemberSpec, int], PipelineModel | None]]:
+    """The frame with numbers as double, and the preparation of a member on the fit rows of a fold, fitted once for all members that share it.
+
+    Medians and codes are found column by column, so one fit per fold serves every member; vectors and scales serve the members with the
+    same columns. Members that prepare themselves (histogram, encodings) get none, nor does a column that is a number here and a category there.
+    """
+    shared = [s for s in specs if s.kind != "histogram" and not s.encodings]
+    numeric = list(dict.fromkeys(c for s in shared for c in s.numeric))
+    cats = list(dict.fromkeys(c for s in shared for c in s.categorical))
+    if len(shared) < 2 or {*numeric} & {*(c for s in specs for c in (*s.categorical, s.label))}:
+        return frame, lambda spec, f: None
+    frame = numeric_input(frame, numeric)
+    filled: dict[int, list] = {}
+    ready: dict[tuple, PipelineModel] = {}
+
+    def find(spec: MemberSpec, f: int) -> PipelineModel | None:
+        if spec.kind == "histogram" or spec.encodings:
+            return None
+        train, mark = frame.where(F.col(fold) != f), (f, spec.numeric, spec.categorical, spec.kind in SCALED)
+        if f not in filled:
+            filled[f] = Pipeline(stages=_filling(numeric, cats)).fit(train).stages
+        if mark not in ready:
+            ready[mark] = Pipeline(stages=[*filled[f], *_shaping(spec)]).fit(train)
+        return ready[mark]
+
+    return frame, find
+
+
 def fit_member(train: DataFrame, spec: MemberSpec, ready: PipelineModel | None = None) -> PipelineModel:
     """The member fitted on ``train``; ``ready`` is its preparation if that has been fitted on these rows before."""
     params = dict(spec.params)
@@ -157,19 +196,34 @@ def fit_member(train: DataFrame, spec: MemberSpec, ready: PipelineModel | None =
         params |= {"numericCols": [*spec.numeric, *spec.encodings], "categoricalCols": list(spec.categorical), "keyCol": spec.key}
     ready = ready or prepared(train, spec)
     shaped = ready.transform(numeric_input(train, list(spec.numeric)))
-    if spec.kind == "perceptron" and "hidden" in params:
-        hidden = params.pop("hidden")
-        params["layers"] = [shaped.select("features").first()[0].size, *hidden, 2]
     if spec.kind in TREES and spec.categorical and "maxBins" not in params:
         # a split on a category needs a bin for each of its levels
         levels = train.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in spec.categorical]).first()
         most = max(levels[c] for c in spec.categorical)
         params["maxBins"] = max(32, int(most * 1.1) + 2)
-    estimator = build_model(spec.kind, params, spec.seed, spec.label, spec.weight)
-    return _without_summary(PipelineModel(stages=[*encoders, *ready.stages, estimator.fit(shaped)]))
+    if spec.kind in STORED:
+        extra = [spec.weight] if spec.weight else []
+        shaped = fitted(shaped.select(*dict.fromkeys([spec.label, *extra, "features"])), "vectors")
+    fitted_last = fit_shaped(shaped, replace(spec, params=params))
+    return _without_summary(PipelineModel(stages=[*encoders, *ready.stages, fitted_last]))
+
+
+def fit_shaped(shaped: DataFrame, spec: MemberSpec) -> Model:
+    """The last stage of a member, fitted on rows that its preparation has been applied to."""
+    params = dict(spec.params)
+    if spec.kind == "perceptron" and "hidden" in params:
+        hidden = params.pop("hidden")
+        params["layers"] = [shaped.select("features").first()[0].size, *hidden, 2]
+    return build_model(spec.kind, params, spec.seed, spec.label, spec.weight).fit(shaped)
 
 
 PARALLEL = 2
+FEW_ROWS = 2_000_000
+
+
+def at_once(frame: DataFrame) -> int:
+    """How many fits on these stored rows run together: more where the jobs of a fit are short and what it caches is small."""
+    return PARALLEL if frame.count() > FEW_ROWS else 2 * PARALLEL
 
 
 def together(work: Callable, jobs: list, spark: SparkSession, parallel: int = PARALLEL) -> list:
@@ -198,25 +252,28 @@ def score(model: PipelineModel, frame: DataFrame, spec: MemberSpec, keep: list[s
     return model.transform(numeric_input(frame, list(spec.numeric))).select(*keep, positive_probability().alias("p"))
 
 
-def cross_validate(frame: DataFrame, spec: MemberSpec, fold: str, folds: int, key: str = "id", to_score: DataFrame | None = None) -> DataFrame:
+def cross_validate(
+    frame: DataFrame, spec: MemberSpec, fold: str, folds: int, key: str = "id", to_score: DataFrame | None = None,
+    ready: Callable[[MemberSpec, int], PipelineModel | None] | None = None,
+) -> DataFrame:
     """(key, member, split, fold, label, p): every row scored once by a model that never saw it.
 
     Rows to score get one value per fold, to be averaged. Fold models differ in
-    their seed by the fold number.
+    their seed by the fold number. ``ready`` names a fold's preparation if members share it.
     """
     if spec.kind == "histogram" and not spec.encodings and "validationIndicatorCol" not in spec.params:
         return _boosted_folds(frame, spec, fold, folds, key, to_score)
 
     def scored(f: int) -> DataFrame:
         own = replace(spec, seed=spec.seed + f)
-        model = fit_member(frame.where(F.col(fold) != f), own)
+        model = fit_member(frame.where(F.col(fold) != f), own, ready(spec, f) if ready else None)
         held = score(model, frame.where(F.col(fold) == f), own, [key, spec.label]).withColumn("split", F.lit("train"))
         if to_score is not None:
             new = score(model, to_score, own, [key]).withColumn(spec.label, F.lit(None).cast("int")).withColumn("split", F.lit("score"))
             held = held.unionByName(new)
         return held.select(key, F.lit(spec.name).alias("member"), "split", F.lit(f).alias("fold"), spec.label, "p")
 
-    parts = together(scored, list(range(folds)), frame.sparkSession)
+    parts = together(scored, list(range(folds)), frame.sparkSession, at_once(frame))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -291,9 +348,10 @@ def compare_members(frame: DataFrame, specs: list[MemberSpec], fold: str, folds:
     """(member, kind, auc, accuracy, seconds): all specs on the same rows and folds, best first."""
     spark = frame.sparkSession
     rows, parts = [], []
+    frame, ready = shared_preparations(frame, specs, fold)
     for spec in specs:
         started = time.monotonic()
-        parts.append(fitted(cross_validate(frame, spec, fold, folds, key), "cv"))
+        parts.append(fitted(cross_validate(frame, spec, fold, folds, key, ready=ready), "cv"))
         rows.append((spec.name, spec.kind, time.monotonic() - started))
     predictions = parts[0]
     for part in parts[1:]:

@@ -166,13 +166,15 @@ def perceptron_seed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dealt(survey(spark, sf_dir))
     train, held = rows.where(is_train()), rows.where(~is_train())
     specs = [M.MemberSpec("p", "perceptron", CORE, ("class",), {"hidden": list(layout), "maxIter": 25}, seed) for layout in LAYOUTS for seed in range(1, 6)]
-    ready = M.prepared(train, specs[0])  # the same for every layout and seed
+    ready = M.prepared(train, specs[0])  # the same for every layout and seed, and so are the vectors
+    fit_rows, new = (fitted(ready.transform(M.numeric_input(rows, list(CORE))).select("id", "label", "features"), "vectors") for rows in (train, held))
 
     def scored(spec: M.MemberSpec) -> DataFrame:
         layout = F.lit("-".join(map(str, spec.params["hidden"]))).alias("layout")
-        return M.score(M.fit_member(train, spec, ready), held, spec, ["id", "label"]).select("id", "label", "p", layout, F.lit(spec.seed).alias("seed"))
+        found = M.fit_shaped(fit_rows, spec).transform(new)
+        return found.select("id", "label", M.positive_probability().alias("p"), layout, F.lit(spec.seed).alias("seed"))
 
-    parts = fitted(reduce(DataFrame.unionByName, M.together(scored, specs, spark)), "seeds")
+    parts = fitted(reduce(DataFrame.unionByName, M.together(scored, specs, spark, M.at_once(fit_rows))), "seeds")
     single = auc(parts, "p", "label", by=["layout", "seed"])
     averaged = auc(parts.groupBy("id", "label", "layout").agg(F.avg("p").alias("p")), "p", "label", by=["layout"])
     spread = single.groupBy("layout").agg(F.avg("auc").alias("mean"), F.max("auc").alias("best"), F.min("auc").alias("worst"), (F.max("auc") - F.min("auc")).alias("spread"))
@@ -457,16 +459,22 @@ def regression_as_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc(model.transform(rows.where(~is_train())), "prediction", "label")
 
 
-def _confident(spark: SparkSession, frame: DataFrame, to_score: DataFrame, high: float, low: float) -> DataFrame:
-    scores = M.averaged_scores(M.cross_validate(frame, LOGISTIC, "fold", FOLDS, "id", to_score)).select("id", "p")
+def _validated(frame: DataFrame, to_score: DataFrame) -> DataFrame:
+    """Out-of-fold scores of the frame and its models' scores of the new rows."""
+    return fitted(M.cross_validate(frame, LOGISTIC, "fold", FOLDS, "id", to_score), "cv")
+
+
+def _confident(found: DataFrame, to_score: DataFrame, high: float, low: float) -> DataFrame:
+    scores = M.averaged_scores(found).select("id", "p")
     return fitted(Ps.select_confident(to_score.drop("label").join(scores, "id"), "p", high, low).withColumn("fold", F.lit(-1)), "confident")
 
 
 @query("pseudo_label_retrain", "I32", note="union with confident rows, scored on genuine rows only, kept when better")
 def pseudo_label_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _folds(spark, sf_dir)
-    union = dealt(Ps.augment(frame, _confident(spark, frame, _score_rows(spark, sf_dir), 0.9, 0.05)), "augmented")
-    parts = [M.cross_validate(f, LOGISTIC, "fold", FOLDS).withColumn("member", F.lit(n)) for n, f in (("plain", frame), ("pseudo", union))]
+    frame, to_score = _folds(spark, sf_dir), dealt(_score_rows(spark, sf_dir))
+    found = _validated(frame, to_score)  # the plain member, and what the new rows are chosen by
+    union = dealt(Ps.augment(frame, _confident(found, to_score, 0.9, 0.05)), "augmented")
+    parts = [p.withColumn("member", F.lit(n)) for n, p in (("plain", found.where("split = 'train'")), ("pseudo", M.cross_validate(union, LOGISTIC, "fold", FOLDS)))]
     table = M.member_auc(parts[0].unionByName(parts[1])).withColumn("n_fit", F.when(F.col("member") == "plain", F.lit(frame.count())).otherwise(F.lit(union.count())))
     plain, pseudo = (table.where(F.col("member") == n).select("auc").scalar() for n in ("plain", "pseudo"))
     return table.withColumn("kept", (F.col("member") == "pseudo") == (pseudo > plain))
@@ -475,14 +483,17 @@ def pseudo_label_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pseudo_label_rounds", "I33", note="two rounds x thresholds, gain over the plain member")
 def pseudo_label_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, to_score = _folds(spark, sf_dir), dealt(_score_rows(spark, sf_dir))
-    plain = M.member_auc(M.cross_validate(frame, LOGISTIC, "fold", FOLDS)).first()["auc"]
+    start = _validated(frame, to_score)
+    plain = M.member_auc(start).first()["auc"]
     rows = []
     for high in (0.85, 0.9, 0.95):
-        current = frame
+        scored = start
         for number in (1, 2):
-            confident = _confident(spark, current, to_score, high, 1 - high)
+            confident = _confident(scored, to_score, high, 1 - high)
             current = dealt(Ps.augment(frame, confident).drop("is_pseudo"), "augmented")
-            found = M.member_auc(M.cross_validate(current, LOGISTIC, "fold", FOLDS)).first()["auc"]
+            # the models that a round is judged by choose the rows of the next one
+            scored = _validated(current, to_score) if number == 1 else M.cross_validate(current, LOGISTIC, "fold", FOLDS)
+            found = M.member_auc(scored).first()["auc"]
             rows.append((number, high, confident.count(), found, found - plain))
     return spark.createDataFrame(rows, "round int, high double, n_pseudo bigint, auc double, gain double")
 
