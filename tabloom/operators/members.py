@@ -15,7 +15,7 @@ from pyspark import SparkContext, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,6 +26,7 @@ from tabloom.functions.hashing import hash_number
 from tabloom.functions.scalars import logit, sigmoid
 from tabloom.operators.boosting import Bins, Boosted, HistogramBooster, Settings, encode_batch, fit_bins, fit_boosted, score_boosted
 from tabloom.operators.encoders import FIT_ROWS, FoldTargetEncoder, encoded_name
+from tabloom.operators.factorization import FactorizationMachine
 from tabloom.operators.folds import hash_order_position
 from tabloom.operators.forest import Targets, distributions, grow
 from tabloom.operators.lookup import fitted
@@ -77,7 +78,7 @@ ESTIMATORS: dict[str, Callable[..., Estimator]] = {
     "forest": RandomForestClassifier,
     "boosted": GBTClassifier,
     "perceptron": MultilayerPerceptronClassifier,
-    "factorization": FMClassifier,
+    "factorization": FactorizationMachine,
     "histogram": HistogramBooster,
 }
 UNSEEDED = {"logistic"}  # deterministic estimators without a seed parameter
