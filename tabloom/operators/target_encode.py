@@ -186,20 +186,15 @@ def oof_rates(
     All key sets are unpivoted to (key_set, key_value), null being a value of its
     own, so that a single aggregation fits them all.
     """
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("key_set"),
-                text_key(columns).alias("key_value"),
-            )
-            for name, columns in key_sets.items()
-        ]
-    )
-    long = frame.select(*keep, label, fold, F.inline(pairs))
+    long = frame.select(*keep, label, fold, F.inline(_key_values(key_sets)))
     table = oof_rate_table_by_set(long, frame, label, fold, smoothing)
     return join_fitted(long, table, ["key_set", "key_value", fold]).select(*keep, label, fold, "key_set", "rate")
 
 
+def _key_values(key_sets: dict[str | int, list[Column]]) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("key_set"), text_key(columns).alias("key_value")) for name, columns in key_sets.items()])
+
+
 def rate_logits(
     frame: DataFrame, key: str, key_sets: dict[str, list[Column]], label: str, fold: str, smoothing: float, eps: float = 1e-4
 ) -> DataFrame:
@@ -211,8 +206,16 @@ def rate_logits(
 def rate_logit_columns(
     frame: DataFrame, key: str, key_sets: dict[str, list[Column]], label: str, fold: str, smoothing: float, eps: float = 1e-4
 ) -> DataFrame:
-    """The same as one column per key set."""
-    return rate_logits(frame, key, key_sets, label, fold, smoothing, eps).groupBy(key).pivot("key_set", list(key_sets)).agg(F.first("logit"))
+    """The same as one column per key set.
+
+    Rows are dealt out by ``key`` while they are still small: unpivoted, joined to the rates and put together again they stay in their
+    task, and nothing with a row per key set is shuffled.
+    """
+    pairs = _key_values(dict(enumerate(key_sets.values())))
+    table = oof_rate_table_by_set(frame.select(label, fold, F.inline(pairs)), frame, label, fold, smoothing)
+    table = table.select("key_set", "key_value", fold, logit("rate", eps).alias("logit"))
+    long = join_fitted(frame.repartition(F.col(key)).select(key, fold, F.inline(pairs)), table, ["key_set", "key_value", fold])
+    return long.groupBy(key).agg(*[F.first(F.when(F.col("key_set") == i, F.col("logit")), ignorenulls=True).alias(name) for i, name in enumerate(key_sets)])
 
 
 def oof_rate_table_by_set(long: DataFrame, frame: DataFrame, label: str, fold: str, smoothing: float) -> DataFrame:
