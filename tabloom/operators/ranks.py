@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabloom.operators.lookup import fitted
+from tabloom.operators.lookup import fitted, fitted_parts
 from tabloom.session import shuffle_partitions
 
 
@@ -198,11 +198,12 @@ def spearman_with_label(rows: DataFrame, columns: list[str], label: str) -> Data
 
 
 def ranked_columns(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Wide table (key, one mid-rank column per feature)."""
-    long = melt(rows, [key], columns)
-    ranks = fitted(mid_ranks(long, ["feature"], "value").select("feature", "value", "mid_rank"), "ranks")
-    return (
-        long.join(ranks, ["feature", "value"], "left")
-        .groupBy(key)
-        .agg(*[F.max(F.when(F.col("feature") == c, F.col("mid_rank"))).alias(c) for c in columns])
-    )
+    """Wide table (key, one mid-rank column per feature); of a repeated key the largest ranks, which are those of its largest values.
+
+    Rows stay wide: only the count of distinct values unpivots them, and every column's ranks are joined as a column.
+    """
+    ranks = mid_ranks(melt(rows, [], columns), ["feature"], "value").select("feature", "value", "mid_rank")
+    wide = rows.groupBy(key).agg(*[F.max(F.col(c).cast("double")).alias(f"_v_{c}") for c in columns])
+    for c, table in fitted_parts(ranks, "feature", columns, "ranks").items():
+        wide = wide.join(table.select(F.col("value").alias(f"_v_{c}"), F.col("mid_rank").alias(c)), f"_v_{c}", "left")
+    return wide.select(key, *columns)

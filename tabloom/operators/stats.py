@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -29,10 +32,68 @@ def correlations(frame: DataFrame, left: list[str], right: list[str]) -> DataFra
 
 
 def correlation_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """The upper triangle: every unordered pair of columns once, in the given order."""
-    place = {c: i for i, c in enumerate(columns)}
-    lookup = F.create_map(*[F.lit(x) for item in place.items() for x in item])
-    return correlations(frame, columns, columns).where(lookup[F.col("a")] < lookup[F.col("b")])
+    """The upper triangle: every unordered pair of columns once, in the given order.
+
+    A task adds the moments of all pairs up as matrix products and leaves one line per pair; the lines of the tasks are merged around
+    their own means, as :func:`pyspark.sql.functions.corr` does.
+    """
+    lines = frame.select(*[F.col(c).cast("double").alias(str(i)) for i, c in enumerate(columns)]).mapInArrow(_pair_moments, MOMENTS)
+    parts = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ("n", "ma", "mb", "saa", "sbb", "sab")])), asc=False)  # a line per task
+    empty = F.named_struct(F.lit("n"), F.lit(0.0), *[x for c in ("ma", "mb", "saa", "sbb", "sab") for x in (F.lit(c), F.lit(0.0))])
+    s = lines.groupBy("a", "b").agg(F.aggregate(parts, empty, _merged).alias("s"))
+    names = F.lit(columns)
+    corr = F.when(F.col("s.n") > 1, F.col("s.sab") / F.sqrt(F.col("s.saa") * F.col("s.sbb")))
+    return s.select(F.get(names, "a").alias("a"), F.get(names, "b").alias("b"), corr.alias("corr"))
+
+
+MOMENTS = "a int, b int, n double, ma double, mb double, saa double, sbb double, sab double"
+
+
+def _merged(x: Column, y: Column) -> Column:
+    """Moments of two sets of rows as those of their union; a set without rows changes nothing."""
+    n = x.n + y.n
+    share = F.when(n > 0, y.n / F.when(n > 0, n).otherwise(1.0)).otherwise(0.0)
+    da, db, w = y.ma - x.ma, y.mb - x.mb, x.n * share
+    made = {"n": n, "ma": x.ma + da * share, "mb": x.mb + db * share, "saa": x.saa + y.saa + da * da * w, "sbb": x.sbb + y.sbb + db * db * w, "sab": x.sab + y.sab + da * db * w}
+    return F.named_struct(*[v for c, col in made.items() for v in (F.lit(c), col)])
+
+
+def _pair_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pair of columns, over the rows where both are present: count, means, sums of squares and products around the means.
+
+    A batch is summed around its own means, and batches are merged around theirs. A value that is not finite makes its pairs NaN.
+    """
+    total = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        here = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+        odd = here & ~np.isfinite(x)
+        m = here.astype(float)
+        shift = np.array([v[ok][0] if ok.any() else 0.0 for v, ok in zip(x, here & ~odd)])[:, None]
+        x = np.where(here & ~odd, x - shift, 0.0)  # a constant column becomes zeros, and stays exactly constant
+        n, s, q, p = m @ m.T, x @ m.T, (x * x) @ m.T, x @ x.T
+        some = np.maximum(n, 1)
+        found = [n, s / some + shift, q - s * s / some, p - s * s.T / some]
+        if odd.any():
+            bad = odd.astype(float) @ m.T
+            for v in found[1:]:
+                v[(bad > 0) | (bad.T > 0)] = np.nan
+        if total is None:
+            total = found
+            continue
+        both = np.maximum(total[0] + n, 1)
+        d, w = found[1] - total[1], total[0] * n / both
+        empty = (total[0] == 0) | (n == 0)
+        d = np.where(empty, 0.0, d)
+        mean = np.where(total[0] == 0, found[1], total[1] + d * n / both)
+        total = [total[0] + n, mean, total[2] + found[2] + d * d * w, total[3] + found[3] + d * d.T * w]
+    if total is not None:
+        a, b = np.triu_indices(len(total[0]), 1)
+        n, mean, square, product = total
+        values = [n[a, b], mean[a, b], mean[b, a], square[a, b], square[b, a], product[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a, b, *values), (pa.int32(), pa.int32(), *[pa.float64()] * 6))], names=["a", "b", "n", "ma", "mb", "saa", "sbb", "sab"])
 
 
 def all_pairs(columns: list[str]) -> list[tuple[str, str]]:
@@ -166,8 +227,6 @@ def latent_factor(frame: DataFrame, columns: list[str]) -> tuple[list[float], li
 
     Aggregations yield the matrix and the moments; only that small matrix is decomposed on the driver.
     """
-    import numpy as np
-
     k = len(columns)
     matrix = np.eye(k)
     for row in correlation_matrix(frame, columns).collect():  # k*(k-1)/2 rows
