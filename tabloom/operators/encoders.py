@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import hash_number
 from tabloom.functions.scalars import text_key
-from tabloom.operators.lookup import fitted, join_null_safe
+from tabloom.operators.lookup import fitted_parts
 
 FIT_ROWS = "_fit_rows"
 
@@ -55,58 +55,62 @@ class FoldTargetEncoder(Estimator, _EncoderParams, DefaultParamsReadable, Defaul
 
     def _fit(self, dataset: DataFrame) -> FoldTargetEncoderModel:
         label = F.col(self.getOrDefault("labelCol")).cast("double")
+        folds = range(self.getOrDefault("innerFolds"))
         pairs = F.array(*[F.struct(F.lit(name).alias("key_set"), text_key(keys).alias("key_value")) for name, keys in self.outputs().items()])
         rows = dataset.where(label.isNotNull()).select(label.alias("y"), self._cell().alias("cell"), pairs.alias("pairs"))
-        cells = rows.select("y", "cell", F.inline("pairs")).groupBy("key_set", "key_value", "cell").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-        cells = fitted(cells, "cells")
-        whole = cells.groupBy("key_set", "key_value").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
         overall = {r.cell: (r.s, r.n) for r in rows.groupBy("cell").agg(F.sum("y").alias("s"), F.count("*").alias("n")).collect()}  # one row per inner fold
         total = tuple(map(sum, zip(*overall.values()))) if overall else (0.0, 0)
         rates = {"all": total[0] / total[1] if total[1] else 0.5}
-        for cell in range(self.getOrDefault("innerFolds")):
+        for cell in folds:
             s, n = overall.get(cell, (0.0, 0))
             rates[str(cell)] = (total[0] - s) / (total[1] - n) if total[1] > n else rates["all"]
-        prior = F.element_at(F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(float(v)))]), F.coalesce(F.col("cell").cast("string"), F.lit("all")))
-        own = cells.join(whole, ["key_set", "key_value"]).select(
-            "key_set", "key_value", "cell", (F.col("ts") - F.col("s")).alias("s"), (F.col("tn") - F.col("n")).alias("n")
-        )
-        sums = own.where("n > 0").unionByName(whole.select("key_set", "key_value", F.lit(None).cast("int").alias("cell"), F.col("ts").alias("s"), F.col("tn").alias("n")))
-        if self.getOrDefault("auto"):
+
+        def value(s: Column, n: Column, prior: Column) -> Column:
+            if not self.getOrDefault("auto"):
+                m = F.lit(self.getOrDefault("smoothing"))
+                return (s + prior * m) / (n + m)
             # weight of a key's own mean: n v / (n v + v_key), both variances of 0/1 labels
-            mean = F.col("s") / F.col("n")
-            mine = F.col("n") * prior * (1 - prior)
+            mean = s / n
+            mine = n * prior * (1 - prior)
             weight = F.coalesce(F.try_divide(mine, mine + mean * (1 - mean)), F.lit(1.0))
-            value = weight * mean + (1 - weight) * prior
-        else:
-            m = F.lit(self.getOrDefault("smoothing"))
-            value = (F.col("s") + prior * m) / (F.col("n") + m)
-        table = sums.select("key_set", "key_value", "cell", value.alias("value"))
-        model = FoldTargetEncoderModel(fitted(table, "encodings"), rates)
+            return weight * mean + (1 - weight) * prior
+
+        # one row per key, sums of the inner folds side by side: one shuffle fits all encodings
+        own = [F.sum(F.when(F.col("cell") == c, F.col("y"))).alias(f"s{c}") for c in folds] + [F.count_if(F.col("cell") == c).alias(f"n{c}") for c in folds]
+        sums = rows.select("y", "cell", F.inline("pairs")).groupBy("key_set", "key_value").agg(F.sum("y").alias("s"), F.count("*").alias("n"), *own)
+        others = [(F.col("s") - F.coalesce(f"s{c}", F.lit(0.0)), F.col("n") - F.col(f"n{c}"), c) for c in folds]
+        fields = [F.when((n > 0) & (n < F.col("n")), value(s, n, F.lit(float(rates[str(c)])))).alias(f"v{c}") for s, n, c in others]
+        table = sums.select("key_set", "key_value", *fields, value(F.col("s"), F.col("n"), F.lit(float(rates["all"]))).alias("value"))
+        model = FoldTargetEncoderModel(fitted_parts(table, "key_set", list(self.outputs()), "encodings"), rates)
         return self._copyValues(model)
 
 
 class FoldTargetEncoderModel(Model, _EncoderParams, MLWritable, MLReadable):
-    """Encodings by (key set, key, inner fold; null for the full map), with the priors for keys never seen."""
+    """Per key set a table of its keys with their encodings (``value``, and ``v<cell>`` for fit rows of an inner fold), with the priors for keys
+    never seen."""
 
-    def __init__(self, table: DataFrame | None = None, rates: dict[str, float] | None = None):
+    def __init__(self, tables: dict[str, DataFrame] | None = None, rates: dict[str, float] | None = None):
         super().__init__()
-        self.table, self.rates = table, rates or {}
+        self.tables, self.rates = tables or {}, rates or {}
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         fit_rows = F.coalesce(F.col(FIT_ROWS), F.lit(False)) if FIT_ROWS in dataset.columns else F.lit(False)
+        folds = range(self.getOrDefault("innerFolds"))
         result = dataset.withColumn("_cell", F.when(fit_rows, self._cell()))
-        priors = F.create_map(*[x for k, v in self.rates.items() for x in (F.lit(k), F.lit(float(v)))])
-        prior = F.element_at(priors, F.coalesce(F.col("_cell").cast("string"), F.lit("all")))
+
+        def by_cell(choices: list[Column], otherwise: Column) -> Column:
+            chain = F.when(F.col("_cell").isNull(), otherwise)
+            for cell, choice in zip(folds, choices):
+                chain = chain.when(F.col("_cell") == cell, choice)
+            return chain
+
+        prior = by_cell([F.lit(float(self.rates[str(c)])) for c in folds], F.lit(float(self.rates["all"])))
         for name, keys in self.outputs().items():
-            # a map of the cells per key: one join serves fit rows and others, and a hot key is one row of the table
-            mine = self.table.where(F.col("key_set") == name)
-            packed = mine.groupBy(F.col("key_value").alias("_key")).agg(
-                F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.col("cell").cast("string"), F.lit("all")), "value"))).alias("_map")
-            )
-            keyed = result.withColumn("_key", text_key(keys))
-            joined = join_null_safe(keyed, packed, ["_key"])
-            cell = F.coalesce(F.col("_cell").cast("string"), F.lit("all"))
-            result = joined.withColumn(name, F.coalesce(F.element_at("_map", cell), prior)).drop("_key", "_map")
+            own = self.tables[name].select(*[F.col(c).alias(f"_e_{c}") for c in self.tables[name].columns])
+            # joined by the expression itself: an encoding of the same columns that follows finds the rows where it needs them
+            joined = result.join(own, text_key(keys) == F.col("_e_key_value"), "left")
+            found = by_cell([F.col(f"_e_v{c}") for c in folds], F.col("_e_value"))
+            result = joined.withColumn(name, F.coalesce(found, prior)).drop(*own.columns)
         return result.drop("_cell")
 
     def write(self) -> MLWriter:
@@ -124,7 +128,8 @@ class _EncoderWriter(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata={"rates": json.dumps(self.model.rates)})
-        self.model.table.write.parquet(f"{path}/table")
+        for i, table in enumerate(self.model.tables.values()):
+            table.write.parquet(f"{path}/table/{i}")
 
 
 class _EncoderReader(MLReader):
@@ -134,7 +139,8 @@ class _EncoderReader(MLReader):
 
     def load(self, path: str) -> FoldTargetEncoderModel:
         metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        model = self.cls(self.sparkSession.read.parquet(f"{path}/table"), json.loads(metadata["rates"]))
+        model = self.cls(None, json.loads(metadata["rates"]))
         model._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(model, metadata)
+        model.tables = {name: self.sparkSession.read.parquet(f"{path}/table/{i}") for i, name in enumerate(model.outputs())}
         return model
