@@ -13,17 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm import decontaminate, minhash, mixing, quality, secrets
 from tabloom.llm.common import fitted, read
-from tabloom.session import ship_package
+from tabloom.session import ship_package, spare_driver
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def shipped(stage: Stage) -> Stage:
-    """The stage, its workers supplied with the library's source."""
+    """The stage, its workers supplied with the library's source, its plans kept small on the driver."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        spare_driver(spark)
         return stage(spark, docs, sf_dir)
 
     return run
