@@ -29,6 +29,7 @@ from tabloom.operators.encoders import FIT_ROWS, FoldTargetEncoder, encoded_name
 from tabloom.operators.factorization import FactorizationMachine
 from tabloom.operators.folds import hash_order_position
 from tabloom.operators.forest import Targets, distributions, grow
+from tabloom.operators.logistic import fit_folds
 from tabloom.operators.lookup import fitted
 from tabloom.operators.ranks import auc, column_quantiles
 from tabloom.sources.sinks import fingerprint
@@ -74,6 +75,7 @@ class MemberSpec:
 
 ESTIMATORS: dict[str, Callable[..., Estimator]] = {
     "logistic": LogisticRegression,
+    "shared_logistic": LogisticRegression,  # cross-validated in shared passes, otherwise the same
     "tree": DecisionTreeClassifier,
     "forest": RandomForestClassifier,
     "boosted": GBTClassifier,
@@ -81,10 +83,10 @@ ESTIMATORS: dict[str, Callable[..., Estimator]] = {
     "factorization": FactorizationMachine,
     "histogram": HistogramBooster,
 }
-UNSEEDED = {"logistic"}  # deterministic estimators without a seed parameter
+UNSEEDED = {"logistic", "shared_logistic"}  # deterministic estimators without a seed parameter
 TREES = {"tree", "forest", "boosted"}
-SCALED = {"logistic", "perceptron", "factorization"}
-STORED = {"logistic", *TREES}  # these read their rows several times before they keep them; prepared rows are stored, not prepared each time
+SCALED = {"logistic", "shared_logistic", "perceptron", "factorization"}
+STORED = {"logistic", "shared_logistic", *TREES}  # these read their rows several times before they keep them; prepared rows are stored, not prepared each time
 
 
 def build_model(kind: str, params: dict, seed: int | None, label: str = "label", weight: str | None = None) -> Estimator:
@@ -264,6 +266,8 @@ def cross_validate(
     """
     if spec.kind == "histogram" and not spec.encodings and "validationIndicatorCol" not in spec.params:
         return _boosted_folds(frame, spec, fold, folds, key, to_score)
+    if spec.kind == "shared_logistic" and not spec.encodings and spec.weight is None and not {*spec.params} - {"regParam", "maxIter", "tol"}:
+        return _logistic_folds(frame, spec, fold, folds, key, to_score)
 
     def scored(f: int) -> DataFrame:
         own = replace(spec, seed=spec.seed + f)
@@ -302,6 +306,20 @@ def _boosted_folds(frame: DataFrame, spec: MemberSpec, fold: str, folds: int, ke
     return result
 
 
+def _logistic_folds(frame: DataFrame, spec: MemberSpec, fold: str, folds: int, key: str, to_score: DataFrame | None) -> DataFrame:
+    """The models of all folds are fitted in the same passes; rows are scored by plain expressions."""
+    stage = LogisticRegression(**spec.params)
+    settings = [stage.getOrDefault(p) for p in ("regParam", "maxIter", "tol")]
+    models = fit_folds(frame, list(spec.numeric), list(spec.categorical), spec.label, fold, list(range(folds)), *settings)
+    rows = frame.where(F.col(fold).between(0, folds - 1)).withColumn(fold, F.col(fold).cast("int"))
+    result = rows.select(key, F.lit(spec.name).alias("member"), F.lit("train").alias("split"), F.col(fold).alias("fold"), spec.label, models.probability(F.col(fold)).alias("p"))
+    if to_score is not None:
+        new = to_score.select(key, *[c for c in spec.inputs if c != key], F.explode(F.lit(list(range(folds)))).alias("_fold"))
+        label = F.lit(None).cast(frame.schema[spec.label].dataType).alias(spec.label)
+        result = result.unionByName(new.select(key, F.lit(spec.name).alias("member"), F.lit("score").alias("split"), F.col("_fold").alias("fold"), label, models.probability(F.col("_fold")).alias("p")))
+    return result
+
+
 def averaged_scores(predictions: DataFrame, key: str = "id") -> DataFrame:
     """Mean over folds for the rows to score."""
     return predictions.where("split = 'score'").groupBy(key, "member").agg(F.avg("p").alias("p"))

@@ -15,7 +15,10 @@ correlation, Mann-Whitney) is computed from the same two-level scheme:
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -172,6 +175,89 @@ def auc(rows: DataFrame, score: str, label: str, by: list[str] = (), weight: Col
     return grouped.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_wins"), pairs).alias("auc"))
 
 
+TALLY_ROWS = 1 << 20  # rows that a task counts at once
+RANGE_VALUES = 1 << 18  # distinct values that a task merges
+SKETCH = 64
+
+
+def _merged(values: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order with summed counts."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) & ~np.isnan(values[:-1])
+    at = np.flatnonzero(new)
+    return values[at], np.add.reduceat(pos[order], at), np.add.reduceat(neg[order], at)
+
+
+def _twice_wins(pos: np.ndarray, neg: np.ndarray) -> int:
+    """Twice the pairs in which the positive is above, ties counted half, of counts in the order of their values; exact."""
+    if int(pos.sum()) * int(neg.sum()) >= 1 << 60:
+        pos, neg = pos.astype(object), neg.astype(object)
+    return int((pos * (2 * (np.cumsum(neg) - neg) + neg)).sum())
+
+
+def whole_auc(rows: DataFrame, score: str, label: str) -> float | None:
+    """The AUC of :func:`auc` of all rows as one group, for labels 0 and 1 and a number as score.
+
+    Tasks count sorted arrays of distinct scores instead of rows; the arrays are cut into ranges at approximate quantiles, a range is merged by
+    one task, and the driver takes three sums per range.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.concatenate(parts)
+            values, pos, neg = _merged(both[:, 0], (y := both[:, 1].astype(np.int64)), 1 - y)
+            sketch = values[((np.arange(SKETCH) + 0.5) * len(values) / SKETCH).astype(np.int64)]
+            columns = {"v": values, "pos": pos.astype(np.int32), "neg": neg.astype(np.int32), "sketch": sketch}
+            return pa.record_batch({"n": pa.array([len(values)], pa.int64()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in columns.items()}})
+
+        parts, held = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, 2))
+                held += batch.num_rows
+            if held >= TALLY_ROWS:
+                yield counted(parts)
+                parts, held = [], 0
+        if parts:
+            yield counted(parts)
+
+    seen = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.array(F.col(score).cast("double"), F.col(label).cast("double")).alias("x"))
+    tallies = fitted(seen.mapInArrow(count, "n bigint, v binary, pos binary, neg binary, sketch binary"), "tallies")
+    sketches = tallies.select("n", "sketch").collect()  # one short line per TALLY_ROWS rows
+    if not sketches:
+        return None
+    points, weights = np.concatenate([np.frombuffer(r.sketch) for r in sketches]), np.repeat([r.n / SKETCH for r in sketches], SKETCH)
+    order = np.argsort(points, kind="stable")
+    ranges = max(1, -(-int(weights.sum()) // RANGE_VALUES))
+    place = np.searchsorted(np.cumsum(weights[order]), np.arange(1, ranges) * weights.sum() / ranges)
+    cuts = np.unique(points[order][np.minimum(place, len(points) - 1)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v, pos, neg in zip(*(batch.column(c) for c in ("v", "pos", "neg"))):
+                values = np.frombuffer(v.as_buffer())
+                ends = [0, *np.searchsorted(values, cuts), len(values)]
+                for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                    if b > a:
+                        arrays = {"v": values[a:b], "pos": np.frombuffer(pos.as_buffer(), np.int32)[a:b], "neg": np.frombuffer(neg.as_buffer(), np.int32)[a:b]}
+                        yield pa.record_batch({"part": pa.array([i], pa.int64()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in arrays.items()}})
+
+    def merge(table: pa.Table) -> pa.Table:
+        v, pos, neg = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("v", np.float64), ("pos", np.int32), ("neg", np.int32)))
+        _, pos, neg = _merged(v, pos.astype(np.int64), neg.astype(np.int64))
+        return pa.table({"part": table["part"][:1], "pos": [int(pos.sum())], "neg": [int(neg.sum())], "wins": [str(_twice_wins(pos, neg))]})
+
+    pieces = tallies.select("v", "pos", "neg").mapInArrow(cut, "part bigint, v binary, pos binary, neg binary")
+    found = pieces.groupBy("part").applyInArrow(merge, "part bigint, pos bigint, neg bigint, wins string").collect()  # one line per range
+    wins = below = positive = 0
+    for r in sorted(found, key=lambda r: r.part):
+        wins += int(r.wins) + 2 * r.pos * below
+        below, positive = below + r.neg, positive + r.pos
+    return wins / (2 * positive * below) if positive and below else None
+
+
 def spearman_with_label(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
     """``(feature, spearman)`` from aggregated values; no row is joined back.
 

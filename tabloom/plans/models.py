@@ -15,7 +15,7 @@ from tabloom.operators import members as M
 from tabloom.operators import neighbours as N
 from tabloom.operators import pseudo as Ps
 from tabloom.operators.lookup import dealt, fitted
-from tabloom.operators.ranks import auc
+from tabloom.operators.ranks import auc, whole_auc
 from tabloom.operators.encoders import FIT_ROWS, FoldTargetEncoder, encoded_name
 from tabloom.plans.common import CATEGORICAL, CONTINUOUS, FOLDS, NUMERIC, RATINGS, SEED, SMOOTHING, TRAIN, auc_sql, hash_fold_sql, r, rd
 from tabloom.plans.derived import MEAN
@@ -464,8 +464,11 @@ def _validated(frame: DataFrame, to_score: DataFrame) -> DataFrame:
     return fitted(M.cross_validate(frame, LOGISTIC, "fold", FOLDS, "id", to_score), "cv")
 
 
-def _confident(found: DataFrame, to_score: DataFrame, high: float, low: float) -> DataFrame:
-    scores = M.averaged_scores(found).select("id", "p")
+def _averaged(found: DataFrame) -> DataFrame:
+    return M.averaged_scores(found).select("id", "p")
+
+
+def _confident(scores: DataFrame, to_score: DataFrame, high: float, low: float) -> DataFrame:
     return fitted(Ps.select_confident(to_score.drop("label").join(scores, "id"), "p", high, low).withColumn("fold", F.lit(-1)), "confident")
 
 
@@ -473,7 +476,7 @@ def _confident(found: DataFrame, to_score: DataFrame, high: float, low: float) -
 def pseudo_label_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, to_score = _folds(spark, sf_dir), dealt(_score_rows(spark, sf_dir))
     found = _validated(frame, to_score)  # the plain member, and what the new rows are chosen by
-    union = dealt(Ps.augment(frame, _confident(found, to_score, 0.9, 0.05)), "augmented")
+    union = dealt(Ps.augment(frame, _confident(_averaged(found), to_score, 0.9, 0.05)), "augmented")
     parts = [p.withColumn("member", F.lit(n)) for n, p in (("plain", found.where("split = 'train'")), ("pseudo", M.cross_validate(union, LOGISTIC, "fold", FOLDS)))]
     table = M.member_auc(parts[0].unionByName(parts[1])).withColumn("n_fit", F.when(F.col("member") == "plain", F.lit(frame.count())).otherwise(F.lit(union.count())))
     plain, pseudo = (table.where(F.col("member") == n).select("auc").scalar() for n in ("plain", "pseudo"))
@@ -482,19 +485,26 @@ def pseudo_label_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pseudo_label_rounds", "I33", note="two rounds x thresholds, gain over the plain member")
 def pseudo_label_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame, to_score = _folds(spark, sf_dir), dealt(_score_rows(spark, sf_dir))
-    start = _validated(frame, to_score)
-    plain = M.member_auc(start).first()["auc"]
-    rows = []
-    for high in (0.85, 0.9, 0.95):
-        scored = start
+    spec = replace(LOGISTIC, kind="shared_logistic")
+    used = {"id", "label", "fold", *spec.inputs}
+    frame, to_score = (f.select(*[c for c in f.columns if c in used]) for f in (_folds(spark, sf_dir), _score_rows(spark, sf_dir)))
+    to_score = dealt(to_score)
+    start = M.cross_validate(frame, spec, "fold", FOLDS, "id", to_score)
+    plain, scores = whole_auc(start, "p", "label"), fitted(_averaged(start), "scores")
+
+    def rounds(high: float) -> list[tuple]:
+        rows, chosen_by = [], scores
         for number in (1, 2):
-            confident = _confident(scored, to_score, high, 1 - high)
-            current = dealt(Ps.augment(frame, confident).drop("is_pseudo"), "augmented")
+            confident = _confident(chosen_by, to_score, high, 1 - high)
+            current = Ps.augment(frame, confident).drop("is_pseudo")
             # the models that a round is judged by choose the rows of the next one
-            scored = _validated(current, to_score) if number == 1 else M.cross_validate(current, LOGISTIC, "fold", FOLDS)
-            found = M.member_auc(scored).first()["auc"]
+            validated = M.cross_validate(current, spec, "fold", FOLDS, "id", to_score if number == 1 else None)
+            found, chosen_by = whole_auc(validated, "p", "label"), _averaged(validated)
             rows.append((number, high, confident.count(), found, found - plain))
+        return rows
+
+    thresholds = [0.85, 0.9, 0.95]
+    rows = [row for found in M.together(rounds, thresholds, spark, len(thresholds)) for row in found]
     return spark.createDataFrame(rows, "round int, high double, n_pseudo bigint, auc double, gain double")
 
 
